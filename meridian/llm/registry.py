@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("simhash",)
+MODULES = ("simhash", "quality")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
