@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("simhash", "quality")
+MODULES = ("simhash", "quality", "decontaminate")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
