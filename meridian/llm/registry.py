@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("simhash", "quality", "decontaminate")
+MODULES = ("simhash", "quality", "decontaminate", "packing")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
