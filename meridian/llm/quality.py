@@ -27,7 +27,7 @@ from .common import table
 
 DIMS = 1 << 22
 #: Rated documents used at most to fit; the bound is on the classifier's sample only.
-FIT_ROWS = 20_000
+FIT_ROWS = 12_000
 #: A document is kept when the probability of the top grade is at least this.
 KEEP_AT = 0.6
 #: Standard errors by which the mean grade of a feature's rows must stand off to be used.
@@ -164,9 +164,10 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
         rated = rated.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < part)
     get = F.pandas_udf(lambda t: t.map(features), "array<int>")
     got = rated.join(docs.select(id_col, text_col), id_col).select("_grade", get(F.col(text_col)).alias("f")).toArrow()
-    order = np.argsort(got.column("_grade").to_numpy(), kind="stable")
-    rows = [np.array(r, dtype=np.int64) for r in got.column("f").to_pylist()]
-    return fit([rows[i] for i in order], got.column("_grade").to_numpy()[order])
+    f = got.column("f").combine_chunks()
+    flat, ends = f.values.to_numpy(), f.offsets.to_numpy()
+    grade = got.column("_grade").to_numpy()
+    return fit([flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], grade)
 
 
 def with_scores(docs: DataFrame, model: OrdinalModel, text_col: str = "text", out: str = "_quality") -> DataFrame:
