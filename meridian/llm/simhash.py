@@ -158,60 +158,80 @@ def _rotate(fp, block: int):
     return fp if k == 0 else F.shiftleft(fp, k).bitwiseOR(F.shiftrightunsigned(fp, 64 - k))
 
 
-def links(fps: DataFrame, budget: int = 3, fp_col: str = "fp") -> DataFrame:
-    """A spanning forest, task by task, of distinct fingerprints within budget bits: rows (a, b).
+def _dealt(fps: DataFrame, budget: int, fp_col: str) -> DataFrame:
+    """Rows (b, c, d, pair, side, r): rotated fingerprints, dealt to cells that hold every pair within the budget.
 
-    Every pair within the budget is joined by a path of rows. budget below the number
-    of blocks (4) is needed for the pigeonhole; anything else raises ValueError.
+    A cell is the block b, the values c <= d of that block on its two sides, and, for a
+    subtree that is dealt out further, the pair of its next bits' values (else -1).
     """
-    if not 0 <= budget < BLOCKS:
-        raise ValueError("budget must be 0 to 3")
     fp = F.col(fp_col)
     rot = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), _rotate(fp, b).alias("r")) for b in range(BLOCKS)])).alias("x")
-    rows = fps.select(rot).select("x.b", "x.r", F.shiftrightunsigned("x.r", 48).alias("top"))
+    rows = fps.select(rot).select("x.b", "x.r", F.shiftrightunsigned("x.r", 64 - BLOCK_BITS).cast("int").alias("top"))
+    if budget >= BLOCKS:  # some block is one bit off at most
+        flips = F.explode(F.array(*[F.col("top").bitwiseXOR(m) for m in (0, *(1 << k for k in range(BLOCK_BITS)))])).alias("t")
+        two = rows.select("b", "r", "top", flips)
+        return two.select("b", F.least("top", "t").alias("c"), F.greatest("top", "t").alias("d"), F.lit(-1).alias("pair"), (F.col("top") > F.col("t")).cast("int").alias("side"), "r")
     sizes = rows.groupBy("b", "top").agg(F.count("*").alias("n")).where("n > 1")
     sized = durable(rows.join(sizes, ["b", "top"]))
-    cold = sized.where(F.col("n") <= HOT_SUBTREE).select("b", "r", F.col("top").alias("cell"), F.lit(-1).alias("pair"), F.lit(0).alias("side"))
-    s = F.shiftrightunsigned("r", 48 - CELL_BITS).bitwiseAND((1 << CELL_BITS) - 1).cast("int")
+    cold = sized.where(F.col("n") <= HOT_SUBTREE).select("b", F.col("top").alias("c"), F.col("top").alias("d"), F.lit(-1).alias("pair"), F.lit(0).alias("side"), "r")
+    s = F.shiftrightunsigned("r", 64 - BLOCK_BITS - CELL_BITS).bitwiseAND((1 << CELL_BITS) - 1).cast("int")
     near = F.element_at(F.array(*[F.array(*map(F.lit, ts)) for ts in _cells(CELL_BITS, budget)]), s + 1)
-    hot = sized.where(F.col("n") > HOT_SUBTREE).select("b", "r", F.col("top").alias("cell"), s.alias("s"), F.explode(near).alias("t"))
-    hot = hot.select("b", "r", "cell", (F.least("s", "t") * (1 << CELL_BITS) + F.greatest("s", "t")).alias("pair"), (F.col("s") > F.col("t")).cast("int").alias("side"))
-    dealt = cold.unionByName(hot).repartition("b", "cell", "pair").sortWithinPartitions("b", "cell", "pair", "side", F.expr("r < 0"), "r").select("b", "cell", "pair", "side", "r")
+    hot = sized.where(F.col("n") > HOT_SUBTREE).select("b", "r", "top", s.alias("s"), F.explode(near).alias("t"))
+    pair = F.least("s", "t") * (1 << CELL_BITS) + F.greatest("s", "t")
+    return cold.unionByName(hot.select("b", F.col("top").alias("c"), F.col("top").alias("d"), pair.alias("pair"), (F.col("s") > F.col("t")).cast("int").alias("side"), "r"))
+
+
+def links(fps: DataFrame, budget: int = 3, fp_col: str = "fp") -> DataFrame:
+    """A spanning forest, task by task, of distinct fingerprints within budget bits: rows (a, b).
 
-    def emit(b, cell, pair, side, r):
+    Every pair within the budget is joined by a path of rows. Up to three bits, one of
+    four blocks agrees; up to seven, one is a single bit off at most. A larger budget
+    raises ValueError.
+    """
+    if not 0 <= budget < 2 * BLOCKS:
+        raise ValueError("budget must be 0 to 7")
+    cell = ["b", "c", "d", "pair"]
+    dealt = _dealt(fps, budget, fp_col).repartition(*cell).sortWithinPartitions(*cell, "side", F.expr("r < 0"), "r")
+
+    def emit(b, c, d, pair, side, r):
         keys = r.view(np.uint64)
-        first = np.flatnonzero(np.r_[True, (b[1:] != b[:-1]) | (cell[1:] != cell[:-1]) | (pair[1:] != pair[:-1])])
+        new = np.zeros(len(r), bool)
+        new[0] = True
+        for x in (b, c, d, pair):
+            new[1:] |= x[1:] != x[:-1]
+        first = np.flatnonzero(new)
         end = np.r_[first[1:], len(r)]
-        mid = first + np.add.reduceat(side == 0, first)
-        p = pair[first]
-        twin = (p >= 0) & ((p >> CELL_BITS) != (p & ((1 << CELL_BITS) - 1)))
-        ok = ~(twin & ((mid == first) | (mid == end)))
-        first, end, mid, p, twin = (x[ok] for x in (first, end, mid, p, twin))
-        for hotness, depth in ((p < 0, BLOCK_BITS), (p >= 0, BLOCK_BITS + CELL_BITS)):
-            f, n, m, t, q = (x[hotness] for x in (first, end, mid, twin, p))
-            if not len(f):
+        mid = first + np.add.reduceat((side == 0).astype(np.int64), first)
+        p, c1, d1 = pair[first], c[first], d[first]
+        s, t = np.where(p < 0, 0, p >> CELL_BITS), np.where(p < 0, 0, p & ((1 << CELL_BITS) - 1))
+        twin = (c1 != d1) | (s != t)
+        err = np.bitwise_count(c1 ^ d1).astype(np.int64) + np.bitwise_count(s ^ t)
+        ok = np.where(twin, (mid > first) & (mid < end), end - first > 1)
+        for deep, depth in ((p < 0, BLOCK_BITS), (p >= 0, BLOCK_BITS + CELL_BITS)):
+            k = np.flatnonzero(ok & deep)
+            if not len(k):
                 continue
-            err = np.where(t, np.bitwise_count((q >> CELL_BITS) ^ (q & ((1 << CELL_BITS) - 1))), 0)
-            root = trie_join(keys, f, np.where(t, m, n), np.where(t, m, f), n, err, depth, budget)
+            f, n, m, w = first[k], end[k], mid[k], twin[k]
+            root = trie_join(keys, f, np.where(w, m, n), np.where(w, m, f), n, err[k], depth, budget)
             at = np.flatnonzero(root != np.arange(len(root)))
             if len(at):
-                k = (b[at] * BLOCK_BITS).astype(np.uint64)
-                back = np.where(k == 0, np.uint64(0), np.uint64(64) - k)
+                turn = (b[at] * BLOCK_BITS).astype(np.uint64)
+                back = (np.uint64(64) - turn) % np.uint64(64)
 
                 def home(x):
-                    return np.where(k == 0, x, (x >> k) | (x << (back % np.uint64(64)))).view(np.int64)
+                    return np.where(turn == 0, x, (x >> turn) | (x << back)).view(np.int64)
 
                 yield pa.record_batch([pa.array(home(keys[at])), pa.array(home(keys[root[at]]))], names=["a", "b"])
 
     def run(it):
         held: list[np.ndarray] | None = None
         for batch in it:
-            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
             cur = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
             if not len(cur[0]):
                 continue
             # the last group may go on in the next batch
-            last = np.flatnonzero((cur[0] != cur[0][-1]) | (cur[1] != cur[1][-1]) | (cur[2] != cur[2][-1]))
+            last = np.flatnonzero((cur[0] != cur[0][-1]) | (cur[1] != cur[1][-1]) | (cur[2] != cur[2][-1]) | (cur[3] != cur[3][-1]))
             cut = int(last[-1]) + 1 if len(last) else 0
             if cut >= 1 << 16:
                 yield from emit(*[x[:cut] for x in cur])
@@ -244,6 +264,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, budget: int = 7) -> DataFrame:
+    """docs, with all columns, without those whose component has a smaller id; rows without an id stay.
+
+    Rows that repeat an id stay or go together.
+    """
+    comp = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words, budget)
+    gone = comp.where(F.col(id_col) != F.col("component_id")).select(id_col)
+    return docs.join(gone, id_col, "left_anti")
+
+
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
