@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("simhash", "quality", "decontaminate", "packing", "secret_scan")
+MODULES = ("simhash", "quality", "decontaminate", "packing", "secret_scan", "language_id")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
