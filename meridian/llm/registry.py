@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("simhash", "quality", "decontaminate", "packing", "secret_scan", "language_id")
+MODULES = ("simhash", "quality", "decontaminate", "packing", "secret_scan", "language_id", "embedding_dedup")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
