@@ -31,29 +31,33 @@ def marked(text: Column) -> Column:
     """Words parted by single spaces; a word that fills a placeholder starts with its mark."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x01-\\x03]", " ")
     t = F.regexp_replace(t, "(?<=[\\p{Ll}\\p{Nd},;:] )(?=\\p{Lu}\\p{Ll})", NAME)
-    t = F.regexp_replace(t, "(?<=\\p{Nd})[.,:/](?=\\p{Nd})", "_")
-    t = F.regexp_replace(t, "(?<![\\p{L}\\p{Nd}_\\x01])(?=\\p{Nd}[\\p{Nd}_]*(?![\\p{L}\\p{Nd}_]))", NUMBER)
-    t = F.regexp_replace(t, f"(?i)(?<=[\\p{{Nd}}] )(?=(?:{UNITS})(?!\\p{{L}}))", UNIT)
+    n = F.regexp_replace(t, "(?<=\\p{Nd})[.,:/](?=\\p{Nd})", "_")
+    n = F.regexp_replace(n, "(?<![\\p{L}\\p{Nd}_\\x01])(?=\\p{Nd}[\\p{Nd}_]*(?![\\p{L}\\p{Nd}_]))", NUMBER)
+    n = F.regexp_replace(n, f"(?i)(?<=\\p{{Nd}} )(?=(?:{UNITS})(?!\\p{{L}}))", UNIT)
+    t = F.when(text.rlike("\\p{Nd}"), n).otherwise(t)
     return F.trim(F.regexp_replace(F.lower(t), "[^\\p{L}\\p{M}\\p{Nd}_\\x01-\\x03]+", " "))
 
 
+def _is_slot(word: Column) -> Column:
+    return F.ascii(word).between(1, 3)
+
+
 def _tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (id, raw, tpl): the marked words and the template tokens, position by position."""
-    df = df.select(F.col(id_col), marked(F.col(text_col)).alias("_m")).where("_m <> ''")
-    return df.select(id_col, F.split("_m", " ").alias("raw"), F.split(F.regexp_replace("_m", "([\\x01-\\x03])[^ ]*", "$1"), " ").alias("tpl"))
+    """Rows (id, raw, tpl): the marked words and the hashes of the template tokens, position by position."""
+    raw = df.select(id_col, F.split(marked(F.col(text_col)), " ").alias("raw"))
+    return raw.withColumn("tpl", F.transform("raw", lambda w: F.xxhash64(F.when(_is_slot(w), F.substring(w, 1, 1)).otherwise(w))))
 
 
 def _hash_of(n: int):
-    return lambda start: F.xxhash64(F.slice("tpl", start, n))
+    return lambda start: F.xxhash64(*[F.get("tpl", start + k) for k in range(n)])
 
 
 def _windows(tokens: DataFrame, keep: list, lengths: list[int]) -> DataFrame:
     """One row a window: keep, n (its length), pos, h (hash of its template)."""
     parts = []
     for n in lengths:
-        starts = F.when(F.size("tpl") >= n, F.sequence(F.lit(1), F.size("tpl") - (n - 1))).otherwise(F.array().cast("array<int>"))
-        hashes = F.transform(starts, _hash_of(n))
-        parts.append(tokens.select(*keep, F.lit(n).alias("n"), F.posexplode(hashes).alias("pos", "h")))
+        starts = F.when(F.size("tpl") >= n, F.sequence(F.lit(0), F.size("tpl") - n)).otherwise(F.array().cast("array<int>"))
+        parts.append(tokens.select(*keep, F.lit(n).alias("n"), F.posexplode(F.transform(starts, _hash_of(n))).alias("pos", "h")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -69,10 +73,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     null, empty or wordless texts leak nowhere; rows that repeat an id count as one;
     an empty table on either side gives no rows. Other columns are not read.
     """
-    items = _tokens(benchmark.where(F.col(item_col).isNotNull()), item_col, item_text).withColumnsRenamed({item_col: "_item", "raw": "item_raw"}).dropDuplicates(["_item", "item_raw"])
+    items = _tokens(benchmark.where(F.col(item_col).isNotNull()), item_col, item_text).where("raw[0] <> ''").withColumnsRenamed({item_col: "_item", "raw": "item_raw"}).dropDuplicates(["_item", "item_raw"])
     lengths = sorted({min(window, r[0]) for r in items.select(F.least(F.size("tpl"), F.lit(window)).alias("n")).distinct().collect()}) or [window]
     own = _windows(items, ["_item", "item_raw", "tpl"], lengths).where(F.col("n") == F.least(F.size("tpl"), F.lit(window)))
-    words = F.size(F.filter(F.slice("tpl", F.col("pos") + 1, F.col("n")), lambda w: ~w.rlike("^[\\x01-\\x03]")))
+    words = F.size(F.filter(F.slice("item_raw", F.col("pos") + 1, F.col("n")), lambda w: ~_is_slot(w)))
     own = own.where(words >= F.least(F.lit(LEAST_WORDS), F.col("n")))
     own = own.select("_item", "n", "h", F.col("pos").alias("item_pos"), F.slice("item_raw", F.col("pos") + 1, F.col("n")).alias("item_words"))
     totals = own.groupBy("_item").agg(F.countDistinct("item_pos").alias("n_windows"))
@@ -82,7 +86,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     theirs = _windows(_tokens(docs.where(F.col(id_col).isNotNull()), id_col, text_col).withColumnRenamed(id_col, "_doc"), ["_doc", "raw"], lengths)
     met = theirs.join(own, ["n", "h"])
     pairs = F.zip_with("item_words", F.slice("raw", F.col("pos") + 1, F.col("n")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    slots = F.filter(pairs, lambda p: p["a"].rlike("^[\\x01-\\x03]"))
+    slots = F.filter(pairs, lambda p: _is_slot(p["a"]))
     met = met.select("_doc", "_item", "item_pos", (F.col("pos") - F.col("item_pos")).alias("offset"), slots.alias("slots"))
     aligned = met.groupBy("_doc", "_item", "offset").agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     consistent = F.size(F.array_distinct(F.transform("slots", lambda p: p["a"]))) == F.size("slots")
