@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import batches, connected_components, durable, table
 
 BLOCKS = 4
+#: Seeds under which one_of_each() looks for near copies.
+SEEDS = (42, 43, 44)
 BLOCK_BITS = 16
 #: Distinct fingerprints of one block value beyond which its subtree is dealt out as pairs of cells.
 HOT_SUBTREE = 1024
@@ -32,26 +34,34 @@ LEAF_PAIRS = 64
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     """64-bit SimHash; null or wordless text: 0. Fewer words than a shingle: the whole sequence is one."""
+    return seeded(text, words, (seed,))[0]
+
+
+def seeded(text: str | None, words: int, seeds: tuple[int, ...]) -> list[int]:
+    """fingerprint() under each seed; the shingles are made once."""
     toks = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not toks:
-        return 0
+        return [0] * len(seeds)
     n = max(1, len(toks) - words + 1)
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    bits = np.zeros(64, np.int64)
+    bits = np.zeros((len(seeds), 64), np.int64)
     for at in range(0, n, 1 << 16):  # a very long text in pieces
-        h = np.array([digest(join(toks[i : i + words]), seed) for i in range(at, min(n, at + (1 << 16)))], dtype="<u8")
-        bits += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(bits * 2 > n, bitorder="little").view("<u8")[0])
+        shingles = [join(toks[i : i + words]) for i in range(at, min(n, at + (1 << 16)))]
+        for k, seed in enumerate(seeds):
+            h = np.array([digest(s, seed) for s in shingles], dtype="<u8")
+            bits[k] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(bits * 2 > n, axis=1, bitorder="little").view("<u8").ravel().tolist()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """Rows (id_col, fp): fp is the fingerprint's bits as a signed long. One row in, one row out."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seeds: tuple[int, ...] = (42,)) -> DataFrame:
+    """Rows (id_col, fp, fp1, ...): the fingerprint's bits as a signed long, one for each seed. One row in, one row out."""
+    names = ["fp", *(f"fp{k}" for k in range(1, len(seeds)))]
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        fps = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], dtype=np.uint64)
-        return pa.record_batch([b.column(0), pa.array(fps.view(np.int64))], names=[id_col, "fp"])
+        fps = np.array([seeded(t, words, seeds) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
+        return pa.record_batch([b.column(0), *(pa.array(fps[:, k]) for k in range(len(seeds)))], names=[id_col, *names])
 
-    return batches(docs.select(id_col, text_col), f"{id_col} {docs.schema[id_col].dataType.simpleString()}, fp long", batch)
+    return batches(docs.select(id_col, text_col), f"{id_col} {docs.schema[id_col].dataType.simpleString()}, {', '.join(f'{n} long' for n in names)}", batch)
 
 
 class _Forest:
@@ -264,12 +274,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, budget: int = 7) -> DataFrame:
+def near_under_any(docs: DataFrame, seeds: tuple[int, ...], id_col: str = "doc_id", text_col: str = "text", words: int = 5, budget: int = 7) -> DataFrame:
+    """Rows (id_col, component_id) where documents link if their fingerprints under any of the seeds do.
+
+    A pair whose bits happen to fall apart under one seed is found under another, which
+    costs a pass of hashing and a join each, where a larger budget would cost the square
+    of the corpus. Ids are longs and not null.
+    """
+    names = ["fp", *(f"fp{k}" for k in range(1, len(seeds)))]
+    fps = durable(fingerprints(docs, id_col, text_col, words, seeds))
+    nodes = durable(fps.groupBy(*names).agg(F.min(id_col).cast("long").alias("node")))
+    edges = None
+    for name in names:
+        least = durable(nodes.groupBy(name).agg(F.min("node").alias("least")))
+        same = nodes.join(least, name).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+        met = links(least.select(F.col(name).alias("fp")), budget)
+        side = lambda c, to: least.select(F.col(name).alias(c), F.col("least").alias(to))  # noqa: B023, E731
+        met = met.join(side("a", "x"), "a").join(side("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        part = durable(same.unionByName(met))
+        edges = part if edges is None else edges.unionByName(part)
+    comps = connected_components(edges)
+    named = nodes.join(comps, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
+    return fps.join(named, names).select(id_col, "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, budget: int = 7, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
     """docs, with all columns, without those whose component has a smaller id; rows without an id stay.
 
     Rows that repeat an id stay or go together.
     """
-    comp = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words, budget)
+    comp = near_under_any(docs.where(F.col(id_col).isNotNull()), seeds, id_col, text_col, words, budget)
     gone = comp.where(F.col(id_col) != F.col("component_id")).select(id_col)
     return docs.join(gone, id_col, "left_anti")
 

@@ -69,6 +69,18 @@ def test_simhash(spark, sf_dir, words, budget, monkeypatch):
     assert found == want
 
 
+def test_near_under_any(spark, sf_dir):
+    t = dict(list(texts(spark, sf_dir).items())[:260])
+    t |= {k + 5000: " ".join(x.split()[:-3]) for k, x in list(t.items())[:60]}
+    d = spark.createDataFrame(list(t.items()), "doc_id long, text string")
+    fps = {k: simhash.seeded(x, 5, (42, 43)) for k, x in t.items()}
+    ids = sorted(t)
+    pairs = [(a, b) for i, a in enumerate(ids) for b in ids[:i] if any((x ^ y).bit_count() <= 7 for x, y in zip(fps[a], fps[b]))]
+    want = least_reachable(ids, pairs)
+    got = {r.doc_id: r.component_id for r in simhash.near_under_any(d, (42, 43)).collect()}
+    assert got == want and len(set(want.values())) < len(ids)
+
+
 def test_language_held_out(spark, sf_dir):
     got = language_id.op1_language_id(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     for r in got:

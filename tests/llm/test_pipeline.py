@@ -17,7 +17,7 @@ def test_stages_against_their_definitions(spark, sf_dir):
     rows = dict(kept)
     good = {r.doc_id for r in quality.classify(docs, quality.grades(spark.read.parquet(f"{sf_dir}/labels.parquet"))).where("kept").collect()}
     assert rows["quality"] == good
-    comp = simhash.near_duplicates(docs.where(docs.doc_id.isin(list(good))), words=5, budget=7).collect()
+    comp = simhash.near_under_any(docs.where(docs.doc_id.isin(list(good))), simhash.SEEDS).collect()
     assert rows["near_dedup"] == {r.component_id for r in comp}
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     leaked = {r.doc_id for r in decontaminate.leaks(docs, bench).collect()}
