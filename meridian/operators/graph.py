@@ -89,7 +89,7 @@ def per_query(queries: DataFrame, edges: DataFrame) -> DataFrame:
     belong to one_to_all.
     """
 
-    def solve(key, q: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple, q: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         rows = []
         arcs = list(zip(e.a, e.b, e.cost))
         for s, t in zip(q.start, q.end):
