@@ -3,7 +3,7 @@
 The histogram of piece lengths has at most `capacity` bins, so whatever the corpus it
 fits the driver. Patterns of up to three lengths that fill a sequence are enumerated;
 non-negative least squares fits how often each is used to the histogram; the counts are
-rounded down and the pieces left over are packed best fit decreasing, bin by bin of the
+rounded, carrying what is left of one to the next, and the pieces left over are packed best fit decreasing, bin by bin of the
 histogram and not piece by piece. The plan is a table of runs (length, first rank, count,
 pattern run, slot offset) and each piece finds its run by its rank among pieces of its
 length. Ranks come from counts per (part, length), so no length is gathered anywhere.
@@ -25,6 +25,11 @@ from .common import batches, durable, table
 
 CAPACITY = 2048
 END_ID = 0
+#: Share of the fitted counts that is packed by patterns; the rest is left, short pieces of
+#: every length among it, so that best fit can fill the last gaps.
+FITTED = 0.9
+#: Pieces shorter than this share of a sequence take part in no pattern: they fill gaps.
+SHORT = 0.1
 
 _encoders: dict = {}
 
@@ -111,7 +116,7 @@ def patterns(capacity: int, lengths: np.ndarray) -> np.ndarray:
     return p[p[:, 2] < capacity]
 
 
-def fit_patterns(hist: np.ndarray, pats: np.ndarray, steps: int = 400) -> np.ndarray:
+def fit_patterns(hist: np.ndarray, pats: np.ndarray, steps: int = 100) -> np.ndarray:
     """Non-negative repeat counts x that bring the patterns' lengths closest to hist, in least squares.
 
     Accelerated projected gradient; residuals of long lengths weigh more, as they are
@@ -152,13 +157,16 @@ def plan(hist: np.ndarray, capacity: int = CAPACITY) -> pd.DataFrame:
         runs.append((full, used, (capacity,)))
         used += full
         left[capacity] = 0
-    pats = patterns(capacity, np.flatnonzero(left))
-    x = fit_patterns(left.astype(float), pats)
-    for k in np.argsort(-x, kind="stable"):
-        if x[k] < 1:
-            break
+    lengths = np.flatnonzero(left)
+    pats = patterns(capacity, lengths[lengths >= SHORT * capacity])
+    # rounding: the fit spreads a length's count over many patterns, so what one leaves of a
+    # whole goes on to the next in order (of its longest length) instead of being cut off
+    x = FITTED * fit_patterns(left.astype(float), pats)
+    order = np.lexsort((pats[:, 1], -pats[:, 2])) if len(pats) else np.empty(0, np.int64)
+    whole = np.diff(np.floor(np.cumsum(x[order]) + 1e-9), prepend=0).astype(np.int64)
+    for k, m in zip(order[whole > 0].tolist(), whole[whole > 0].tolist(), strict=True):
         parts, need = np.unique(pats[k][pats[k] > 0], return_counts=True)
-        m = min(int(x[k] + 1e-6), int((left[parts] // need).min()))
+        m = min(m, int((left[parts] // need).min()))
         if m > 0:
             left[parts] -= need * m
             runs.append((m, used, tuple(int(v) for v in pats[k][::-1] if v > 0)))
