@@ -42,3 +42,34 @@ def lane_turn(lane: Column, place: tuple[int, int]) -> Column:
 
 def pack_lane(primary: Column, secondary: Column, tertiary: Column, active: Column) -> Column:
     return F.shiftleft(primary, LANE_PRIMARY[0]) + F.shiftleft(secondary, LANE_SECONDARY[0]) + F.shiftleft(tertiary, LANE_TERTIARY[0]) + active.cast("int")
+
+
+def transit_id(route: Column, start: Column, segment: Column) -> Column:
+    """A boarding of a public-transport route as one number; null where a part does not fit its bits."""
+    fits = route.between(0, (1 << 39) - 1) & start.between(0, (1 << 11) - 1) & segment.between(0, (1 << 11) - 1)
+    return F.when(fits, F.shiftleft(route.cast("bigint"), 22) + F.shiftleft(start.cast("bigint"), 11) + segment)
+
+
+def transit_parts(packed: Column) -> dict[str, Column]:
+    """transit_id() undone."""
+    low = (1 << 11) - 1
+    return {"route": F.shiftright(packed, 22), "start": F.shiftright(packed, 11).bitwiseAND(low), "segment": packed.bitwiseAND(low)}
+
+
+def match_state(segment: Column, point: Column) -> Column:
+    """A map-matching state: a directed segment and the trace point it was reached at."""
+    return F.shiftleft(segment.cast("bigint"), 30) + point
+
+
+def saturating_add(a: Column, b: Column) -> Column:
+    """32-bit sum that stays at the ends of its range."""
+    return F.greatest(F.lit(-(1 << 31)), F.least(F.lit((1 << 31) - 1), a.cast("bigint") + b)).cast("int")
+
+
+def blend_bytes(a: Column, b: Column) -> Column:
+    """Two colours of four bytes multiplied byte by byte, 255 standing for one."""
+    part = lambda c, k: F.shiftright(c, k).bitwiseAND(255)
+    out = F.lit(0).cast("bigint")
+    for k in (0, 8, 16, 24):
+        out = out + F.shiftleft((part(a.cast("bigint"), k) * part(b.cast("bigint"), k) / 255).cast("bigint"), k)
+    return out

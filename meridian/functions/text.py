@@ -112,3 +112,48 @@ def simple_layer(tags: Column) -> Column:
     last = lambda key: F.get(F.reverse(F.filter(tags, lambda t: t["tag"] == key)), F.lit(0))["value"]
     by_layer = F.when(layer.startswith("-"), -1).when(layer.startswith("0"), 0).otherwise(1)
     return F.when(layer.isNotNull(), by_layer).when(last("tunnel") == "yes", -1).when(last("bridge") == "yes", 1).otherwise(0)
+
+
+def number_text(v: Column) -> Column:
+    """A number as rule values are written: one decimal."""
+    return F.format_string("%.1f", v.cast("double"))
+
+
+def possible_index(values: Column, v: Column) -> Column:
+    """Place of a number among possible values by its text, 0 if it is not there."""
+    return F.greatest(F.coalesce(F.array_position(F.transform(values, number_text), number_text(v)).cast("int"), F.lit(0)) - 1, F.lit(0))
+
+
+def parameters_text(params: Column) -> Column:
+    """A map of parameters as 'key' (value true) or 'key=value', by key, joined by commas; false ones are left out."""
+    entries = F.filter(F.array_sort(F.map_entries(params)), lambda e: e["value"] != "false")
+    return F.array_join(F.transform(entries, lambda e: F.when(e["value"] == "true", e["key"]).otherwise(F.concat_ws("=", e["key"], e["value"]))), ",")
+
+
+def scaled_value(v: Column, density: float) -> Column:
+    """A drawing size 'a' or 'a:b': a scaled by the density and b pixels on top."""
+    p = F.split(v, ":")
+    num = lambda i: F.coalesce(F.get(p, F.lit(i)).try_cast("double"), F.lit(0.0))
+    return num(0) * density + num(1)
+
+
+def dashes(v: Column, density: float) -> Column:
+    """A dash pattern 'a:b_c:d' as sizes."""
+    return F.transform(F.split(v, "_"), lambda s: scaled_value(s, density))
+
+
+def icon_name(v: Column, tags: Column) -> Column:
+    """An icon's name 'prefix?tag?suffix' with the tag's value in it; empty if the tag is missing."""
+    parts = F.split(v, "\\?")
+    value = F.get(F.filter(tags, lambda t: t["tag"] == F.get(parts, F.lit(1))), F.lit(0))["value"]
+    return F.when(F.size(parts) < 3, v).otherwise(F.coalesce(F.concat(F.get(parts, F.lit(0)), value, F.get(parts, F.lit(2))), F.lit("")))
+
+
+def lower_ascii(v: Column) -> Column:
+    """A to Z in lower case, all else as it is."""
+    return F.translate(v, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def without_version(v: Column) -> Column:
+    """A file's name without the version digits at its end."""
+    return F.regexp_replace(v, "[_0-8]+$", "")
