@@ -29,7 +29,7 @@ DIMS = 1 << 22
 #: Rated documents used at most to fit; the bound is on the classifier's sample only.
 FIT_ROWS = 12_000
 #: A document is kept when the probability of the top grade is at least this.
-KEEP_AT = 0.6
+KEEP_AT = 0.8
 #: Standard errors by which the mean grade of a feature's rows must stand off to be used.
 TELLING = 4.0
 #: Standard deviations of the grade by which it must.
@@ -101,7 +101,7 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(s[:, None] - self.cuts[None, :], -40, 40)))
 
 
-def fit(rows: list[np.ndarray], grade: np.ndarray, steps: int = 150, l2: float = 1e-3, rate: float = 0.05) -> OrdinalModel:
+def fit(rows: list[np.ndarray], grade: np.ndarray, steps: int = 200, l2: float = 1e-5, rate: float = 0.1) -> OrdinalModel:
     """Maximum likelihood with an L2 penalty, by Adam on the whole sample.
 
     A feature takes part if it is in three rows or more and the mean grade of its rows is
