@@ -30,11 +30,19 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _BLOCK = frozenset("html body head title address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul caption template noscript script style".split())
 _MARK = frozenset(("article", "main"))
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
-#: Words of class and id names that mark parts that are no article.
+#: Words of class and id names that mark parts that are no article, and those that mark the article.
 _OTHER = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|masthead|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|comments?|disqus|replies|respond|related|recommended|share|sharing|social|widget|pagination|pager|skip)(?=$|[\s_-])",
-    re.I,
+    r"(?:^|[_-])(?:ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav|navbar|navigation|topbar|toolbar|menu\w*|breadcrumbs?|side|sidebar\w*|aside|rail|footer\w*|masthead|cookies?\w*|consent|gdpr|privacy|notices?|notifications?|alert\w*|popup\w*|modal\w*|overlay|newsletter\w*|subscri\w*|signup|login|paywall|comments?|commentlist|commenters?|disqus|repl(?:y|ies)|respond|related\w*|recommend\w*|share|sharing|social\w*|widgets?|pagination|pager|skip|tags|outbrain|taboola|form|search\w*)(?=$|[_-])"
 )
+_OTHER_ARTICLE = re.compile(r"^(?:ad|advert\w*|sponsor\w*|promo\w*|comments?|repl(?:y|ies)|related\w*|recommend\w*|teaser\w*)(?=$|[_-])")
+_CONTENT = re.compile(r"^(?:content|main|article|post|entry|story|(?:main|page|article|post|entry|story|body)-(?:content|body|text|main)|content-(?:body|main))$")
+_STATES = ("has-", "with-", "no-", "is-", "js-", "without-", "not-")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+
+
+def _names(value: str) -> list[str]:
+    """Class or id names, camel humps as hyphens, in lower case, without those that only tell a state."""
+    return [n for n in _HUMP.sub("-", value).lower().replace("__", "-").split() if not n.startswith(_STATES)]
 
 
 class _Lines(HTMLParser):
@@ -67,13 +75,20 @@ class _Lines(HTMLParser):
             return not self.marks
         if tag in ("html", "body"):
             return False
+        words = _OTHER_ARTICLE if tag in _MARK else _OTHER
         for k, v in attrs:
-            if v and (k in ("class", "id") and _OTHER.search(v) or k == "role" and v.lower() in _ROLES or k == "hidden" or k == "aria-hidden" and v == "true"):
+            if k == "hidden" or k == "aria-hidden" and v == "true":
                 return True
-            if k == "hidden":
+            if v and (k in ("class", "id") and any(words.search(n) for n in _names(v)) or k == "role" and v.lower() in _ROLES):
                 return True
         return False
 
+    def _content(self, tag: str, attrs) -> bool:
+        """Whether a plain element says that it holds the content; inside a marked one that tells nothing new."""
+        if self.marks or tag not in ("div", "section", "td"):
+            return False
+        return any(v and (k in ("class", "id") and any(_CONTENT.match(n) for n in _names(v)) or k == "role" and v == "main" or k == "itemprop" and v == "articleBody") for k, v in attrs)
+
     def handle_starttag(self, tag, attrs):
         if tag in _BLOCK:
             self.flush()
@@ -96,7 +111,7 @@ class _Lines(HTMLParser):
             self._pop()
         self.open.append((tag, other))
         self.dropping += other
-        if tag in _MARK and not self.dropping and not (tag == "main" and self.marks):
+        if not self.dropping and (tag == "article" or tag == "main" and not self.marks or self._content(tag, attrs)):
             self.n_marks += 1
             self.kinds.append(tag)
             self.marks.append((len(self.open), self.n_marks))

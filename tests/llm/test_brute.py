@@ -164,6 +164,11 @@ def test_html(spark, sf_dir):
         assert html_extract.extract(r.html) == "\n".join(x for x in want if x)
     page = "<body><nav><li>menu<header>top</header></nav><main><article><header><h1>T</h1></header><p>one &amp; two<br>three&nbsp;<b>x</b>y<aside>side</aside><section class='comments'><article>no</article></section></article></main><script>var a='<p>';</script><footer>f</footer>"
     assert html_extract.extract(page) == "T\none & two three xy"
+    long = "Some words that make a long paragraph of an article, and go on for a while yet."
+    page = f"<body class='has-sidebar'><div id='topMenu'>m</div><div class='cookieBanner'>We use cookies</div><div class='page-content with-sidebar'><h1>Title</h1><div class='post-body'><p>{long}</p><p>Short.</p><form><p>sign up</p></form><div class='ad-slot'>buy</div><p>{long}</p></div><div class='reader-comments'><p>{long}</p></div></div><div class='sidebarRight'><p>{long}</p></div></body>"
+    assert html_extract.extract(page) == f"Title\n{long}\nShort.\n{long}"
+    page = f"<article class='post has-comments'><p>{long}</p></article><section id='comments'><article class='comment'><p>{long} {long}</p></article></section>"
+    assert html_extract.extract(page) == long
     assert html_extract.extract("<![bad[ <p>text &lt;here&gt;") .endswith("text <here>")
 
 
