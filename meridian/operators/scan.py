@@ -62,9 +62,9 @@ def first_of_each(rows: DataFrame, zoom: int, order: str = "file_ord") -> DataFr
     keys = [F.col("id")]
     if zoom < DETAIL_ZOOM:
         keys += [F.get("points", F.lit(0)), F.get("points", F.size("points") - 1)]
-    salt = F.when(F.col("id") > 0, F.lit(None).cast("string")).otherwise(F.uuid())  # anonymous rows spread and stay
-    w = W.partitionBy(*keys, salt).orderBy(order, F.size("points").desc())
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    w = W.partitionBy(*keys).orderBy(order, F.size("points").desc())
+    named = rows.where("id > 0").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return named.unionByName(rows.where("id <= 0 or id is null"))
 
 
 def without_deleted(rows: DataFrame, deleted: DataFrame, order: str = "file_ord") -> DataFrame:

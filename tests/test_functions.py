@@ -125,3 +125,19 @@ def test_layers(spark):
     assert one(spark, text.first_is(t(("a", "x"), ("a", "y")), "a", "y")) is False
     assert one(spark, text.has_tag(t(("a", "x"), ("a", "y")), "a", "y")) is True
     assert math.isclose(one(spark, tile.pow_zoom(F.lit(3.04))), 8.0)
+
+
+@pytest.mark.parametrize("rule", ["Mo-Fr 08:00-18:00", "Mo, We, Sa 09:00-13:00; Su off", "Apr 05 - Oct 24: Fr 08:00-16:00", "24/7", "2019 Oct - 2024 Dec", "Sa, Su 20:00-03:00 || Mo 10:00-12:00", "PH off"])
+def test_hours_written_anew_mean_the_same(rule):
+    again = hours.assemble(rule)
+    assert hours.parse(again) == hours.parse(rule)
+    assert hours.always_open(rule) == (rule == "24/7")
+
+
+def test_text_forms(spark):
+    assert many(spark, [("3:2_4",)], "v0 string", text.dashes(F.col("v0"), 2.0)) == [[8.0, 8.0]]
+    assert one(spark, text.possible_index(F.array(F.lit(1.0), F.lit(2.5)), F.lit(2.5))) == 1
+    assert many(spark, [("ÄBc",)], "v0 string", text.lower_ascii(F.col("v0"))) == ["Äbc"]
+    p = bits.transit_parts(bits.transit_id(F.lit(12345), F.lit(7), F.lit(9)))
+    assert one(spark, F.array(p["route"], p["start"], p["segment"])) == [12345, 7, 9]
+    assert one(spark, bits.transit_id(F.lit(1), F.lit(4000), F.lit(1))) is None
