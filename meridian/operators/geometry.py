@@ -250,3 +250,75 @@ def tiles(features: DataFrame, zoom: int, buffer: float = 0.5) -> DataFrame:
         return pa.table({"tx": pa.array([tx] if rows else [], pa.int64()), "ty": pa.array([ty] if rows else [], pa.int64()), "n_features": pa.array([len(rows)] if rows else [], pa.int64()), "tile": pa.array([encode_tile(rows)] if rows else [], pa.binary())})
 
     return dealt.select("tx", "ty", "id", "points", "area", "tags").groupBy("tx", "ty").applyInArrow(build, "tx long, ty long, n_features long, tile binary")
+
+
+def project_on(points: list[tuple], p: tuple) -> tuple[int, tuple, float]:
+    """(leg, point on it, distance) of the place of a line nearest to p; the first of equals."""
+    best = None
+    for i, ((ax, ay), (bx, by)) in enumerate(zip(points, points[1:])):
+        dx, dy = bx - ax, by - ay
+        n = dx * dx + dy * dy
+        t = max(0.0, min(1.0, ((p[0] - ax) * dx + (p[1] - ay) * dy) / n)) if n else 0.0
+        q = (ax + t * dx, ay + t * dy)
+        d = ((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2) ** 0.5
+        if best is None or d < best[2]:
+            best = (i, q, d)
+    return best
+
+
+def with_endpoint(points: list[tuple], p: tuple) -> tuple[list[tuple], int]:
+    """A road's points with the place nearest to p among them, and its place; no point is doubled."""
+    i, q, _ = project_on(points, p)
+    q = (round(q[0]), round(q[1]))
+    if q == points[i]:
+        return list(points), i
+    if q == points[i + 1]:
+        return list(points), i + 1
+    return points[: i + 1] + [q] + points[i + 1 :], i + 1
+
+
+def inside(ring: list[tuple], p: tuple) -> bool:
+    odd = False
+    for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+        if (ay > p[1]) != (by > p[1]) and p[0] < ax + (p[1] - ay) * (bx - ax) / (by - ay):
+            odd = not odd
+    return odd
+
+
+def _properly_cross(a, b, c, d) -> bool:
+    o = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+    return o(a, b, c) * o(a, b, d) < 0 and o(c, d, a) * o(c, d, b) < 0
+
+
+def sees(ring: list[tuple], a: tuple, b: tuple) -> bool:
+    """Whether one can go straight from a to b inside an area."""
+    if any(_properly_cross(a, b, p, q) for p, q in zip(ring, ring[1:] + ring[:1])):
+        return False
+    return all(inside(ring, (a[0] + (b[0] - a[0]) * t, a[1] + (b[1] - a[1]) * t)) for t in (0.25, 0.5, 0.75))
+
+
+def across_area(ring: list[tuple], path: list[tuple]) -> list[tuple]:
+    """A way round an area's edge shortened to straight lines inside it: from each point to the last that it sees."""
+    out, k = [path[0]], 0
+    while k < len(path) - 1:
+        k = next((j for j in range(len(path) - 1, k + 1, -1) if sees(ring, path[k], path[j])), k + 1)
+        out.append(path[k])
+    return out
+
+
+def slice_between(ways: list[list[tuple]], start: tuple, end: tuple) -> list[tuple]:
+    """The geometry of a ride from one stop to another: the way's part between the places nearest to both.
+
+    On one way its slice; over two the end of the first and the start of the second; if no
+    way comes near in this order, the straight line.
+    """
+    near = lambda p: min(((project_on(w, p)[2], k, project_on(w, p)[0]) for k, w in enumerate(ways) if len(w) > 1), default=None)
+    a, b = near(start), near(end)
+    if not a or not b or (b[1], b[2]) < (a[1], a[2]):
+        return [start, end]
+    if a[1] == b[1]:
+        return ways[a[1]][a[2] : b[2] + 2]
+    out = ways[a[1]][a[2] :]
+    for k in range(a[1] + 1, b[1]):
+        out = out + ways[k]
+    return out + ways[b[1]][: b[2] + 2]

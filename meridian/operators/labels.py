@@ -109,3 +109,57 @@ def wrap(text: str, width: int) -> list[str]:
         else:
             out.append(w)
     return out
+
+
+def combine_lines(lines: list[list[tuple]], gap: float = 45.0, longest: float = 550.0) -> list[list[tuple]]:
+    """Lines of one name joined end to start while they go on in the same direction, the nearest pair first.
+
+    A pair is joined if its gap is small, neither turns back, and the result stays short.
+    """
+    out = [list(p) for p in lines if len(p) > 1]
+    size = lambda p: sum(math.dist(a, b) for a, b in zip(p, p[1:]))
+    while True:
+        pairs = []
+        for i, a in enumerate(out):
+            for j, b in enumerate(out):
+                if i == j:
+                    continue
+                d = math.dist(a[-1], b[0])
+                u, v = (a[-1][0] - a[-2][0], a[-1][1] - a[-2][1]), (b[1][0] - b[0][0], b[1][1] - b[0][1])
+                if d <= gap and u[0] * v[0] + u[1] * v[1] > 0 and size(a) + d + size(b) <= longest:
+                    pairs.append((d, i, j))
+        if not pairs:
+            return out
+        _, i, j = min(pairs)
+        joined = out[i] + (out[j][1:] if out[i][-1] == out[j][0] else out[j])
+        out = [p for k, p in enumerate(out) if k not in (i, j)] + [joined]
+
+
+def combine_names(lines: DataFrame, gap: float = 45.0, longest: float = 550.0) -> DataFrame:
+    """Rows (tile, text, part, points) of lines (tile, text, id, points): one name of one tile a group."""
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", kind="stable")
+        got = combine_lines([[(p["x"], p["y"]) for p in r] for r in pdf.points], gap, longest)
+        rows = [(pdf.tile.iloc[0], pdf.text.iloc[0], k, [{"x": float(x), "y": float(y)} for x, y in p]) for k, p in enumerate(got)]
+        return pd.DataFrame(rows, columns=["tile", "text", "part", "points"])
+
+    return lines.select("tile", "text", "id", "points").groupBy("tile", "text").applyInPandas(solve, "tile long, text string, part int, points array<struct<x:double,y:double>>")
+
+
+def along_path(points: list[tuple], sizes: list[float], start: float) -> list[tuple[float, float, float]] | None:
+    """(x, y, angle) for glyphs of given widths set along a path from start; None if the path is too short."""
+    out, at, k, done = [], start, 0, 0.0
+    legs = list(zip(points, points[1:]))
+    for w in sizes:
+        mid = at + w / 2
+        while k < len(legs) and done + math.dist(*legs[k]) < mid:
+            done += math.dist(*legs[k])
+            k += 1
+        if k == len(legs):
+            return None
+        (ax, ay), (bx, by) = legs[k]
+        t = (mid - done) / math.dist(*legs[k])
+        out.append((ax + t * (bx - ax), ay + t * (by - ay), math.atan2(by - ay, bx - ax)))
+        at += w
+    return out

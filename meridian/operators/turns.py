@@ -69,3 +69,36 @@ def side_roads(route: DataFrame, junction_roads: DataFrame) -> DataFrame:
     r = route.withColumn("_next", F.lead("road_id").over(w)).withColumnRenamed("road_id", "_own")
     j = junction_roads.select(F.col("x").alias("x_end"), F.col("y").alias("y_end"), F.col("road_id").alias("side"))
     return r.join(j, ["x_end", "y_end"]).where((F.col("side") != F.col("_own")) & ~F.col("side").eqNullSafe(F.col("_next"))).select("route", "seq", "side").distinct()
+
+
+def split_at_junctions(slices: DataFrame, junctions: DataFrame, key: str = "route", order: str = "seq") -> DataFrame:
+    """Route slices (route, seq, road_id, i, j) cut where another road meets them inside: junctions has road_id, at.
+
+    Rows (route, seq, piece, road_id, i, j), pieces in the direction of travel.
+    """
+    inner = F.array_distinct(F.filter(F.col("_at"), lambda p: (p > F.least("i", "j")) & (p < F.greatest("i", "j"))))
+    at = junctions.groupBy("road_id").agg(F.collect_set("at").alias("_at"))
+    s = slices.join(at, "road_id", "left").withColumn("_at", F.coalesce("_at", F.array().cast(f"array<{slices.schema['i'].dataType.simpleString()}>")))
+    cuts = F.array_sort(F.concat(F.array("i", "j"), inner))
+    s = s.withColumn("_c", F.when(F.col("i") <= F.col("j"), cuts).otherwise(F.reverse(cuts)))
+    n = F.size("_c")
+    legs = F.arrays_zip(F.slice("_c", 1, n - 1).alias("i"), F.slice("_c", 2, n - 1).alias("j"))
+    return s.select(key, order, "road_id", F.posexplode(legs).alias("piece", "_l")).select(key, order, "piece", "road_id", F.col("_l.i").alias("i"), F.col("_l.j").alias("j"))
+
+
+def keep_turns(route: DataFrame) -> DataFrame:
+    """turn where a way goes straight on beside another that does nearly so too: keep left or right of it.
+
+    route has turn and the number of side roads that go on within 45 degrees, n_left and n_right.
+    """
+    keep = F.when(F.col("turn").isin("C", "TSLL", "TSLR"), F.when((F.col("n_right") > 0) & (F.col("n_left") == 0), "KL").when((F.col("n_left") > 0) & (F.col("n_right") == 0), "KR"))
+    return route.withColumn("turn", F.coalesce(keep, F.col("turn")))
+
+
+def without_minor_stops(points: DataFrame, side_class) -> DataFrame:
+    """Stop signs of a route (route, seq, priority) whose side roads are all of a lower class: those rows go.
+
+    side_class: rows (route, seq, priority) of the side roads, larger numbers lesser classes.
+    """
+    least = side_class.groupBy("route", "seq").agg(F.min("priority").alias("_least"))
+    return points.join(least, ["route", "seq"], "left").where("_least is null or _least <= priority").drop("_least")

@@ -171,3 +171,39 @@ def test_streams(spark, tmp_path, kind):
     q.processAllAvailable()
     q.stop()
     assert kind == "trips" or spark.table(f"out_{kind}").agg(F.sum("points")).first()[0] == 10
+
+
+def test_names_combine_and_glyphs_follow(spark):
+    got = labels.combine_lines([[(0, 0), (100, 0)], [(110, 0), (200, 5)], [(0, 50), (-50, 50)], [(600, 0), (700, 0)]])
+    assert [(0, 0), (100, 0), (110, 0), (200, 5)] in got and len(got) == 3
+    assert labels.combine_lines([[(0, 0), (100, 0)], [(100, 0), (0, 0)]]) == [[(0, 0), (100, 0)], [(100, 0), (0, 0)]]
+    p = labels.along_path([(0, 0), (10, 0), (10, 10)], [4, 4, 4], 3)
+    assert [(round(x, 6), round(y, 6)) for x, y, _ in p] == [(5, 0), (9, 0), (10, 3)] and labels.along_path([(0, 0), (5, 0)], [4, 4], 0) is None
+    rows = [(1, "A", 1, [{"x": 0.0, "y": 0.0}, {"x": 10.0, "y": 0.0}]), (1, "A", 2, [{"x": 12.0, "y": 0.0}, {"x": 20.0, "y": 0.0}]), (1, "B", 3, [{"x": 0.0, "y": 0.0}, {"x": 1.0, "y": 0.0}])]
+    df = spark.createDataFrame(rows, "tile long, text string, id long, points array<struct<x:double,y:double>>")
+    assert sorted((r.text, len(r.points)) for r in labels.combine_names(df).collect()) == [("A", 4), ("B", 2)]
+
+
+def test_endpoints_and_areas():
+    from meridian.operators import geometry
+
+    assert geometry.with_endpoint([(0, 0), (10, 0), (20, 0)], (14, 3)) == ([(0, 0), (10, 0), (14, 0), (20, 0)], 2)
+    assert geometry.with_endpoint([(0, 0), (10, 0)], (-5, 1)) == ([(0, 0), (10, 0)], 0)
+    square = [(0, 0), (10, 0), (10, 10), (0, 10)]
+    assert geometry.across_area(square, [(0, 0), (10, 0), (10, 10)]) == [(0, 0), (10, 10)]
+    ell = [(0, 0), (10, 0), (10, 4), (4, 4), (4, 10), (0, 10)]
+    assert geometry.across_area(ell, [(9, 2), (10, 0), (0, 0), (0, 10), (2, 9)])[0] == (9, 2) and not geometry.sees(ell, (9, 3), (3, 9))
+    assert geometry.slice_between([[(0, 0), (10, 0), (20, 0), (30, 0)]], (9, 1), (21, 1)) == [(0, 0), (10, 0), (20, 0), (30, 0)]
+    assert geometry.slice_between([], (0, 0), (5, 5)) == [(0, 0), (5, 5)]
+
+
+def test_route_splits_and_keeps(spark):
+    s = spark.createDataFrame([(1, 0, 5, 0, 6), (1, 1, 7, 9, 4)], "route long, seq int, road_id long, i int, j int")
+    at = spark.createDataFrame([(5, 2), (5, 2), (5, 6), (5, 8), (7, 5), (7, 7)], "road_id long, at int")
+    got = [(r.seq, r.piece, r.i, r.j) for r in turns.split_at_junctions(s, at).orderBy("seq", "piece").collect()]
+    assert got == [(0, 0, 0, 2), (0, 1, 2, 6), (1, 0, 9, 7), (1, 1, 7, 5), (1, 2, 5, 4)]
+    k = spark.createDataFrame([("C", 0, 1), ("C", 1, 1), ("TL", 0, 1), ("TSLR", 1, 0)], "turn string, n_left int, n_right int")
+    assert [r.turn for r in turns.keep_turns(k).collect()] == ["KL", "C", "TL", "KR"]
+    stops = spark.createDataFrame([(1, 0, 2), (1, 1, 2), (1, 2, 2)], "route long, seq int, priority int")
+    side = spark.createDataFrame([(1, 0, 3), (1, 1, 1)], "route long, seq int, priority int")
+    assert sorted(r.seq for r in turns.without_minor_stops(stops, side).collect()) == [1, 2]
