@@ -211,3 +211,11 @@ def op9_embeddings(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_embeddings": op9_embeddings}
+
+ORACLE_SQL = {
+    "op9_embeddings": r"""with recursive v as (select vec_id, label, embedding::double[] as e from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.93),
+r as (select vec_id as n, vec_id as m from embeddings union select p.b, r.m from r join p on p.a = r.n),
+c as (select n, min(m) as component_id from r group by n), k as (select a, count(*) as n_links from p group by a)
+select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id = component_id as kept from embeddings join c on c.n = vec_id left join k on k.a = vec_id"""
+}

@@ -206,3 +206,10 @@ def op4_html(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_html": op4_html}
+
+#: The same for pages that mark their article and part its blocks by <p> and <h1>, as the table here does.
+ORACLE_SQL = {
+    "op4_html": r"""with a as (select page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) as art from pages),
+b as (select page_id, url, list_filter(list_transform(regexp_split_to_array(replace(art, '<br>', ' '), '</?(?:p|h1)>'), lambda x: trim(regexp_replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> '') as blocks from a)
+select page_id, url, coalesce(array_to_string(blocks, chr(10)), '') as text, length(coalesce(array_to_string(blocks, chr(10)), '')) as n_chars from b"""
+}

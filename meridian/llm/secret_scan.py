@@ -136,3 +136,20 @@ def op5_secrets(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_secrets": op5_secrets}
+
+def _listed(order: int, kind: str, pattern: str, group: int, least: int) -> str:
+    quoted = pattern.replace("'", "''")
+    take = lambda k: f"unnest(regexp_extract_all(t, '(?s)(.*?)({quoted})', {k}))"
+    return f"select doc_id, source, '{kind}' as kind, {order} as ord, {take(1)} as gap, {take(2)} as hit, {take(2 + group)} as val, unnest(range(0, len(regexp_extract_all(t, '{quoted}')))) as i, {least} as least from d"
+
+
+#: The base kinds; the loose ones need looks to both sides of a match, which SQL's expressions lack.
+ORACLE_SQL = {
+    "op5_secrets": f"""with d as (select doc_id, source, coalesce(text, '') as t from documents),
+m as ({' union all '.join(_listed(i, k, p.replace('(?i)(?:', '(?i:'), g, n) for i, (k, p, g, n) in enumerate(BASE))}),
+s as (select *, sum(length(gap) + length(hit)) over (partition by doc_id, ord order by i) as fin from m),
+k as (select doc_id, source, kind, ord, val, cast(fin - length(hit) as bigint) as st, cast(fin as bigint) as fin from s where length(val) >= least),
+o as (select val, count(distinct coalesce(source, '')) as owners from k group by val), j as (select k.*, owners from k join o using (val)),
+r as (select doc_id, count(*) filter (ord = 0) as n_assign, count(*) filter (ord = 1) as n_access, count(*) filter (ord = 2) as n_hex, string_agg(kind || ':' || st || ':' || fin, ',' order by st, ord) as spans, count(*) filter (owners < {SHARED_OWNERS}) as n_live from j group by doc_id)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_live, 0) as n_live from documents left join r using (doc_id)"""
+}

@@ -428,3 +428,12 @@ def op6_substrings(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_substrings": op6_substrings}
+
+ORACLE_SQL = {
+    "op6_substrings": r"""with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents), w as (select doc_id, unnest(range(0, length(h) // 2 - 99)) as p from d where length(h) >= 200),
+x as (select w.doc_id, p, md5(substring(h, 2 * p + 1, 200)) as s from w join d using (doc_id)), f as (select doc_id, p from (select *, row_number() over (partition by s order by doc_id, p) as k from x) where k > 1),
+g as (select *, case when p > lag(p) over (partition by doc_id order by p) + 100 then 1 else 0 end as fresh from f), i as (select *, sum(fresh) over (partition by doc_id order by p rows unbounded preceding) as isl from g),
+s as (select doc_id, isl, min(p) as lo, max(p) + 100 as hi from i group by all), q as (select *, coalesce(lag(hi) over (partition by doc_id order by lo), 0) as bef from s),
+r as (select doc_id, sum(hi - lo) as n_removed, count(*) as n_spans, string_agg(substring(h, 2 * bef + 1, 2 * (lo - bef)), '' order by lo) as kept, max(hi) as fin from q join d using (doc_id) group by doc_id)
+select doc_id, cast(length(h) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, '') || substring(h, 2 * coalesce(fin, 0) + 1))) as kept_sha256 from d left join r using (doc_id)"""
+}
