@@ -46,23 +46,25 @@ class Lattices:
     """Words as arcs over a vocabulary, many words at once: position by position for all together."""
 
     def __init__(self, pieces: dict[str, int]):
-        self.pieces = pieces
+        # with every prefix of a piece, so that a look ahead ends where no piece goes on
+        self.steps = {p[:k]: -1 for p in pieces for k in range(1, len(p))} | pieces
         self.unknown = len(pieces)
-        self.longest = max(map(len, pieces), default=1)
 
     def arcs(self, words: list[str]):
         """(word, start, end, piece) of all arcs, sorted by end; a letter that is no piece has the unknown one."""
-        get, unk, longest = self.pieces.get, self.unknown, self.longest
+        get, unk = self.steps.get, self.unknown
         w, a, b, p = [], [], [], []
         for k, word in enumerate(words):
             n = len(word)
             for i in range(n):
-                one = get(word[i])
-                w.append(k), a.append(i), b.append(i + 1), p.append(unk if one is None else one)
-                for j in range(i + 2, min(n, i + longest) + 1):
+                q = get(word[i])
+                w.append(k), a.append(i), b.append(i + 1), p.append(unk if q is None or q < 0 else q)
+                j = i + 2
+                while q is not None and j <= n:
                     q = get(word[i:j])
-                    if q is not None:
+                    if q is not None and q >= 0:
                         w.append(k), a.append(i), b.append(j), p.append(q)
+                    j += 1
         w, a, b, p = (np.array(x, dtype=np.int32) for x in (w, a, b, p))
         o = np.argsort(b, kind="stable")
         return w[o], a[o], b[o], p[o]
