@@ -120,3 +120,67 @@ def label_point(points: Column, dx: Column, dy: Column) -> dict[str, Column]:
     n = F.size(points)
     mean = lambda k: F.floor(F.aggregate(points, F.lit(0).cast("bigint"), lambda s, p: s + p[k]) / n)
     return {"x": mean("x") + F.shiftleft(dx, 5), "y": mean("y") + F.shiftleft(dy, 5)}
+
+
+def clockwise(types: Column, left_hand: Column) -> Column:
+    """Whether a roundabout is driven clockwise: by its direction tag, else where traffic keeps to the left."""
+    said = first_value(types, "direction")
+    return F.coalesce(F.when(said == "clockwise", True).when(said.isin("counterclockwise", "anticlockwise"), False), left_hand)
+
+
+def applies_in_direction(point_types: Column, i: Column, forward: Column, to_start: Column, to_end: Column, near: float = 50.0) -> Column:
+    """Whether a sign at point i counts in a direction: by its direction tag, else unless it stands within near of where one comes from.
+
+    to_start, to_end: metres along the road from the point to its ends.
+    """
+    types = F.coalesce(F.get(point_types, i), F.array().cast("array<struct<tag:string,value:string>>"))
+    said = F.coalesce(first_value(types, "direction"), first_value(types, "traffic_signals:direction"))
+    by_tag = F.when(said == "forward", forward).when(said == "backward", ~forward).when(said == "both", F.lit(True))
+    behind = F.when(forward, to_start).otherwise(to_end)
+    ahead = F.when(forward, to_end).otherwise(to_start)
+    return F.coalesce(by_tag, ~((behind < near) & (ahead > near)))
+
+
+def along_types(point_types: Column, forward: Column) -> Column:
+    """Point types without those whose value or key names the other direction."""
+    other = F.when(forward, "backward").otherwise("forward")
+    keep = lambda t: ~(((t["tag"] == "direction") & (t["value"] == other)) | F.endswith(t["tag"], F.concat(F.lit(":"), other)))
+    return F.transform(point_types, lambda ts: F.filter(ts, keep))
+
+
+def exit_ref(point_names: Column, i: Column) -> Column:
+    """The number of a motorway exit at point i: its junction reference, else its own; empty if it is none."""
+    names = F.get(point_names, i)
+    return F.coalesce(F.element_at(names, "junction:ref"), F.element_at(names, "ref"), F.lit(""))
+
+
+def exit_name(point_names: Column, i: Column) -> Column:
+    names = F.get(point_names, i)
+    return F.coalesce(F.element_at(names, "exit_to"), F.element_at(names, "name"), F.lit(""))
+
+
+def is_exit(point_types: Column, i: Column) -> Column:
+    return F.coalesce(F.exists(F.get(point_types, i), lambda t: (t["tag"] == "highway") & (t["value"] == "motorway_junction")), F.lit(False))
+
+
+def with_conditions(types: Column, conditions: Column) -> Column:
+    """Types with what conditions (array of tag, value, holds) say where they hold: replaced in place, or added at the end.
+
+    The last condition of a tag that holds counts.
+    """
+    live = F.filter(conditions, lambda c: c["holds"])
+    new = lambda tag: F.get(F.reverse(F.filter(live, lambda c: c["tag"] == tag)), F.lit(0))["value"]
+    kept = F.transform(types, lambda t: F.struct(t["tag"].alias("tag"), F.coalesce(new(t["tag"]), t["value"]).alias("value")))
+    extra = F.array_distinct(F.transform(F.filter(live, lambda c: ~F.exists(types, lambda t: t["tag"] == c["tag"])), lambda c: F.struct(c["tag"].alias("tag"), new(c["tag"]).alias("value"))))
+    return F.concat(kept, extra)
+
+
+def arrow(types: Column, zoom: Column, least: int = 16) -> Column:
+    """Oneway arrow on a map: 1 along, -1 against, 0 none; none below a zoom and on roundabouts."""
+    return F.when((zoom >= least) & ~roundabout(types), oneway(types)).otherwise(0)
+
+
+def class_group(types: Column) -> Column:
+    """Rough classes of roads for filters by parameters: motorway, main, minor or other."""
+    h = highway(types)
+    return F.when(h.startswith("motorway") | h.startswith("trunk"), "motorway").when(h.rlike("^(primary|secondary|tertiary)"), "main").when(h.rlike("^(residential|unclassified|service|living_street|road)"), "minor").otherwise("other")

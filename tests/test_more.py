@@ -207,3 +207,20 @@ def test_route_splits_and_keeps(spark):
     stops = spark.createDataFrame([(1, 0, 2), (1, 1, 2), (1, 2, 2)], "route long, seq int, priority int")
     side = spark.createDataFrame([(1, 0, 3), (1, 1, 1)], "route long, seq int, priority int")
     assert sorted(r.seq for r in turns.without_minor_stops(stops, side).collect()) == [1, 2]
+
+
+def test_conditions_exits_and_signs(spark):
+    t = lambda *kv: F.array(*[F.struct(F.lit(k).alias("tag"), F.lit(v).alias("value")) for k, v in kv])
+    c = F.array(*[F.struct(F.lit(k).alias("tag"), F.lit(v).alias("value"), F.lit(h).alias("holds")) for k, v, h in (("maxspeed", "30", True), ("maxspeed", "20", False), ("access", "no", True))])
+    one = lambda col: spark.range(1).select(col.alias("v")).first().v
+    assert [tuple(x) for x in one(road.with_conditions(t(("maxspeed", "50"), ("name", "a")), c))] == [("maxspeed", "30"), ("name", "a"), ("access", "no")]
+    pts = F.array(t(("highway", "motorway_junction")), t(("direction", "backward")))
+    assert one(road.is_exit(pts, F.lit(0))) and not one(road.is_exit(pts, F.lit(5)))
+    assert one(road.applies_in_direction(pts, F.lit(1), F.lit(False), F.lit(9.0), F.lit(9.0))) is True
+    assert one(road.applies_in_direction(pts, F.lit(0), F.lit(True), F.lit(9.0), F.lit(900.0))) is False
+    assert one(F.size(F.get(road.along_types(pts, F.lit(True)), F.lit(1)))) == 0
+    names = F.array(F.create_map(F.lit("ref"), F.lit("12"), F.lit("exit_to"), F.lit("Town")))
+    assert one(road.exit_ref(names, F.lit(0))) == "12" and one(road.exit_name(names, F.lit(0))) == "Town" and one(road.exit_ref(names, F.lit(3))) == ""
+    assert one(road.clockwise(t(("direction", "clockwise")), F.lit(False))) is True
+    assert one(road.arrow(t(("oneway", "-1")), F.lit(17))) == -1 and one(road.arrow(t(("oneway", "-1")), F.lit(12))) == 0
+    assert one(road.class_group(t(("highway", "primary_link")))) == "main"
