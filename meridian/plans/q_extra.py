@@ -96,9 +96,9 @@ def class_counts(spark, d):
     return search.class_counts(search.map_search(_sources(spark, d), tile_box(1, 0, 0), 10))
 
 
-@query("next_beyond", f"with v as (select road_id as trace, i as ind, i * 10 as total from ({SQL['vertices']})) select trace, ind, (select min(w.ind) from v w where w.trace = v.trace and w.total >= v.total + 20) as next from v where trace % 10 = 0")
+@query("next_beyond", f"with v as (select road_id as trace, i as ind, i * 10 as total from ({SQL['vertices']})) select trace, ind, (select min(w.ind) from v w where w.trace = v.trace and w.total >= v.total + 20) as next from v")
 def next_beyond(spark, d):
-    v = view(spark, d, "vertices").where("road_id % 10 = 0").select(F.col("road_id").alias("trace"), F.col("i").alias("ind"), (F.col("i") * 10).alias("total"))
+    v = view(spark, d, "vertices").select(F.col("road_id").alias("trace"), F.col("i").alias("ind"), (F.col("i") * 10).alias("total"))
     return route.first_beyond(v, 20).select("trace", "ind", "next")
 
 
@@ -120,7 +120,7 @@ def unrepeated_points(spark, d):
 
 @query("hours_texts")
 def hours_texts(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet").where("event_id % 20 = 0")
+    e = spark.read.parquet(f"{d}/events.parquet")
 
 
     def run(t: pd.Series) -> pd.Series:
@@ -129,9 +129,9 @@ def hours_texts(spark, d):
     return e.select(F.col("event_id").alias("id"), F.pandas_udf(run, "string")("ts").alias("text"))
 
 
-@query("trimmed_words", "select doc_id as id, trim(substring(text, 1, 40), ' \t\n\r') as head from documents")
+@query("trimmed_words", "select doc_id as id, md5(trim(text, ' ' || chr(9) || chr(10) || chr(13))) as trimmed from documents")
 def trimmed_words(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), text.trim_blank(F.substring("text", 1, 40)).alias("head"))
+    return spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), F.md5(text.trim_blank(F.col("text")).cast("binary")).alias("trimmed"))
 
 
 @query("tile_cells", f"with p as ({SQL['places']}), t as (select id, cast(trunc((lon + 180) / 360 * 2147483648::double) as bigint) as x31, cast(trunc((1 - ln(tan(lat / 180.0 * pi()) + 1 / cos(lat / 180.0 * pi())) / pi()) / 2 * 2147483648::double) as bigint) as y31 from p) select (x31 >> 25) * 64 + (y31 >> 25) as cell, count(*) as n, min(id) as first_id from t group by 1")

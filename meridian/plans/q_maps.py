@@ -64,11 +64,11 @@ def mvt_tiles(spark, d):
     return geometry.tiles(f, 6).select("tx", "ty", "n_features", F.length("tile").cast("bigint").alias("n_bytes"), F.sha2("tile", 256).alias("sha256"))
 
 
-_SNAP = f"with p as (select trace, ind, cast(trunc(lon * 1e4) as bigint) as x, cast(trunc(lat * 1e4) as bigint) as y from ({SQL['points']}) where ind % 10 = 0)"
+_SNAP = f"with p as (select trace, ind, cast(trunc(lon * 1e4) as bigint) as x, cast(trunc(lat * 1e4) as bigint) as y from ({SQL['points']}))"
 
 
 def _trace_points(spark, d):
-    return view(spark, d, "points").where("ind % 10 = 0").select("trace", "ind", (F.col("lon") * 1e4).cast("bigint").alias("x"), (F.col("lat") * 1e4).cast("bigint").alias("y"))
+    return view(spark, d, "points").select("trace", "ind", (F.col("lon") * 1e4).cast("bigint").alias("x"), (F.col("lat") * 1e4).cast("bigint").alias("y"))
 
 
 @query("matched_traces")
@@ -77,11 +77,10 @@ def matched_traces(spark, d):
     return match.match(_trace_points(spark, d), match.legs(grid), 700, 500.0)
 
 
-@query("snapped_points", f"{_SNAP} select trace, ind, cast(round(y / 1000.0::double) as bigint) as road, abs(y - cast(round(y / 1000.0::double) as bigint) * 1000) as off from p where y % 1000 <> 500 and x <= 90000 and round(y / 1000.0::double) < 80")
+@query("snapped_points", f"{_SNAP} select trace, ind, cast(ceil(y / 1000.0::double - 0.5) as bigint) as road, abs(y - cast(ceil(y / 1000.0::double - 0.5) as bigint) * 1000) as off from p")
 def snapped_points(spark, d):
     grid = spark.range(80).select(F.col("id").alias("road_id"), F.transform(F.sequence(F.lit(0), F.lit(30)), lambda k: F.struct((k * 3000).cast("bigint").alias("x"), (F.col("id") * 1000).alias("y"))).alias("points"))
-    p = _trace_points(spark, d).where("y % 1000 <> 500 and x <= 90000")
-    s = match.snap(p, match.legs(grid), 600)
+    s = match.snap(_trace_points(spark, d), match.legs(grid), 600)
     return s.select("trace", "ind", F.shiftright("leg", 11).alias("road"), F.col("off").cast("bigint").alias("off"))
 
 

@@ -95,16 +95,16 @@ def merged_stops(spark, d):
     return transit.merge_stops(s).select("id", F.col("y").alias("first_file"), "x")
 
 
-@query("timetable", "with r as (select p_partkey as route, p_size as s from part where p_partkey % 20 = 0), t as (select route, s, k as trip, 100 + k * (s * 10) as start from r, range(0, 4) g(k)) select route, cast(trip as bigint) as trip, cast(j as bigint) as seq, cast(start + j * (s + 2) + j * 5 as bigint) as due from t, range(0, 4) h(j)")
+@query("timetable", "with r as (select p_partkey as route, p_size as s from part), t as (select route, s, k as trip, 100 + k * (s * 10) as start from r, range(0, 4) g(k)) select route, cast(trip as bigint) as trip, cast(j as bigint) as seq, cast(start + j * (s + 2) + j * 5 as bigint) as due from t, range(0, 4) h(j)")
 def timetable(spark, d):
     s = F.col("size").cast("bigint")
-    r = _parts(spark, d).where("id % 20 = 0").select(F.col("id").alias("route"), F.array(F.lit(100).cast("bigint"), s * 10, s * 10, s * 10).alias("trip_intervals"), F.array(s + 2, s + 2, s + 2).alias("stop_intervals"), F.array(*[F.lit(5).cast("bigint")] * 3).alias("waits"))
+    r = _parts(spark, d).select(F.col("id").alias("route"), F.array(F.lit(100).cast("bigint"), s * 10, s * 10, s * 10).alias("trip_intervals"), F.array(s + 2, s + 2, s + 2).alias("stop_intervals"), F.array(*[F.lit(5).cast("bigint")] * 3).alias("waits"))
     return transit.timetable(r).select("route", F.col("trip").cast("bigint").alias("trip"), F.col("seq").cast("bigint").alias("seq"), F.col("at").alias("due"))
 
 
-@query("best_results", "with r as (select o_custkey % 200 as q, o_orderkey as id, o_orderkey * 31 % 997 as s, o_orderkey % 5 as a, o_orderkey % 7 + 10 as b from orders where o_orderkey % 4 = 0), w as (select x.*, exists (select 1 from r y where y.q = x.q and (y.s < x.s or (y.s = x.s and y.id < x.id)) and y.a = x.a and y.b = x.b) as worse from r x), k as (select *, row_number() over (partition by q order by s, id) as n from w where not worse) select q as query, id, s as seconds, n as rank from k where n <= 5")
+@query("best_results", "with r as (select o_custkey % 200 as q, o_orderkey as id, o_orderkey * 31 % 997 as s, o_orderkey % 5 as a, o_orderkey % 7 + 10 as b from orders), w as (select x.*, exists (select 1 from r y where y.q = x.q and (y.s < x.s or (y.s = x.s and y.id < x.id)) and y.a = x.a and y.b = x.b) as worse from r x), k as (select *, row_number() over (partition by q order by s, id) as n from w where not worse) select q as query, id, s as seconds, n as rank from k where n <= 5")
 def best_results(spark, d):
-    o = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 4 = 0")
+    o = spark.read.parquet(f"{d}/orders.parquet")
     k = F.col("o_orderkey")
     r = o.select((F.col("o_custkey") % 200).alias("query"), k.alias("id"), (k * 31 % 997).alias("seconds"), F.array(k % 5, k % 7 + 10).alias("routes"))
     return transit.best_results(r, 5).select("query", "id", "seconds", F.col("rank").cast("bigint").alias("rank"))
@@ -112,7 +112,7 @@ def best_results(spark, d):
 
 @query("stitched_routes")
 def stitched_routes(spark, d):
-    v = view(spark, d, "calls").where("route < 20")
+    v = view(spark, d, "calls")
     stop = F.struct(F.col("stop").alias("id"), (F.col("stop") * 30).alias("x"), (F.col("stop") % 7 * 30).alias("y"))
     parts = v.groupBy("route", (F.col("due") % 3).cast("int").alias("part")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "due", stop.alias("s")))), lambda r: r["s"]).alias("stops"))
     return transit.combine_routes(parts)
@@ -144,13 +144,13 @@ def thinned_lines(spark, d):
 def shaded_tiles(spark, d):
     k = F.col("id")
     h = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: ((i * k * 31) % 97).cast("float"))
-    t = raster.shaded(_parts(spark, d).where("id % 10 = 0").select("id", h.alias("heights")), 16, 30.0)
+    t = raster.shaded(_parts(spark, d).select("id", h.alias("heights")), 16, 30.0)
     return t.select("id", F.round("slope_mean", 4).alias("slope_mean"), F.sha2("shade", 256).alias("shade"))
 
 
 @query("overlay_costs")
 def overlay_costs(spark, d):
-    arcs = view(spark, d, "arcs").where("cost <= 4")
+    arcs = view(spark, d, "arcs")
     cells = spark.range(60).select(F.col("id").alias("node"), F.floor(F.col("id") / 15).alias("cell"))
     points, net = overlay.build(arcs, cells)
     q = spark.range(12).selectExpr("id as query", "id * 5 as start", "(id * 17 + 3) % 60 as end")

@@ -43,12 +43,9 @@ def leg_crossing(spark, d):
     return features(spark, d).select("id", scan.crosses_box(F.col("points"), *box).alias("inside"))
 
 
-_LIVE = "select o_orderkey % 400 as id, cast(o_orderkey / 400 as bigint) as junk, cast(o_orderkey % 7 as int) as file_ord, o_custkey as v from orders where o_orderkey % 10 < 4"
-
-
-@query("dedupe_live", "select id, file_ord, n from (select o_orderkey % 400 as id, o_orderkey as n, cast(o_orderkey % 100000 as bigint) as file_ord, row_number() over (partition by o_orderkey % 400 order by o_orderkey % 100000, o_orderkey) as k from orders where o_orderkey % 10 < 4) where k = 1 or id = 0")
+@query("dedupe_live", "select id, file_ord, n from (select o_orderkey % 400 as id, o_orderkey as n, cast(o_orderkey % 100000 as bigint) as file_ord, row_number() over (partition by o_orderkey % 400 order by o_orderkey % 100000, o_orderkey) as k from orders) where k = 1 or id = 0")
 def dedupe_live(spark, d):
-    o = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 10 < 4")
+    o = spark.read.parquet(f"{d}/orders.parquet")
     p = F.array(F.struct(F.col("o_orderkey").alias("x"), F.col("o_orderkey").alias("y")))
     rows = o.select((F.col("o_orderkey") % 400).alias("id"), F.col("o_orderkey").alias("n"), (F.col("o_orderkey") % 100000).alias("file_ord"), p.alias("points"))
     return scan.first_of_each(rows, 15).select("id", "file_ord", "n")
@@ -85,13 +82,12 @@ def dict_join(spark, d):
     return p.join(n, "code").select("id", "name")
 
 
-_V = f"with v as ({SQL['vertices']}), r as (select * from v where road_id % 20 = 0)"
+_V = f"with v as ({SQL['vertices']})"
 
 
-@query("junction_join", f"{_V} select a.x, a.y, a.road_id as road_a, b.road_id as road_b, count(*) as n from r a join r b on a.x = b.x and a.y = b.y and a.road_id < b.road_id group by all")
+@query("junction_join", f"{_V} select a.x, a.y, a.road_id as road_a, b.road_id as road_b, count(*) as n from v a join v b on a.x = b.x and a.y = b.y and a.road_id < b.road_id group by all")
 def junction_join(spark, d):
-    r = roads(spark, d).where("road_id % 20 = 0")
-    return spatial.junctions(r).groupBy("x", "y", "road_a", "road_b").agg(F.count("*").alias("n"))
+    return spatial.junctions(roads(spark, d)).groupBy("x", "y", "road_a", "road_b").agg(F.count("*").alias("n"))
 
 
 @query("tile_range_join", f"{_B} select a.id as a, b.id as b from f a join f b on a.r >= b.l and a.l <= b.r and a.o >= b.t and a.t <= b.o where a.id < b.id")
@@ -101,10 +97,10 @@ def tile_range_join(spark, d):
     return spatial.boxes_meet(f, g, 8).where("id < id2").select(F.col("id").alias("a"), F.col("id2").alias("b"))
 
 
-@query("nearest_place", f"{_P}, q as (select * from t where id % 10 = 0), c as (select q.id, t.id as other, sqrt(pow(cast(q.x31 - t.x31 as double), 2) + pow(cast(q.y31 - t.y31 as double), 2)) as dist from q join t on q.id <> t.id), n as (select *, row_number() over (partition by id order by dist, other) as rank from c) select id, other, rank, round(dist, 1) as dist from n where rank <= 3")
+@query("nearest_place", f"{_P}, c as (select q.id, t.id as other, sqrt(pow(cast(q.x31 - t.x31 as double), 2) + pow(cast(q.y31 - t.y31 as double), 2)) as dist from t q join t on q.id <> t.id), n as (select *, row_number() over (partition by id order by dist, other) as rank from c) select id, other, rank, round(dist, 1) as dist from n where rank <= 3")
 def nearest_place(spark, d):
     p = _places(spark, d)
-    q = p.where("id % 10 = 0").select("id", F.col("x31").alias("x"), F.col("y31").alias("y"))
+    q = p.select("id", F.col("x31").alias("x"), F.col("y31").alias("y"))
     o = p.select(F.col("id").alias("other"), F.col("x31").alias("x2"), F.col("y31").alias("y2"))
     dist = F.when(F.col("id") == F.col("other"), 1e18).otherwise(F.sqrt(F.pow((F.col("x") - F.col("x2")).cast("double"), F.lit(2)) + F.pow((F.col("y") - F.col("y2")).cast("double"), F.lit(2))))
     got = spatial.nearest(q, o, "id", dist, "other", 1 << 25, k=3, rings=(1, 4, 64))
@@ -119,9 +115,9 @@ def radius_stops(spark, d):
     return spatial.within(a, b, 20_000_000, F.col("id") < F.col("other")).select("id", "other")
 
 
-@query("owner_range_join", "select o_orderkey as p, p_partkey as owner from orders join part on o_orderkey >= p_partkey * 30 and o_orderkey < p_partkey * 30 + p_size where o_orderkey % 3 = 0")
+@query("owner_range_join", "select o_orderkey as p, p_partkey as owner from orders join part on o_orderkey >= p_partkey * 30 and o_orderkey < p_partkey * 30 + p_size")
 def owner_range_join(spark, d):
-    p = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("p"))
+    p = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("p"))
     r = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("owner"), (F.col("p_partkey") * 30).alias("s"), (F.col("p_partkey") * 30 + F.col("p_size")).alias("e"))
     return spatial.in_ranges(p, r, "p", "s", "e", 100).select("p", "owner")
 

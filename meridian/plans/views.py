@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 SQL = {
     "places": "select c_custkey as id, cast((c_custkey * 7919) % 3600000 as double) / 1e4 - 180 as lon, cast((c_custkey * 104729) % 1600000 as double) / 1e4 - 80 as lat, c_mktsegment as kind, c_acctbal as weight from customer",
     "boxes": "select p_partkey as id, (p_partkey * 7919123) % 2000000000 as cx, (p_partkey * 104729321) % 2000000000 as cy, cast(p_size as bigint) * 100000 as dx, cast(p_size % 7 + 1 as bigint) * 50000 as dy, p_size % 10 + 5 as min_zoom, p_size % 10 + 11 as max_zoom, p_brand as brand, p_type as type from part",
-    "vertices": "select l_orderkey as road_id, cast(l_linenumber as bigint) as i, min(l_partkey % 500) * 1000 as x, min(l_suppkey % 40) * 1000 as y, min(l_quantity) as quantity from lineitem group by l_orderkey, l_linenumber",
+    "vertices": "select l_orderkey as road_id, cast(l_linenumber as bigint) as i, min(l_partkey) * 1000 as x, min(l_suppkey % 40) * 1000 as y, min(l_quantity) as quantity from lineitem group by l_orderkey, l_linenumber",
     "moves": "select distinct l_orderkey % 97 as from_id, l_partkey % 89 as to_id from lineitem",
     "bans": "select distinct l_orderkey % 97 as from_id, l_partkey % 89 as to_id, cast(l_suppkey % 7 + 1 as int) as type from lineitem where l_linenumber = 3 and l_orderkey % 5 = 0",
     "segments": "select l_orderkey as route, cast(l_linenumber as bigint) as seq, min(l_partkey) % 3 as road_id, case when min(l_suppkey) % 3 = 0 then 'TL' when min(l_suppkey) % 3 = 1 then 'C' end as turn, cast(min(l_quantity) as bigint) as length from lineitem group by l_orderkey, l_linenumber",
     "points": "select user_id as trace, event_id as ind, cast((event_id * 37 + user_id) % 9000 as double) / 1e3 as lon, cast((event_id * 53 + user_id) % 7000 as double) / 1e3 as lat from events",
-    "arcs": "select distinct l_partkey % 60 as a, l_suppkey % 60 as b, cast(l_partkey % 9 + 1 as bigint) as cost from lineitem where l_linenumber <= 2 and l_partkey % 60 <> l_suppkey % 60",
-    "calls": "select l_orderkey % 40 as route, cast(l_linenumber as bigint) as seq, l_suppkey % 90 as stop, cast(min(l_orderkey) * 7 % 50 as bigint) + cast(l_linenumber as bigint) * 10 as due from lineitem where l_orderkey % 3 = 0 group by l_orderkey % 40, l_linenumber, l_suppkey % 90",
+    "arcs": "select distinct l_partkey % 60 as a, l_suppkey % 60 as b, cast(l_partkey % 9 + 1 as bigint) as cost from lineitem where l_partkey % 60 <> l_suppkey % 60",
+    "calls": "select l_orderkey % 40 as route, cast(l_linenumber as bigint) as seq, l_suppkey % 90 as stop, cast(min(l_orderkey) * 7 % 50 as bigint) + cast(l_linenumber as bigint) * 10 as due from lineitem group by l_orderkey % 40, l_linenumber, l_suppkey % 90",
 }
 TABLES = {"places": "customer", "boxes": "part", "vertices": "lineitem", "moves": "lineitem", "bans": "lineitem", "segments": "lineitem", "points": "events", "arcs": "lineitem", "calls": "lineitem"}
 
