@@ -224,3 +224,22 @@ def test_conditions_exits_and_signs(spark):
     assert one(road.clockwise(t(("direction", "clockwise")), F.lit(False))) is True
     assert one(road.arrow(t(("oneway", "-1")), F.lit(17))) == -1 and one(road.arrow(t(("oneway", "-1")), F.lit(12))) == 0
     assert one(road.class_group(t(("highway", "primary_link")))) == "main"
+
+
+def test_tables_prune_folders_and_row_groups(spark, sf_dir, tmp_path):
+    from meridian.operators import scan
+    from meridian.sources import tables
+
+    f = features(spark, sf_dir).select("id", "file_ord", "min_zoom", "max_zoom", "points", "tags")
+    big = f.where("id <= 30").withColumn("id", F.col("id") + 10_000).withColumn("points", F.transform("points", lambda p: F.struct((p["x"] / 3).cast("long").alias("x"), (p["y"] * 1.01).cast("long").alias("y"))))
+    wide = spark.createDataFrame([(99_999, 0, 0, 20, [{"x": 5, "y": 5}, {"x": 2_000_000_000, "y": 2_000_000_000}], [])], f.schema)
+    f = f.unionByName(big).unionByName(wide)
+    path = str(tmp_path / "t")
+    tables.write(f, path)
+    for box in ((200_000_000, 100_000_000, 900_000_000, 1_200_000_000), (1_000_000_000, 1_000_000_000, 1_000_100_000, 1_000_100_000), (0, 0, 10, 10)):
+        got = tables.read(spark, path, box, 12)
+        want = scan.at_level(scan.in_box(scan.with_bounds(f), *box), 12)
+        assert sorted(r.id for r in got.collect()) == sorted(r.id for r in want.collect())
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "cell#" in plan.split("PartitionFilters: [")[1][:200] and "PushedFilters" in plan
+    assert tables.read(spark, path).count() == f.count()
