@@ -5,10 +5,9 @@ summed, a tanh layer, and a two-level softmax (a class, then a token in it). Tok
 words hashed to slots; the most frequent slots of the whole corpus are tokens of their
 own, the others share OTHER bins, so a token's probability is always normalised over the
 same vocabulary. Slot counts cover all documents. The network starts from the corpus'
-unigram distribution; every partition of the input trains it in numpy on its own windows
-(a share SHARE of all positions, drawn afresh for each document) and the results are
-averaged by windows, block by block through a shuffle, so what is gathered grows with the
-input and the driver holds one network. The sum of the conditional log-probabilities of
+unigram distribution; every partition of the input trains it in numpy on all of its own
+windows and the results are averaged by windows, block by block through a shuffle, so what
+is gathered grows with the input and the driver holds one network. The sum of the conditional log-probabilities of
 all positions scores a document.
 """
 
@@ -31,8 +30,6 @@ VOCABULARY = SIDE * SIDE
 OTHER = 256
 CONTEXT = 2
 HIDDEN = 32
-#: Share of each document's positions that one pass trains on.
-SHARE = 1 / 16
 BATCH = 512
 RATE = 0.05
 BLOCK = 1 << 13
@@ -166,14 +163,21 @@ class Trainer:
         row = np.arange(n)
         dc = np.exp(_log_soft(h @ net.to_class + net.class_bias))
         dc[row, c] -= 1
-        inner = net.within[c]
-        dw = np.exp(_log_soft(np.einsum("bi,bij->bj", h, inner) + net.within_bias[c]))
+        first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+        runs = [(k, slice(a, b)) for k, a, b in zip(c[first].tolist(), first.tolist(), [*first[1:].tolist(), n], strict=True)]
+        dw = np.empty((n, SIDE), np.float32)
+        for k, r in runs:
+            np.matmul(h[r], net.within[k], out=dw[r])
+        dw = np.exp(_log_soft(dw + net.within_bias[c]))
         dw[row, w] -= 1
         dc, dw = dc / n, dw / n
-        dh = dc @ net.to_class.T + np.einsum("bij,bj->bi", inner, dw)
+        dh = dc @ net.to_class.T
+        outer = np.empty((len(runs), HIDDEN, SIDE), np.float32)
+        for i, (k, r) in enumerate(runs):
+            dh[r] += dw[r] @ net.within[k].T
+            np.matmul(h[r].T, dw[r], out=outer[i])
         dz = dh * (1 - h * h)
-        first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-        self._put(4, c[first], np.add.reduceat(h[:, :, None] * dw[:, None, :], first))
+        self._put(4, c[first], outer)
         self._put(5, c[first], np.add.reduceat(dw, first))
         self._put(2, slice(None), h.T @ dc)
         self._put(3, slice(None), dc.sum(axis=0))
@@ -191,32 +195,30 @@ class Trainer:
         p[at] -= RATE * grad / np.sqrt(sq[at])
 
 
-def train(docs: DataFrame, text_col: str = "text", passes: int = 1, share: float = SHARE) -> tuple[np.ndarray, Network]:
-    """(slot to token, network). An empty corpus gives the untrained start."""
+def train(docs: DataFrame, text_col: str = "text", passes: int = 1) -> tuple[np.ndarray, Network]:
+    """(slot to token, network), trained on every position. An empty corpus gives the untrained start."""
     counts = slot_counts(docs, text_col)
     token = token_table(counts)
     net = Network.start(np.bincount(token, weights=counts, minlength=VOCABULARY))
-    for k in range(passes):
-        net = _pass(docs, text_col, token, net, share, k)
+    for _ in range(passes):
+        net = _pass(docs, text_col, token, net)
     return token, net
 
 
-def _pass(docs: DataFrame, text_col: str, token: np.ndarray, net: Network, share: float, number: int) -> Network:
+def _pass(docs: DataFrame, text_col: str, token: np.ndarray, net: Network) -> Network:
     def local(it):
         tr = Trainer(net)
         ys, xs, held = [], [], 0
         for b in it:
             for t in b.column(0).to_pylist():
                 ids = token[slots(t)]
-                # drawn by the text itself, so that a task that runs again trains alike
-                rng = np.random.default_rng([number, zlib.crc32((t or "").encode("utf-8", "surrogatepass"))])
-                at = np.flatnonzero(rng.random(len(ids)) < share)
-                if len(at):
+                for a in range(0, len(ids), 1 << 16):  # a very long text in pieces
+                    at = np.arange(a, min(len(ids), a + (1 << 16)))
                     ys.append(ids[at]), xs.append(contexts(ids, at))
                     held += len(at)
-                if held >= 16 * BATCH:
-                    _batches(tr, ys, xs)
-                    ys, xs, held = [], [], 0
+                    if held >= 16 * BATCH:
+                        _batches(tr, ys, xs)
+                        ys, xs, held = [], [], 0
         if held:
             _batches(tr, ys, xs)
         flat = tr.net.flat()

@@ -291,6 +291,12 @@ def test_lm_learns_order(spark):
     assert plain > np.mean([got[i] for i in got if i % 10 == 0]) and plain > -1.9
 
 
+def test_lm_trains_on_every_position(spark):
+    d = spark.range(60_000, numPartitions=4).selectExpr("id as doc_id", "concat('head', id % 5, ' tail', id % 5) as text")
+    # short texts whose words name each other, which one position in sixteen does not teach
+    assert lm_score.score(d).agg({"mean_log_likelihood": "avg"}).first()[0] > -0.5
+
+
 def test_lm_is_normalised():
     net = lm_score.Network.start(np.arange(lm_score.VOCABULARY))
     around = np.tile(np.array([[1, 2, 3, lm_score.VOCABULARY]]), (lm_score.VOCABULARY, 1))
