@@ -119,14 +119,19 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ow
     """docs, all rows and columns, with owner-specific values taken out of their texts.
 
     Every place of such a value in its document is replaced; values that many owners
-    carry stay, as do values without both a letter and a digit. length_col, if given,
-    follows the new text. Rows without an id stay as they are.
+    carry stay. A value of an assignment or address that is letters only may be a plain
+    word, so it goes where it stands as a whole word. length_col, if given, follows the
+    new text. What goes from a row depends on its text alone, so rows meet their values
+    by id and text, and rows without an id are redacted as any other.
     """
-    live = F.filter("spans", lambda s: ~s["shared"] & s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
-    gone = scan(docs, id_col, text_col, owner_col, repo_col, shared_owners).select(id_col, F.explode(live).alias("_s"))
-    gone = gone.groupBy(id_col).agg(F.array_sort(F.collect_set("_s.value"), lambda a, b: F.length(b) - F.length(a)).alias("_gone"))
-    new = F.aggregate("_gone", F.col(text_col), lambda t, v: F.replace(t, v, F.lit(REDACTED)))
-    out = docs.join(gone, id_col, "left").withColumn("_new", F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(new))
+    key = F.concat(F.md5(F.coalesce(F.col(text_col), F.lit(""))), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    docs_ = docs.withColumn("_row_key", key)
+    gone = scan(docs_, "_row_key", text_col, owner_col, repo_col, shared_owners).select("_row_key", F.explode(F.filter("spans", lambda s: ~s["shared"])).alias("_s"))
+    word = F.col("_s.kind").isin(ASSIGN, "address") & F.col("_s.value").rlike("^[A-Za-z]+$")
+    gone = gone.groupBy("_row_key").agg(F.array_sort(F.collect_set(F.struct("_s.value", word.alias("word"))), lambda a, b: F.length(b["value"]) - F.length(a["value"])).alias("_gone"))
+    whole = lambda v: F.concat(F.lit("(?<![A-Za-z0-9])"), v, F.lit("(?![A-Za-z0-9])"))
+    new = F.aggregate("_gone", F.col(text_col), lambda t, v: F.when(v["word"], F.regexp_replace(t, whole(v["value"]), F.lit(REDACTED))).otherwise(F.replace(t, v["value"], F.lit(REDACTED))))
+    out = docs_.join(gone, "_row_key", "left").withColumn("_new", F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(new))
     cols = [F.col("_new").alias(c) if c == text_col else F.when(F.col("_gone").isNull(), F.col(c)).otherwise(F.length("_new")).cast(docs.schema[c].dataType).alias(c) if c == length_col else F.col(c) for c in docs.columns]
     return out.select(*cols)
 

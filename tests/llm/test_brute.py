@@ -189,6 +189,15 @@ def test_secrets(spark, sf_dir):
         assert set(filter(None, joined.split(","))) <= set(r.spans.split(","))
 
 
+def test_redacts_every_kind_and_rows_without_id(spark):
+    key, hexes = "AKIA" + "QWERTYUIOPASDFGH", "123456789012345678901234"
+    rows = [(1, "password = correcthorsebattery end", "a"), (2, f"{key} x", "b"), (3, f"n {hexes} x", "c"), (None, f"n {hexes}9 x", "d"), (5, "secret: nation of nations", "e"), (None, "no value", "f"), (None, None, "g")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [r.text for r in secret_scan.redacted(d, length_col=None).collect()]
+    cut = secret_scan.REDACTED
+    assert sorted(got, key=str) == sorted([f"password = {cut} end", f"{cut} x", f"n {cut} x", f"n {cut} x", f"secret: {cut} of nations", "no value", None], key=str)
+
+
 def test_ownership(spark):
     own, common = "q7Zp3Lm9Xt2Vb6Nk4Rw8Ys1D", "Ab3Cd4Ef5Gh6Ij7Kl8Mn9Op0"
     rows = [(1, f"see {own} here", "a")] + [(10 + i, f"x {common} y password={'pw12345'}", f"s{i}") for i in range(5)]
