@@ -4,9 +4,10 @@ The standard library's streaming parser gives events; block elements cut the pag
 lines. Each line has a text-to-tag ratio (characters of text over tags, text inside links
 counted as tags); ratios are smoothed with a Gaussian over neighbouring lines, and a
 threshold on them (THRESHOLD standard deviations) separates content from the rest. Where
-the page marks its article, whole marked regions are selected by their mean ratio, so a
-short paragraph of an article stays; elsewhere runs of lines over the threshold are, with
-the lines between them. Parts that are no article by their element, role or class are
+the page marks its article, the mark is a prior: of the largest marked region all lines stay
+but those of links under the threshold, so a short paragraph of an article stays; of the other
+marked regions, whatever their size, the lines over the threshold do. Elsewhere runs of lines
+over the threshold are selected, with the lines between them. Parts that are no article by their element, role or class are
 left out before.
 """
 
@@ -179,8 +180,11 @@ def extract(html: str | None) -> str:
         if marked:
             chars = {k: float((n - linked)[region == k].sum()) for k in marked}
             most = max(chars.values())
-            keep = {k for k in marked if chars[k] == most or soft[region == k].mean() >= max(least, soft.mean()) and chars[k] >= 0.5 * most}
-            return "\n".join(t for (t, *_, m) in got if m in keep)
+            sure = np.isin(region, [k for k in marked if chars[k] == most])
+            dense = soft >= least
+            few = linked <= 0.5 * n
+            keep = np.where(sure, dense | few, (region > 0) & dense & few)
+            return "\n".join(t for (t, *_), k in zip(got, keep, strict=True) if k)
     good = np.flatnonzero((soft >= least) & (linked <= 0.5 * n))
     if not len(good):
         return ""

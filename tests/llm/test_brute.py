@@ -172,6 +172,16 @@ def test_html(spark, sf_dir):
     assert html_extract.extract("<![bad[ <p>text &lt;here&gt;") .endswith("text <here>")
 
 
+def test_html_ratio_decides_on_marked_pages():
+    long = "Some words that make a long paragraph of an article, and go on for a while yet."
+    links = "<p>" + "".join(f"<a href='{k}'>more {k}</a> " for k in range(9)) + "</p>"
+    page = f"<main><p>Lead: {long}</p><article><h1>T</h1><p>{long} {long} {long}</p><p>Short.</p>{links * 9}</article><article><p>{long}</p></article></main>"
+    got = html_extract.extract(page).split("\n")
+    assert [x for x in got if not x.startswith("more 0")] == [f"Lead: {long}", "T", f"{long} {long} {long}", "Short.", long]
+    # a line of links beside the text is lifted by the smoothing, the others are not
+    assert len(got) - 5 <= 1
+
+
 BASE = [("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24)]
 
 
