@@ -3,17 +3,20 @@
 A byte goes if a string of LENGTH bytes that covers it also starts earlier. Suffix arrays
 of everything against everything would grow with the square of the shards, so shards are
 made by content: every window of LENGTH bytes names an anchor, the least hash of its
-GRAM-byte strings, and equal windows name equal anchors. Consecutive windows of one anchor
-are a segment (about 35 windows on average).
-
-1. Segments are dealt by anchor and sorted. An anchor met once has no repeat. Segments
-   wholly equal to an earlier one go wholly. Where an anchor has different segments, the
-   earliest of each kind is compared further; the others need not be.
-2. Those segments' bytes, by shard: a suffix array by prefix doubling that sorts only the
-   groups that are still open, common prefixes in text order by Kasai's bound, all segments
-   in step; suffixes that share LENGTH bytes are one window, and all but its first go.
-3. An anchor with more segments than a shard holds has several shards; their first windows
-   are sorted together by hash and looked up by binary search.
+GRAM-byte strings, and equal windows name equal anchors, so they come to one shard or to
+the shards of one anchor. Consecutive windows of one anchor are a segment (about 35
+windows on average). Hashes only rule strings out; that two are equal is decided on their
+bytes (for whole copies of a text, which go first, on its SHA-256).
+
+1. Segments are counted by anchor. One whose anchor is met once repeats nothing.
+2. The bytes of the others, by shard: segments equal byte for byte are one. A suffix array
+   by Larsson-Sadakane refinement that sorts only the groups that are still open, common
+   prefixes in text order by Kasai's bound, all segments in step; suffixes that share
+   LENGTH bytes are one window, and all but its first go.
+3. An anchor with more segments than SHARD_SEGMENTS has several shards, dealt by document,
+   so a passage that a third of all documents share is in one task nowhere. The sorted first windows of
+   its shards are merged: each shard's are looked up in those merged so far by binary
+   search, the later of two equal ones goes and new ones are inserted.
 
 Windows are judged on the input, so the order of these steps does not matter.
 """
@@ -21,10 +24,10 @@ Windows are judged on the input, so the order of these steps does not matter.
 from __future__ import annotations
 
 import gc
-import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +39,8 @@ GRAM = 32
 SHARD_SEGMENTS = 4096
 #: Bytes of a shard (of several anchors) that are sorted together.
 SHARD_BYTES = 1 << 20
+#: Tasks over which the first windows of one anchor's shards are merged.
+MERGE_PARTS = 64
 _MIX1, _MIX2, _MIX3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -57,13 +62,6 @@ def gram_hashes(data: np.ndarray, most: int) -> dict[int, np.ndarray]:
     return out
 
 
-def window_hashes(h: dict[int, np.ndarray], length: int, n: int) -> np.ndarray:
-    """Hashes of all substrings of the length, from two overlapping ones of a power of two."""
-    k = 1 << (length.bit_length() - 1)
-    w = n - length + 1
-    return _mixed(h[k][:w] * _MIX1 + h[k][length - k : length - k + w])
-
-
 def anchors(h: np.ndarray, span: int) -> np.ndarray:
     """For each run of span hashes the place of its least one, the leftmost if equal."""
     n = len(h)
@@ -82,20 +80,16 @@ def anchors(h: np.ndarray, span: int) -> np.ndarray:
 
 
 def segments(text: bytes, length: int = LENGTH, gram: int = GRAM):
-    """(anchor hash, content hash, first window, windows) of a text's segments; empty if it is shorter than a window."""
+    """(anchor hash, first window, windows) of a text's segments; empty if it is shorter than a window."""
     n = len(text)
     if n < length:
         e = np.empty(0, np.int64)
-        return e.view(np.uint64), e.view(np.uint64), e, e
+        return e.view(np.uint64), e, e
     with np.errstate(over="ignore"):
-        h = gram_hashes(np.frombuffer(text, np.uint8), 1 << (length.bit_length() - 1))
-        w = window_hashes(h, length, n)
-        at = anchors(h[gram], length - gram + 1)[: n - length + 1]
-        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        last = np.r_[first[1:], len(at)] - 1
-        # a segment is shorter than two windows, so its first and last window cover it
-        content = _mixed(w[first] * _MIX1 + _mixed(w[last] + (at[first] - first).astype(np.uint64)))
-    return h[gram][at[first]], content, first, last - first + 1
+        h = gram_hashes(np.frombuffer(text, np.uint8), gram)[gram]
+    at = anchors(h, length - gram + 1)[: n - length + 1]
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    return h[at[first]], first, np.diff(np.r_[first, len(at)])
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
@@ -209,115 +203,109 @@ def _spans(key: np.ndarray, at: np.ndarray, length: int):
     return key[first], at[first], at[last] + length
 
 
-def _record(kind, key, lo, hi, anchor, shard):
-    n = len(key)
-    full = lambda v: np.full(n, v, np.int64) if np.isscalar(v) else v
-    return pa.record_batch([pa.array(np.full(n, kind, np.int32)), *(pa.array(full(v).astype(np.int64, copy=False)) for v in (key, lo, hi, anchor, shard))], names=["kind", "key", "lo", "hi", "anchor", "shard"])
+_CUT, _FIRST = 0, 1
+_SCHEMA = "kind int, key long, lo long, hi long, anchor long, shard int, window binary"
 
 
-_CUT, _COMPARE, _MERGE = 0, 1, 2
-_SCHEMA = "kind int, key long, lo long, hi long, anchor long, shard long"
+def _cut(key, lo, hi):
+    n = len(key)
+    none = pa.nulls(n)
+    return pa.record_batch([pa.array(np.full(n, _CUT, np.int32)), *(pa.array(np.asarray(v, np.int64)) for v in (key, lo, hi)), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names=["kind", "key", "lo", "hi", "anchor", "shard", "window"])
 
 
 def _segment_rows(docs: DataFrame) -> DataFrame:
-    """Rows (anchor, content, key, spot, again), one a segment; again: the same text had it before."""
+    """Rows (anchor, key, spot, again), one a segment; again: the same text has the same bytes there before."""
 
     def batch(b: pa.RecordBatch):
-        cols: list[list[np.ndarray]] = [[], [], [], [], []]
+        cols: list[list[np.ndarray]] = [[], [], [], []]
         size = 0
         for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            a, c, at, n = segments((text or "").encode("utf-8", "surrogatepass"))
+            raw = (text or "").encode("utf-8", "surrogatepass")
+            a, at, n = segments(raw)
             if not len(a):
                 continue
-            again = np.ones(len(a), bool)
-            again[np.unique(np.c_[a, c], axis=0, return_index=True)[1] if len(a) > 1 else 0] = False
-            spread = _mixed(at.astype(np.uint64) + np.uint64(key & 0xFFFFFFFF))
-            for col, v in zip(cols, (np.where(again, spread, a).view(np.int64), c.view(np.int64), np.full(len(a), key), (at << 8) | n, again), strict=True):
+            again = np.zeros(len(a), bool)
+            o = np.argsort(a, kind="stable")
+            twice = a[o][1:] == a[o][:-1]
+            if twice.any():
+                seen: set[bytes] = set()
+                for k in np.sort(o[np.r_[twice, False] | np.r_[False, twice]]).tolist():
+                    body = raw[at[k] : at[k] + n[k] - 1 + LENGTH]
+                    again[k] = body in seen
+                    seen.add(body)
+            for col, v in zip(cols, (a.view(np.int64), np.full(len(a), key), (at << 8) | n, again), strict=True):
                 col.append(v)
             size += len(a)
             if size > 200_000:
                 yield _columns(cols)
-                cols, size = [[], [], [], [], []], 0
+                cols, size = [[], [], [], []], 0
         if size:
             yield _columns(cols)
 
     def _columns(cols):
-        return pa.record_batch([pa.array(np.concatenate(c)) for c in cols], names=["anchor", "content", "key", "spot", "again"])
-
-    return batches(docs.select("_key", "_text"), "anchor long, content long, key long, spot long, again boolean", batch)
+        return pa.record_batch([pa.array(np.concatenate(c)) for c in cols], names=["anchor", "key", "spot", "again"])
 
+    return batches(docs.select("_key", "_text"), "anchor long, key long, spot long, again boolean", batch)
 
-def _by_anchor(rows: DataFrame) -> DataFrame:
-    """Segments sorted by anchor, content and place, streamed: cut what is wholly repeated, number what is to be compared."""
-    rows = rows.repartition("anchor").sortWithinPartitions("anchor", "content", "key", "spot")
-
-    def run(it):
-        # the open anchor's first kind (and whether it went out), its latest content, and kinds so far
-        held = None
-        for b in it:
-            again = b.column(4).to_numpy(zero_copy_only=False)
-            a, c, key, spot = (b.column(i).to_numpy() for i in range(4))
-            if again.any():
-                k = again
-                yield _record(_CUT, key[k], spot[k] >> 8, (spot[k] >> 8) + (spot[k] & 255) - 1 + LENGTH, 0, 0)
-                a, c, key, spot = (x[~k] for x in (a, c, key, spot))
-            if not len(a):
-                continue
-            carry_a, carry_c = (held[0], held[1]) if held else (None, None)
-            new_a = np.r_[carry_a is None or a[0] != carry_a, a[1:] != a[:-1]]
-            new_c = new_a | np.r_[carry_c is None or c[0] != carry_c, c[1:] != c[:-1]]
-            rest = ~new_c
-            if rest.any():
-                yield _record(_CUT, key[rest], spot[rest] >> 8, (spot[rest] >> 8) + (spot[rest] & 255) - 1 + LENGTH, 0, 0)
-            f = np.flatnonzero(new_c)  # the first of each kind
-            if len(f):
-                group = np.cumsum(new_a)[f]  # 0: the anchor carried over
-                kinds = np.bincount(group)
-                before = held[2] if held and not new_a[0] else 0
-                begin = np.r_[True, group[1:] != group[:-1]]
-                order = np.arange(len(f)) - np.maximum.accumulate(np.where(begin, np.arange(len(f)), 0))
-                order = order + np.where(group == 0, before, 0)
-                total = kinds[group] + np.where(group == 0, before, 0)
-                # the last anchor may go on: its first kind waits unless there are two already
-                many = total > 1
-                k = f[many]
-                if before == 1 and (group == 0).any():
-                    yield _record(_COMPARE, held[3], held[4] >> 8, held[4] & 255, np.array([carry_a]), 0)
-                if len(k):
-                    yield _record(_COMPARE, key[k], spot[k] >> 8, spot[k] & 255, a[k], order[many] // SHARD_SEGMENTS)
-                last = group[-1]
-                same = group == last
-                n = int(total[-1])
-                if last == 0 and before:
-                    held = (a[-1], c[-1], n, held[3], held[4])
-                else:
-                    j = f[np.flatnonzero(same)[0]]
-                    held = (a[-1], c[-1], n, key[j : j + 1], spot[j : j + 1])
-            else:
-                held = (a[-1], c[-1], *held[2:])
-
-    return rows.mapInArrow(run, _SCHEMA)
 
+def _bodies(segs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows (anchor, shard, split, key, lo, body) of the segments whose anchor is met more than once."""
+    many = segs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    shards = F.ceil(F.col("n") / SHARD_SEGMENTS).cast("int")
+    met = segs.join(many, "anchor").select("anchor", "key", "spot", F.pmod(F.xxhash64("key"), shards).cast("int").alias("shard"), (shards > 1).alias("split"))
+    met = met.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("anchor", "shard", "split", "spot")).alias("segs"))
 
-def _compare(reps: DataFrame) -> DataFrame:
-    """Rows (anchor, shard, key, lo, body): spans to cut, and first windows of anchors with several shards."""
-    rows = reps.repartition("anchor", "shard").sortWithinPartitions("anchor", "shard")
+    def batch(b: pa.RecordBatch):
+        key, texts, segs = b.column(0).to_numpy(), b.column(1), b.column(2)
+        ends = segs.offsets.to_numpy()
+        flat = segs.values.slice(ends[0], ends[-1] - ends[0])
+        ends = ends - ends[0]
+        spot = flat.field(3).to_numpy()
+        lo, n = spot >> 8, (spot & 255) - 1 + LENGTH
+        for r in range(0, len(key), 64):
+            to = min(len(key), r + 64)
+            body = []
+            for k in range(r, to):
+                raw = texts[k].as_py().encode("utf-8", "surrogatepass")
+                i = slice(ends[k], ends[k + 1])
+                body += [raw[x : x + m] for x, m in zip(lo[i].tolist(), n[i].tolist(), strict=True)]
+            i = slice(ends[r], ends[to])
+            size = ends[to] - ends[r]
+            part = flat.slice(ends[r], size)
+            yield pa.record_batch([part.field(0), part.field(1), part.field(2), pa.array(np.repeat(key[r:to], np.diff(ends[r : to + 1]))), pa.array(lo[i]), pa.array(body, pa.binary())], names=["anchor", "shard", "split", "key", "lo", "body"])
+
+    both = docs.join(met, "_key").select("_key", "_text", "segs")
+    return batches(both, "anchor long, shard int, split boolean, key long, lo long, body binary", batch)
+
+
+def _compare(bodies: DataFrame) -> DataFrame:
+    """Spans to cut, shard by shard, and the sorted first windows of anchors with several shards."""
+    rows = bodies.repartition("anchor", "shard").sortWithinPartitions("anchor", "shard", "key", "lo")
 
     def judge(t: pa.Table):
-        anchor, shard, key, lo = (t.column(i).to_numpy() for i in range(4))
-        texts = t.column(4).to_pylist()
+        anchor, shard, split, key, lo = (t.column(i).to_numpy() for i in range(5))
+        texts = t.column(5).to_pylist()
+        known: dict[tuple[int, bytes], int] = {}  # in a shard the first is the earliest
+        own = np.array([known.setdefault(x, k) for k, x in enumerate(zip(shard.tolist(), texts, strict=True))])
+        again = np.flatnonzero(own != np.arange(len(own)))
+        if len(again):
+            yield _cut(key[again], lo[again], lo[again] + np.array([len(texts[k]) for k in again.tolist()]))
+        kind = np.flatnonzero(own == np.arange(len(own)))
+        a = anchor[kind]
+        alone = np.r_[True, a[1:] != a[:-1]] & np.r_[a[1:] != a[:-1], True]  # windows of one segment are never equal
+        kind = kind[~alone | split[kind]]
+        if not len(kind):
+            return
+        texts = [texts[k] for k in kind.tolist()]
+        anchor, shard, split, key, lo = (x[kind] for x in (anchor, shard, split, key, lo))
         (seg, off), (fs, fo) = repeated_windows(texts, key, lo)
         if len(seg):
-            k, a, b = _spans(key[seg], lo[seg] + off, LENGTH)
-            yield _record(_CUT, k, a, b, 0, 0)
-        new = np.r_[True, (anchor[1:] != anchor[:-1]) | (shard[1:] != shard[:-1])]
-        size = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
-        split = (shard > 0) | (size >= SHARD_SEGMENTS)
+            yield _cut(*_spans(key[seg], lo[seg] + off, LENGTH))
         k = split[fs]
         if k.any():
             fs, fo = fs[k], fo[k]
-            h = np.array([int.from_bytes(hashlib.blake2b(texts[s][o : o + LENGTH], digest_size=8).digest(), "little", signed=True) for s, o in zip(fs, fo, strict=True)], np.int64)
-            yield _record(_MERGE, key[fs], lo[fs] + fo, 0, h, 0)
+            w = [texts[s][o : o + LENGTH] for s, o in zip(fs.tolist(), fo.tolist(), strict=True)]
+            yield pa.record_batch([pa.array(np.full(len(fs), _FIRST, np.int32)), pa.array(key[fs]), pa.array(lo[fs] + fo), pa.nulls(len(fs)).cast(pa.int64()), pa.array(anchor[fs]), pa.array(shard[fs]), pa.array(w, pa.binary())], names=["kind", "key", "lo", "hi", "anchor", "shard", "window"])
 
     def run(it):
         held: pa.Table | None = None
@@ -328,7 +316,7 @@ def _compare(reps: DataFrame) -> DataFrame:
                 continue
             a, s = cur.column(0).to_numpy(), cur.column(1).to_numpy()
             new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (s[1:] != s[:-1])])
-            ends = np.cumsum(np.array([len(x) for x in cur.column(4).to_pylist()]))
+            ends = np.cumsum(pc.binary_length(cur.column(5)).to_numpy())
             at = 0
             for g in new[1:]:
                 if ends[g - 1] - (ends[at - 1] if at else 0) >= SHARD_BYTES:
@@ -341,21 +329,44 @@ def _compare(reps: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, _SCHEMA)
 
 
+def merge_run(have, w: np.ndarray, key: np.ndarray, lo: np.ndarray):
+    """Merge a shard's windows (sorted, each once) into those of earlier shards by binary search.
+
+    Returns what is then there, as (windows, keys, places), and the (keys, places) of the
+    windows that an equal one precedes.
+    """
+    if have is None:
+        return (w, key, lo), (key[:0], lo[:0])
+    hw, hk, hl = have
+    at = np.searchsorted(hw, w)
+    met = at < len(hw)
+    met[met] = hw[at[met]] == w[met]
+    i, j = np.flatnonzero(met), at[met]
+    sooner = (key[i] < hk[j]) | ((key[i] == hk[j]) & (lo[i] < hl[j]))
+    late = np.where(sooner, hk[j], key[i]), np.where(sooner, hl[j], lo[i])
+    hk[j[sooner]], hl[j[sooner]] = key[i[sooner]], lo[i[sooner]]
+    new = ~met
+    return tuple(np.insert(x, at[new], y[new]) for x, y in ((hw, w), (hk, key), (hl, lo))), late
+
+
 def _merge(firsts: DataFrame) -> DataFrame:
-    """First windows of all shards, sorted by hash: each is looked up in its run and goes unless it is the run's first."""
-    rows = firsts.select("anchor", "key", "lo").repartition("anchor").sortWithinPartitions("anchor", "key", "lo")
+    """Cuts among first windows of the shards of one anchor; equal windows meet in one task, each shard's in their order."""
+    rows = firsts.select("anchor", "shard", "window", "key", "lo").repartition("anchor", F.pmod(F.xxhash64("window"), F.lit(MERGE_PARTS))).sortWithinPartitions("anchor", "shard", "window")
 
     def run(it):
-        last = None
+        have, last = None, None
         for b in it:
-            h, key, lo = (b.column(i).to_numpy() for i in range(3))
-            first = np.searchsorted(h, h, "left") == np.arange(len(h))
-            if last is not None:
-                first[: np.searchsorted(h, last, "right")] = False if h[0] == last else first[: np.searchsorted(h, last, "right")]
-            last = h[-1] if len(h) else last
-            if (~first).any():
-                k, a, z = _spans(key[~first], lo[~first], LENGTH)
-                yield _record(_CUT, k, a, z, 0, 0)
+            if not b.num_rows:
+                continue
+            anchor, shard, key, lo = (b.column(i).to_numpy() for i in (0, 1, 3, 4))
+            w = np.array(b.column(2).to_pylist(), dtype=f"S{LENGTH}")
+            new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (shard[1:] != shard[:-1])])
+            for x, z in zip(new.tolist(), [*new[1:].tolist(), len(anchor)], strict=True):
+                if anchor[x] != last:
+                    have, last = None, anchor[x]
+                have, (k, p) = merge_run(have, w[x:z], key[x:z].copy(), lo[x:z].copy())
+                if len(k):
+                    yield _cut(*_spans(k, p, LENGTH))
 
     return rows.mapInArrow(run, _SCHEMA)
 
@@ -388,13 +399,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     keyed = _keyed(docs, id_col, text_col)
-    seen = stored(_by_anchor(_segment_rows(keyed)), "substring-segments")
+    same = keyed.where(F.octet_length("_text") >= LENGTH).select("_key", F.octet_length("_text").cast("long").alias("n"), F.sha2("_text", 256).alias("h"))
+    firsts = same.groupBy("h").agg(F.min("_key").alias("first"), F.count("*").alias("k")).where("k > 1")
+    copies = stored(same.join(firsts, "h").where("_key > first").select(F.col("_key").alias("key"), "n"), "substring-copies")
+    own = keyed.join(copies.select(F.col("key").alias("_key")), "_key", "left_anti")
+    segs = stored(_segment_rows(own), "substring-segments")
     _release(spark)
-    body = F.expr(f"substring(cast(_text as binary), cast(lo as int) + 1, cast(hi as int) - 1 + {LENGTH})")
-    reps = seen.where(F.col("kind") == _COMPARE).join(keyed.withColumnRenamed("_key", "key"), "key").select("anchor", "shard", "key", "lo", body.alias("body"))
-    judged = stored(_compare(reps), "substring-shards")
+    bodies = _bodies(segs.where("not again"), own)
+    judged = stored(_compare(bodies), "substring-shards")
     _release(spark)
-    cuts = seen.where(F.col("kind") == _CUT).unionByName(judged.where(F.col("kind") == _CUT)).unionByName(_merge(judged.where(F.col("kind") == _MERGE)))
+    spot = F.shiftright("spot", 8)
+    cuts = segs.where("again").select("key", spot.alias("lo"), (spot + F.col("spot").bitwiseAND(255) - 1 + LENGTH).alias("hi"))
+    cuts = cuts.unionByName(copies.select("key", F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi")))
+    cuts = cuts.unionByName(judged.where(F.col("kind") == _CUT).select("key", "lo", "hi")).unionByName(_merge(judged.where(F.col("kind") == _FIRST)).select("key", "lo", "hi"))
     cuts = cuts.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("cuts"))
     both = keyed.join(cuts.withColumnRenamed("key", "_key"), "_key", "left").select("_id", "_text", "cuts.lo", "cuts.hi")
 

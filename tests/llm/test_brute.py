@@ -224,6 +224,7 @@ def test_substrings(spark, sf_dir, shard, monkeypatch):
     monkeypatch.setattr(substring_dedup, "SHARD_SEGMENTS", shard)
     monkeypatch.setattr(substring_dedup, "SHARD_BYTES", 1 << 14)
     t = dict(list(sorted(texts(spark, sf_dir).items()))[:220])
+    t |= {k + 2000: x for k, x in list(t.items())[:20]}
     t |= {10**6: "abcab" * 400, 10**6 + 1: "abcab" * 300, 10**6 + 2: "é" * 500, 10**6 + 3: None}
     seen, want = set(), {}
     for k in sorted(t):
@@ -239,6 +240,22 @@ def test_substrings(spark, sf_dir, shard, monkeypatch):
     assert {r.doc_id: (r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == want
 
 
+def test_shards_merge_by_binary_search():
+    rng = np.random.default_rng(1)
+    have, want, late = None, {}, []
+    for shard in range(6):
+        names = np.unique(rng.integers(0, 60, 25))
+        w = np.array([b"\0w%03d\0" % k for k in names], "S100")
+        key, lo = rng.integers(0, 9, len(w)), rng.integers(0, 1000, len(w))
+        for x, k, p in zip(names.tolist(), key.tolist(), lo.tolist()):
+            if x in want:
+                late.append(max(want[x], (k, p)))
+            want[x] = min(want.get(x, (k, p)), (k, p))
+        have, cut = substring_dedup.merge_run(have, w, key.copy(), lo.copy())
+        late = [x for x in late if x not in list(zip(cut[0].tolist(), cut[1].tolist()))]
+    assert not late and [(int(x[2:5]), (k, p)) for x, k, p in zip(have[0].tolist(), have[1].tolist(), have[2].tolist())] == sorted(want.items())
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(0)
     data = rng.integers(97, 99, 300).astype(np.uint8)
