@@ -41,55 +41,63 @@ SHARD_SEGMENTS = 4096
 SHARD_BYTES = 1 << 20
 #: Tasks over which the first windows of one anchor's shards are merged.
 MERGE_PARTS = 64
-_MIX1, _MIX2, _MIX3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: Windows whose hashes are made together; their places fit _PLACE_BITS.
+PIECE = 1 << 15
+#: Bytes of texts that are taken together.
+TOGETHER = 1 << 20
+_PLACE_BITS = 16
+_BYTES, _MIX = (np.random.default_rng(k).integers(1, 1 << 63, n, dtype=np.uint64) | np.uint64(1) for k, n in ((11, 256), (12, 16)))
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _MIX2
-    x = (x ^ (x >> np.uint64(27))) * _MIX3
-    return x ^ (x >> np.uint64(31))
-
-
-def gram_hashes(data: np.ndarray, most: int) -> dict[int, np.ndarray]:
-    """Hashes of all substrings of 1, 2, 4 ... most bytes, by doubling."""
-    h = _mixed(data.astype(np.uint64) + _MIX1)
-    out = {1: h}
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """Hashes of all substrings of gram bytes (a power of two), by doubling."""
+    h = _BYTES[data]
     k = 1
-    while k * 2 <= most and len(h) > k:
-        h = _mixed(h[:-k] * _MIX1 + h[k:])
+    while k < gram:
+        h = h[:-k] * _MIX[k.bit_length()] + h[k:]
         k *= 2
-        out[k] = h
-    return out
+    h ^= h >> np.uint64(32)
+    h *= _MIX[0]
+    h ^= h >> np.uint64(29)
+    return h
 
 
 def anchors(h: np.ndarray, span: int) -> np.ndarray:
-    """For each run of span hashes the place of its least one, the leftmost if equal."""
-    n = len(h)
-    val, pos, k = h, np.arange(n), 1
+    """For each run of span hashes the place of its least one (by the high bits), the leftmost if equal."""
+    low = np.uint64((1 << _PLACE_BITS) - 1)
+    val, k = (h & ~low) | np.arange(len(h), dtype=np.uint64), 1
     while k * 2 <= span:
-        a, b = val[: len(val) - k], val[k:]
-        right = b < a
-        pos = np.where(right, pos[k:], pos[: len(pos) - k])
-        val = np.where(right, b, a)
+        val = np.minimum(val[:-k], val[k:])
         k *= 2
-    gap = span - k
-    if gap:
-        a, b = val[: len(val) - gap], val[gap:]
-        pos = np.where(b < a, pos[gap:], pos[: len(pos) - gap])
-    return pos
-
-
-def segments(text: bytes, length: int = LENGTH, gram: int = GRAM):
-    """(anchor hash, first window, windows) of a text's segments; empty if it is shorter than a window."""
-    n = len(text)
-    if n < length:
-        e = np.empty(0, np.int64)
-        return e.view(np.uint64), e, e
-    with np.errstate(over="ignore"):
-        h = gram_hashes(np.frombuffer(text, np.uint8), gram)[gram]
-    at = anchors(h, length - gram + 1)[: n - length + 1]
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return h[at[first]], first, np.diff(np.r_[first, len(at)])
+    if span > k:
+        val = np.minimum(val[: k - span], val[span - k :])
+    return (val & low).astype(np.int64)
+
+
+def segments(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
+    """(text number, anchor hash, first window, windows) of the segments of all texts, in order.
+
+    Texts are joined and taken in pieces of PIECE windows, so short ones cost no calls of
+    their own; windows across two texts are dropped, and a segment ends with its piece.
+    """
+    size = np.array([len(t) for t in texts], np.int64)
+    end = np.cumsum(size)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    out = [[np.empty(0, np.int64)] for _ in range(4)]
+    for lo in range(0, max(0, len(data) - length + 1), PIECE):
+        part = data[lo : lo + PIECE + length - 1]
+        h = gram_hashes(part, gram)
+        at = anchors(h, length - gram + 1)
+        p = np.arange(lo, lo + len(at))
+        own = np.searchsorted(end, p, "right")
+        new = np.r_[True, (at[1:] != at[:-1]) | (own[1:] != own[:-1])]
+        ok = p + length <= end[own]
+        first = np.flatnonzero(new & ok)
+        # a run's windows that fit in their text come first in it
+        n = np.add.reduceat(ok, np.flatnonzero(new))[ok[np.flatnonzero(new)]]
+        for o, v in zip(out, (own[first], h[at[first]].view(np.int64), p[first] - (end - size)[own[first]], n), strict=True):
+            o.append(v)
+    return tuple(np.concatenate(o) for o in out)
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
@@ -217,33 +225,25 @@ def _segment_rows(docs: DataFrame) -> DataFrame:
     """Rows (anchor, key, spot, again), one a segment; again: the same text has the same bytes there before."""
 
     def batch(b: pa.RecordBatch):
-        cols: list[list[np.ndarray]] = [[], [], [], []]
-        size = 0
-        for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            raw = (text or "").encode("utf-8", "surrogatepass")
-            a, at, n = segments(raw)
-            if not len(a):
-                continue
+        keys = b.column(0).to_numpy()
+        raws = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
+        ends = np.cumsum([len(x) for x in raws])
+        k = 0
+        while k < len(raws):
+            to = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + TOGETHER, "right")))
+            own, a, at, n = segments(raws[k:to])
             again = np.zeros(len(a), bool)
-            o = np.argsort(a, kind="stable")
-            twice = a[o][1:] == a[o][:-1]
+            o = np.lexsort((a, own))
+            twice = (a[o][1:] == a[o][:-1]) & (own[o][1:] == own[o][:-1])
             if twice.any():
-                seen: set[bytes] = set()
-                for k in np.sort(o[np.r_[twice, False] | np.r_[False, twice]]).tolist():
-                    body = raw[at[k] : at[k] + n[k] - 1 + LENGTH]
-                    again[k] = body in seen
+                seen: set[tuple[int, bytes]] = set()
+                for j in np.sort(o[np.r_[twice, False] | np.r_[False, twice]]).tolist():
+                    body = own[j], raws[k + own[j]][at[j] : at[j] + n[j] - 1 + LENGTH]
+                    again[j] = body in seen
                     seen.add(body)
-            for col, v in zip(cols, (a.view(np.int64), np.full(len(a), key), (at << 8) | n, again), strict=True):
-                col.append(v)
-            size += len(a)
-            if size > 200_000:
-                yield _columns(cols)
-                cols, size = [[], [], [], []], 0
-        if size:
-            yield _columns(cols)
-
-    def _columns(cols):
-        return pa.record_batch([pa.array(np.concatenate(c)) for c in cols], names=["anchor", "key", "spot", "again"])
+            if len(a):
+                yield pa.record_batch([pa.array(a), pa.array(keys[k + own]), pa.array((at << 8) | n), pa.array(again)], names=["anchor", "key", "spot", "again"])
+            k = to
 
     return batches(docs.select("_key", "_text"), "anchor long, key long, spot long, again boolean", batch)
 
