@@ -360,9 +360,68 @@ def test_lm_trains_on_every_position(spark):
 
 
 def test_lm_is_normalised():
-    net = lm_score.Network.start(np.arange(lm_score.VOCABULARY))
-    around = np.tile(np.array([[1, 2, 3, lm_score.VOCABULARY]]), (lm_score.VOCABULARY, 1))
-    assert abs(np.exp(net.log_probs(np.arange(lm_score.VOCABULARY), around)).sum() - 1) < 1e-4
+    counts = np.arange(5000)
+    vocab = lm_score.Vocabulary.of(counts, 32)
+    net = lm_score.Network.start(np.bincount(vocab.token, weights=counts, minlength=1024))
+    around = lm_score.contexts(np.array([1, 2, 3, 4]), np.array([3, 4]), 1024)
+    assert around[:, 1].tolist() == [1024, 1025 + 1, 2 * 1025 + 3, 3 * 1025 + 1024] and around[:, 3].tolist() == [k * 1025 + 1024 for k in range(4)]
+    p = net.log_probs(vocab.token, np.repeat(around[:, 1:2], 5000, axis=1)) + vocab.share
+    assert abs(np.exp(p).sum() - 1) < 1e-4
+    assert lm_score.sizes(10**8)[0] > lm_score.sizes(10**6)[0] and lm_score.sizes(10**10)[1] > lm_score.sizes(10**8)[1]
+
+
+def test_lm_gradient():
+    rng = np.random.default_rng(3)
+    net = lm_score.Network.start(rng.integers(1, 50, 1024))
+    y = rng.integers(0, 1024, 300)
+    x = lm_score.contexts(y, np.array([120, 300]), 1024)
+    tr = lm_score.Trainer(net)
+    grads: dict = {}
+
+    def keep(part, at, grad):
+        full = grads.setdefault(part, np.zeros(net.parts()[part].shape))
+        full[at] += grad
+
+    tr._put = keep
+    tr.step(y, x)
+    for part in range(6):
+        p = net.parts()[part]
+        for k in np.argsort(-np.abs(grads[part]).ravel())[:3]:
+            old, loss = p.flat[k], []
+            for e in (-0.02, 0.02):
+                p.flat[k] = old + e
+                loss.append(-net.log_probs(y, x).mean())
+            p.flat[k] = old
+            assert abs((loss[1] - loss[0]) / 0.04 - grads[part].flat[k]) < 0.02 * abs(grads[part].flat[k]) + 2e-5
+
+
+def test_lm_scores_each_position(spark):
+    """The query's sums against a plain loop over positions under the same network."""
+    d = spark.createDataFrame([(1, "the cat sat on the mat"), (2, "a"), (3, " The  CAT "), (4, None)], "doc_id long, text string")
+    tokens = lm_score.as_slots(d, 1 << 16, "doc_id", "text")
+    vocab, net = model = lm_score.train(tokens, 9, 1 << 16, 32)
+    pad = 1024
+
+    def soft(z):
+        return z - np.log(np.exp(z).sum())
+
+    for r in lm_score.with_scores(tokens, model).join(tokens, "_id").collect():
+        ids = [int(vocab.token[s]) for s in r.slots]
+        want = 0.0
+        for i, t in enumerate(ids):
+            z = net.bias.astype(float)
+            for k, off in enumerate((-2, -1, 1, 2)):
+                z = z + net.tables[k * 1025 + (ids[i + off] if 0 <= i + off < len(ids) else pad)]
+            h = np.tanh(z)
+            want += soft(h @ net.to_class + net.class_bias)[t // 32] + soft(h @ net.within[t // 32] + net.within_bias[t // 32])[t % 32] + vocab.share[r.slots[i]]
+        assert r.n_tokens == len(ids) and abs(r.log_likelihood - want) < 1e-3 * max(1, len(ids))
+
+
+def test_lm_does_not_depend_on_partitions(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(lm_score, "TRAINER_WORDS", 20_000)
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").limit(300)
+    a, b = ({r.doc_id: r.log_likelihood for r in lm_score.score(d.repartition(n, "text" if n > 2 else "doc_id")).collect()} for n in (2, 7))
+    assert max(abs(a[k] - b[k]) for k in a) < 1e-6 * max(abs(x) for x in a.values())
 
 
 def test_registry_has_all():
