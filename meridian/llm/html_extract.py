@@ -3,12 +3,15 @@
 The standard library's streaming parser gives events; block elements cut the page into
 lines. Each line has a text-to-tag ratio (characters of text over tags, text inside links
 counted as tags); ratios are smoothed with a Gaussian over neighbouring lines, and a
-threshold on them (THRESHOLD standard deviations) separates content from the rest. Where
-the page marks its article, the mark is a prior: of the largest marked region all lines stay
-but those of links under the threshold, so a short paragraph of an article stays; of the other
-marked regions, whatever their size, the lines over the threshold do. Elsewhere runs of lines
-over the threshold are selected, with the lines between them. Parts that are no article by their element, role or class are
-left out before.
+threshold on them (THRESHOLD standard deviations) parts dense lines from the rest. The
+dense lines are clustered by the element that holds them: an element's weight is what its
+dense lines stand above the threshold, and the content region is the innermost element
+that keeps SHARE of the page's weight. Further elements of its kind join it if their own
+weight is RIVAL of the region's, so a page of several articles keeps all. Of a region all
+lines stay, among them titles (also one right before it) and short paragraphs, but lines of
+links under the threshold. A page that marks its article gives the mark as a prior: lines
+there weigh PRIOR times as much, a region inside the mark grows to it, and dense lines of
+other marked parts stay. Parts that are no article by their element, role or class are left out before.
 """
 
 from __future__ import annotations
@@ -25,11 +28,20 @@ from .common import table
 
 THRESHOLD = 0.5
 SIGMA = 1.0
+#: Part of the dense lines' weight that the content region keeps.
+SHARE = 0.7
+#: Part of the region's weight from which another element of its kind is content too.
+RIVAL = 0.2
+#: How much more a line inside an element that marks the article weighs.
+PRIOR = 8.0
+#: Lines between two dense ones, or before the first, that go with them on a page without containers.
+GAP = 3
 
-_DROP = frozenset("head title script style noscript template iframe object embed svg canvas math nav footer aside form button select textarea input option dialog menu audio video map".split())
+_DROP = frozenset("head title script style noscript template iframe object embed svg canvas nav footer aside form button select textarea input option dialog menu audio video map".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("html body head title address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul caption template noscript script style".split())
 _MARK = frozenset(("article", "main"))
+_CONTAINERS = frozenset("html body main article section div td table tbody tr center details li ul ol dl dd blockquote".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 #: Words of class and id names that mark parts that are no article, and those that mark the article.
 _OTHER = re.compile(
@@ -47,25 +59,26 @@ def _names(value: str) -> list[str]:
 
 
 class _Lines(HTMLParser):
-    """Collects lines: text, tags, characters in links, the marked region and the container they stand in."""
+    """Collects lines: text, tags, characters in links, whether an article is marked there, and the elements that hold them."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool]] = []  # element, whether it drops what it holds
         self.dropping = 0
         self.links = 0
-        self.marks: list[tuple[int, int]] = []  # depth and number of marked elements
-        self.n_marks = 0
+        self.marks: list[int] = []  # depths of elements that mark an article
+        self.path: list[int] = []  # numbers of the open elements
         self.kinds: list[str] = []
+        self.marking: set[int] = set()  # numbers of the elements that mark an article
         self.parts: list[str] = []
         self.tags = 0
         self.linked = 0
-        self.lines: list[tuple[str, int, int, int]] = []
+        self.lines: list[tuple[str, int, int, bool, tuple[int, ...]]] = []
 
     def flush(self):
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, self.linked, self.marks[-1][1] if self.marks else 0))
+            self.lines.append((text, self.tags, self.linked, bool(self.marks), tuple(self.path)))
         self.parts.clear()
         self.tags = self.linked = 0
 
@@ -111,16 +124,18 @@ class _Lines(HTMLParser):
         if tag == "p" and self.open and self.open[-1][0] == "p":
             self._pop()
         self.open.append((tag, other))
+        self.path.append(len(self.kinds))
+        self.kinds.append(tag)
         self.dropping += other
         if not self.dropping and (tag == "article" or tag == "main" and not self.marks or self._content(tag, attrs)):
-            self.n_marks += 1
-            self.kinds.append(tag)
-            self.marks.append((len(self.open), self.n_marks))
+            self.marks.append(len(self.open))
+            self.marking.add(self.path[-1])
 
     def _pop(self):
         tag, other = self.open.pop()
+        self.path.pop()
         self.dropping -= other
-        while self.marks and self.marks[-1][0] > len(self.open):
+        while self.marks and self.marks[-1] > len(self.open):
             self.marks.pop()
 
     def handle_endtag(self, tag):
@@ -165,34 +180,67 @@ def extract(html: str | None) -> str:
         lines.feed(html.replace("<![", "&lt;!["))
         lines.close()
     lines.flush()
-    got = lines.lines
-    if not got:
+    if not lines.lines:
         return ""
-    n = np.array([len(t) for t, *_ in got], float)
-    linked = np.minimum(n, np.array([k for _, _, k, _ in got], float))
-    ratio = (n - linked) / np.maximum(1, [k for _, k, _, _ in got])
-    soft = smoothed(ratio)
+    texts, tags, linked, marked, paths = zip(*lines.lines, strict=True)
+    n = np.array([len(t) for t in texts], float)
+    linked = np.minimum(n, np.array(linked, float))
+    soft = smoothed((n - linked) / np.maximum(1, tags))
+    return "\n".join(t for t, k in zip(texts, content_lines(soft, linked > 0.5 * n, np.array(marked), paths, lines.kinds, lines.marking), strict=True) if k)
+
+
+def content_lines(soft: np.ndarray, links: np.ndarray, marked: np.ndarray, paths, kinds: list[str], marking: set[int]) -> np.ndarray:
+    """Which lines are content, by their smoothed ratios, the elements that hold them (outermost first), the kinds of those and which mark an article."""
     least = THRESHOLD * soft.std()
-    region = np.array([m for *_, m in got])
-    if lines.n_marks:
-        articles = [k + 1 for k, kind in enumerate(lines.kinds) if kind == "article" and (region == k + 1).any()]
-        marked = articles or [k for k in range(1, lines.n_marks + 1) if (region == k).any()]
-        if marked:
-            chars = {k: float((n - linked)[region == k].sum()) for k in marked}
-            most = max(chars.values())
-            sure = np.isin(region, [k for k in marked if chars[k] == most])
-            dense = soft >= least
-            few = linked <= 0.5 * n
-            keep = np.where(sure, dense | few, (region > 0) & dense & few)
-            return "\n".join(t for (t, *_), k in zip(got, keep, strict=True) if k)
-    good = np.flatnonzero((soft >= least) & (linked <= 0.5 * n))
-    if not len(good):
-        return ""
-    inside = np.zeros(len(got), bool)
-    for a, b in zip(good[:-1], good[1:], strict=True):
-        inside[a : b + 1] |= b - a <= 3
-    inside[good] = True
-    return "\n".join(t for (t, *_), k, x, m in zip(got, inside, linked, n, strict=True) if k and x <= 0.5 * m)
+    dense = (soft >= least) & ~links
+    weight = np.where(dense, soft - least + 1e-9, 0.0) * np.where(marked, PRIOR, 1.0)
+    held: dict[int, float] = {}
+    for w, path in zip(weight.tolist(), paths, strict=True):
+        if w:
+            for e in path:
+                held[e] = held.get(e, 0.0) + w
+    total = weight.sum()
+    if not total:
+        return np.zeros(len(soft), bool)
+    # from the outermost element inwards, as long as one element keeps its part of the weight; lines that no
+    # element holds, or none that is a container, are a region of their own
+    region = -1
+    inner: dict[int, set[int]] = {}
+    for path in paths:
+        for up, e in zip((-1, *path), path):
+            inner.setdefault(up, set()).add(e)
+    while True:
+        best = max((e for e in inner.get(region, ()) if kinds[e] in _CONTAINERS), key=lambda e: held.get(e, 0.0), default=None)
+        if best is None or held.get(best, 0.0) < SHARE * total:
+            break
+        region = best
+    around = next((path[: path.index(region) + 1] for path in paths if region in path), ())
+    region = next((e for e in around if e in marking and kinds[e] != "main"), region)  # the whole of the article it lies in
+    regions = {region}
+    if region < 0 or kinds[region] in ("body", "html", "main"):
+        # no single element: those of one kind that weigh enough, if they hold nearly all of it
+        kids = {e: held.get(e, 0.0) for e in inner.get(region, ()) if kinds[e] in _CONTAINERS}
+        most = max(kids.values(), default=0.0)
+        good = {e for e, w in kids.items() if w >= RIVAL * most > 0}
+        if good and sum(kids[e] for e in good) >= SHARE * total:
+            regions = good
+    inside = np.array([region < 0 and region in regions or any(e in regions for e in path) for path in paths])
+    if not (marked & inside).any() and (region < 0 or kinds[region] in ("body", "html")) and region in regions:
+        # a page without any container: dense lines and what stands between them
+        good = np.flatnonzero(dense)
+        near = np.zeros(len(soft), bool)
+        near[good] = True
+        for a, b in zip(good[:-1], good[1:], strict=True):
+            near[a : b + 1] |= b - a <= GAP
+        if good[0] and good[0] <= GAP:
+            near[: good[0]] = True  # titles stand before the first dense line
+        inside &= near
+    elif inside.any():
+        first = int(np.flatnonzero(inside)[0])
+        while first and "h1" in {kinds[e] for e in paths[first - 1]}:  # the title right before the region
+            first -= 1
+            inside[first] = True
+    return inside & (dense | ~links) | marked & dense
 
 
 def main_text(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:

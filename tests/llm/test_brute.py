@@ -182,6 +182,22 @@ def test_html_ratio_decides_on_marked_pages():
     assert len(got) - 5 <= 1
 
 
+def test_html_without_marks_and_with_random_ratios(spark, sf_dir, monkeypatch):
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    want = [html_extract.extract(h) for h in pages]
+    # the article's tags as plain ones, and none at all
+    plain = [html_extract.extract(re.sub("<(/?)article>", r"<\1div>", h)) for h in pages]
+    assert sum(a == b for a, b in zip(want, plain)) >= 0.97 * len(pages)
+    bare = [html_extract.extract(re.sub("</?article>", "", h)).split("\n") for h in pages]
+    lines = [w.split("\n") for w in want]
+    assert sum(len(set(w) & set(b)) for w, b in zip(lines, bare)) >= 0.9 * sum(len(set(w)) for w in lines)
+    assert sum(w[0] in b for w, b in zip(lines, bare)) >= 0.9 * len(pages)
+    rng = np.random.default_rng(0)
+    monkeypatch.setattr(html_extract, "smoothed", lambda r, sigma=1.0: rng.permutation(r))
+    moved = [html_extract.extract(re.sub("</?article>", "", h)).split("\n") for h in pages]
+    assert sum(a != b for a, b in zip(bare, moved)) >= 0.3 * len(pages)
+
+
 BASE = [("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6), ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24)]
 
 
