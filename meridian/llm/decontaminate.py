@@ -7,6 +7,10 @@ Matches of one item at one offset of a document are aligned word by word; there
 values that fill the placeholders must map consistently (one value of the item always to
 the same value of the document), which tells a question with new parameters from chance.
 An item leaks into a document when consistent windows cover COVERAGE of the item's.
+
+A window of fewer plain words than LEAST_WORDS is no evidence as a template and is matched
+on its very words instead; such windows count where an item consists mostly of them (sums,
+lists of names or figures), so that copies of these are found as well.
 """
 
 from __future__ import annotations
@@ -18,9 +22,10 @@ from .common import table
 
 WINDOW = 5
 COVERAGE = 0.8
-#: Words other than placeholders that a window needs to be evidence.
+#: Words other than placeholders that a window needs to be matched as a template.
 LEAST_WORDS = 2
-#: Rows of benchmark windows up to which that side is broadcast; beyond it both sides are shuffled.
+#: Rows of benchmark windows, of about 130 bytes (26 MB in all), up to which that side is
+#: broadcast; beyond it both sides are shuffled.
 BROADCAST_ROWS = 200_000
 
 NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"
@@ -42,22 +47,42 @@ def _is_slot(word: Column) -> Column:
     return F.ascii(word).between(1, 3)
 
 
+def _coded(word: Column) -> Column:
+    """A word as a long: odd for plain ones; of one that fills a placeholder the low three bits are the placeholder's."""
+    h = F.xxhash64(word)
+    return F.when(_is_slot(word), h.bitwiseAND(~7).bitwiseOR(F.shiftleft(F.ascii(word), 1).cast("long"))).otherwise(h.bitwiseOR(1))
+
+
+def _plain(code: Column) -> Column:
+    return code.bitwiseAND(1)
+
+
 def _tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (id, raw, tpl): the marked words and the hashes of the template tokens, position by position."""
-    raw = df.select(id_col, F.split(marked(F.col(text_col)), " ").alias("raw"))
-    return raw.withColumn("tpl", F.transform("raw", lambda w: F.xxhash64(F.when(_is_slot(w), F.substring(w, 1, 1)).otherwise(w))))
+    """Rows (id, words, tpl): the coded words and the template tokens, position by position; no word, no row."""
+    words = F.split(marked(F.col(text_col)), " ")
+    coded = df.select(id_col, words.alias("w")).where("w[0] <> ''").select(id_col, F.transform("w", _coded).alias("words"))
+    return coded.withColumn("tpl", F.transform("words", lambda c: F.when(_plain(c) == 1, c).otherwise(c.bitwiseAND(7))))
 
 
-def _hash_of(n: int):
-    return lambda start: F.xxhash64(*[F.get("tpl", start + k) for k in range(n)])
+def _window(n: int):
+    """A window's words and hash, of its template or, with few plain words, of the words themselves."""
+
+    def at(start):
+        n_plain = sum((_plain(F.get("words", start + k)) for k in range(1, n)), _plain(F.get("words", start)))
+        weak = n_plain < min(LEAST_WORDS, n)
+        exact = F.xxhash64(F.lit("words"), *[F.get("words", start + k) for k in range(n)])
+        template = F.xxhash64(*[F.get("tpl", start + k) for k in range(n)])
+        return F.struct(start.alias("pos"), weak.alias("weak"), F.when(weak, exact).otherwise(template).alias("h"), F.slice("words", start + 1, n).alias("words"))
+
+    return at
 
 
 def _windows(tokens: DataFrame, keep: list, lengths: list[int]) -> DataFrame:
-    """One row a window: keep, n (its length), pos, h (hash of its template)."""
+    """One row a window: keep, n (its length), pos, weak, h, words (its own, so a row does not grow with its text)."""
     parts = []
     for n in lengths:
         starts = F.when(F.size("tpl") >= n, F.sequence(F.lit(0), F.size("tpl") - n)).otherwise(F.array().cast("array<int>"))
-        parts.append(tokens.select(*keep, F.lit(n).alias("n"), F.posexplode(F.transform(starts, _hash_of(n))).alias("pos", "h")))
+        parts.append(tokens.select(*keep, F.lit(n).alias("n"), F.explode(F.transform(starts, _window(n))).alias("x")).select(*keep, "n", "x.*"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -70,23 +95,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     kind is 'exact' if no placeholder's value differs and 'reparameterised' otherwise;
     n_slots and n_changed count distinct values of the item in placeholders. An item of
     fewer words than a window is one window of all its words. Items and documents with
-    null, empty or wordless texts leak nowhere; rows that repeat an id count as one;
-    an empty table on either side gives no rows. Other columns are not read.
+    null, empty or wordless texts leak nowhere, and documents without an id have no rows
+    (without_leaks() judges them all the same); rows that repeat an id count as one; an
+    empty table on either side gives no rows. Other columns are not read.
     """
-    items = _tokens(benchmark.where(F.col(item_col).isNotNull()), item_col, item_text).where("raw[0] <> ''").withColumnsRenamed({item_col: "_item", "raw": "item_raw"}).dropDuplicates(["_item", "item_raw"])
+    items = _tokens(benchmark.where(F.col(item_col).isNotNull()), item_col, item_text).withColumnRenamed(item_col, "_item").dropDuplicates(["_item", "words"])
     lengths = sorted({min(window, r[0]) for r in items.select(F.least(F.size("tpl"), F.lit(window)).alias("n")).distinct().collect()}) or [window]
-    own = _windows(items, ["_item", "item_raw", "tpl"], lengths).where(F.col("n") == F.least(F.size("tpl"), F.lit(window)))
-    words = F.size(F.filter(F.slice("item_raw", F.col("pos") + 1, F.col("n")), lambda w: ~_is_slot(w)))
-    own = own.where(words >= F.least(F.lit(LEAST_WORDS), F.col("n")))
-    own = own.select("_item", "n", "h", F.col("pos").alias("item_pos"), F.slice("item_raw", F.col("pos") + 1, F.col("n")).alias("item_words"))
+    own = _windows(items.withColumn("size", F.size("tpl")), ["_item", "size"], lengths).where(F.col("n") == F.least("size", F.lit(window)))
+    mostly = own.groupBy("_item").agg((2 * F.count_if("weak") > F.count("*")).alias("mostly_weak"))
+    own = own.join(mostly, "_item").where("mostly_weak or not weak").select("_item", "n", "h", F.col("pos").alias("item_pos"), F.col("words").alias("item_words"))
     totals = own.groupBy("_item").agg(F.countDistinct("item_pos").alias("n_windows"))
     n_own = own.count()
     if n_own <= BROADCAST_ROWS:
         own, totals = F.broadcast(own), F.broadcast(totals)
-    theirs = _windows(_tokens(docs.where(F.col(id_col).isNotNull()), id_col, text_col).withColumnRenamed(id_col, "_doc"), ["_doc", "raw"], lengths)
+    theirs = _windows(_tokens(docs.where(F.col(id_col).isNotNull()), id_col, text_col).withColumnRenamed(id_col, "_doc"), ["_doc"], lengths)
     met = theirs.join(own, ["n", "h"])
-    pairs = F.zip_with("item_words", F.slice("raw", F.col("pos") + 1, F.col("n")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    slots = F.filter(pairs, lambda p: _is_slot(p["a"]))
+    pairs = F.zip_with("item_words", "words", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    slots = F.filter(pairs, lambda p: _plain(p["a"]) == 0)
     met = met.select("_doc", "_item", "item_pos", (F.col("pos") - F.col("item_pos")).alias("offset"), slots.alias("slots"))
     aligned = met.groupBy("_doc", "_item", "offset").agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     consistent = F.size(F.array_distinct(F.transform("slots", lambda p: p["a"]))) == F.size("slots")
@@ -99,8 +124,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The documents into which no item leaks, with all their columns; documents without an id stay."""
-    return docs.join(leaks(docs, benchmark, id_col, text_col, **kw).select(id_col).distinct(), id_col, "left_anti")
+    """The documents into which no item leaks, with all their columns.
+
+    What leaks into a row depends on its text alone, so rows are told by a digest of their
+    text: those without an id or with a repeated one go or stay as any other. An empty
+    table on either side leaves the documents as they are.
+    """
+    key = "_digest"
+    while key in docs.columns:
+        key += "_"
+    keyed = docs.withColumn(key, F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    gone = leaks(keyed.select(key, text_col), benchmark, key, text_col, **kw).select(key).distinct()
+    return keyed.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

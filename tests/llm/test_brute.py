@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from meridian.llm import decontaminate, embedding_dedup, html_extract, language_id, lm_score, packing, quality, registry, secret_scan, simhash, substring_dedup
 from meridian.llm.common import connected_components
@@ -123,6 +124,55 @@ def test_reparameterised(spark):
     assert got[1].kind == "reparameterised" and got[1].n_changed == 4 and got[3].kind == "exact" and 2 not in got and 4 not in got
 
 
+def test_leaks_of_figures_and_rows_without_id(spark):
+    items = spark.createDataFrame([(1, "12 + 35 - 8 * 9 = 47, 18 or 93"), (2, "3, 14, 15, 92")], "item_id long, text string")
+    rows = [(1, "so 12 + 35 - 8 * 9 = 47, 18 or 93 it is"), (2, "so 11 + 35 - 8 * 9 = 47, 18 or 91 it is 7"), (3, "1 2 3 4 5 6 7 8 9"), (4, "3, 14, 15, 92"), (None, "3, 14, 15, 92 again")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(d, items).collect()) == [(1, 1), (4, 2)]
+    assert sorted(r.doc_id for r in decontaminate.without_leaks(d, items).collect()) == [2, 3]
+
+
+def plain_leaks(texts, items, window=5, coverage=0.8):
+    """Template windows of texts by loops; tokens by the operator's own marking, which Spark alone does."""
+    slot = lambda w: w[0] in "\1\2\3"
+
+    def windows(ws, n):
+        for i in range(len(ws) - n + 1):
+            part = ws[i : i + n]
+            weak = sum(not slot(w) for w in part) < min(2, n)
+            yield i, weak, (weak, tuple(w if weak or not slot(w) else w[0] for w in part)), part
+
+    found = set()
+    for item, ws in items.items():
+        n = min(window, len(ws))
+        own = list(windows(ws, n))
+        if 2 * sum(w for _, w, *_ in own) <= len(own):
+            own = [x for x in own if not x[1]]
+        for doc, ds in texts.items():
+            at: dict = {}
+            for j, _, h, theirs in windows(ds, n):
+                for i, _, g, mine in own:
+                    if h == g:
+                        places, pairs = at.setdefault(j - i, (set(), set()))
+                        places.add(i)
+                        pairs |= {(a, b) for a, b in zip(mine, theirs) if slot(a)}
+            good = set().union(*(p for p, pairs in at.values() if len({a for a, _ in pairs}) == len(pairs)), set())
+            if own and len(good) >= coverage * len(own):
+                found.add((doc, item))
+    return found
+
+
+def test_leaks_against_loops(spark):
+    rng = random.Random(6)
+    word = lambda: rng.choice(["how", "many", "apples", "has", "Anna", "Carl", "after", "7", "12", "3 km", "then", "9 kg"])
+    texts = {i: " ".join(word() for _ in range(rng.randrange(1, 14))) for i in range(60)}
+    docs = {i: " ".join(word() for _ in range(8)) + " " + re.sub("Anna", "Carl", re.sub("7", str(rng.randrange(5)), texts[i])) + " " + word() for i in range(60)}
+    mark = lambda t: {r.k: r.m.split(" ") for r in spark.createDataFrame(list(t.items()), "k long, text string").select("k", decontaminate.marked(F.col("text")).alias("m")).collect() if r.m}
+    got = decontaminate.leaks(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(texts.items()), "item_id long, text string")).collect()
+    want = plain_leaks(mark(docs), mark(texts))
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(want) > 20
+
+
 def test_packing_round_trip(spark, sf_dir):
     from tokenizers import Tokenizer
 
