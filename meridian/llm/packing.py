@@ -25,34 +25,30 @@ from .common import batches, durable, table
 
 CAPACITY = 2048
 END_ID = 0
-#: Share of the fitted counts that is packed by patterns; the rest is left, short pieces of
-#: every length among it, so that best fit can fill the last gaps.
-FITTED = 0.9
-#: Pieces shorter than this share of a sequence take part in no pattern: they fill gaps.
-SHORT = 0.1
+
+#: Parts of the fitted counts that are tried, in this order.
+PARTS = (1.0, 0.95, 0.9, 0.8)
 
 _encoders: dict = {}
 
 
 def encoder(path: str):
-    """Texts to lists of ids, by the tokenizer file at path; strings of special tokens are ordinary text.
+    """Texts to lists of ids, those of the tokenizer file at path without special tokens added.
 
     If the same vocabulary lies beside the file as ranks (.tiktoken), those give the same
-    ids several times faster; a text on which they fail goes the other way.
+    ids several times faster; texts that hold the string of a special token, which the
+    file makes that token, go through the file itself.
     """
     if path not in _encoders:
         from tokenizers import Tokenizer
 
         slow = Tokenizer.from_file(path)
-        slow.encode_special_tokens = True
+        special = [t.content for t in slow.get_added_tokens_decoder().values()]
         fast = _ranked(path)
 
         def encode(text: str) -> list[int]:
-            if fast is not None:
-                try:
-                    return fast.encode_ordinary(text)
-                except Exception:  # e.g. a run of blanks too long for the pattern engine
-                    pass
+            if fast is not None and not any(t in text for t in special):
+                return fast.encode_ordinary(text)
             return slow.encode(text, add_special_tokens=False).ids
 
         _encoders[path] = encode
@@ -147,7 +143,36 @@ def fit_patterns(hist: np.ndarray, pats: np.ndarray, steps: int = 100) -> np.nda
 
 def plan(hist: np.ndarray, capacity: int = CAPACITY) -> pd.DataFrame:
     """Rows (length, first, n, sequence, at): pieces ranked first .. first+n-1 of a length go to
-    sequences sequence, sequence+1, ... at offset at. hist[k]: pieces of length k."""
+    sequences sequence, sequence+1, ... at offset at. hist[k]: pieces of length k.
+
+    The fitted counts are used whole; if that misses the least number that the tokens need,
+    also parts of them (PARTS), which leave more for best fit, and the fewest sequences win.
+    """
+    lengths = np.flatnonzero(hist[:capacity])
+    pats = patterns(capacity, lengths[lengths > 0])
+    fitted = fit_patterns(np.r_[0, hist[1:capacity], 0].astype(float), pats)
+    least = -(-int((hist * np.arange(capacity + 1)).sum()) // capacity)
+    best = None
+    for part in PARTS:
+        used, runs = _filled(hist, pats, part * fitted, capacity)
+        if best is None or used < best[0]:
+            best = used, runs
+        if used == least:
+            break
+    taken: dict[int, int] = {}
+    rows = []
+    for count, first, parts in best[1]:
+        at = 0
+        for length in parts:
+            r = taken.get(length, 0)
+            rows.append((length, r, count, first, at))
+            taken[length] = r + count
+            at += length
+    return pd.DataFrame(rows, columns=["length", "first", "n", "sequence", "at"])
+
+
+def _filled(hist: np.ndarray, pats: np.ndarray, x: np.ndarray, capacity: int) -> tuple[int, list[tuple[int, int, tuple[int, ...]]]]:
+    """(sequences, runs): patterns by their counts x rounded, and the rest best fit decreasing; a run is (count, first sequence, lengths)."""
     left = hist.astype(np.int64).copy()
     left[0] = 0
     runs: list[tuple[int, int, tuple[int, ...]]] = []  # (count, first sequence, lengths)
@@ -157,11 +182,8 @@ def plan(hist: np.ndarray, capacity: int = CAPACITY) -> pd.DataFrame:
         runs.append((full, used, (capacity,)))
         used += full
         left[capacity] = 0
-    lengths = np.flatnonzero(left)
-    pats = patterns(capacity, lengths[lengths >= SHORT * capacity])
     # rounding: the fit spreads a length's count over many patterns, so what one leaves of a
     # whole goes on to the next in order (of its longest length) instead of being cut off
-    x = FITTED * fit_patterns(left.astype(float), pats)
     order = np.lexsort((pats[:, 1], -pats[:, 2])) if len(pats) else np.empty(0, np.int64)
     whole = np.diff(np.floor(np.cumsum(x[order]) + 1e-9), prepend=0).astype(np.int64)
     for k, m in zip(order[whole > 0].tolist(), whole[whole > 0].tolist(), strict=True):
@@ -208,16 +230,7 @@ def plan(hist: np.ndarray, capacity: int = CAPACITY) -> pd.DataFrame:
         for count, parts in g:
             runs.append((count, used, parts))
             used += count
-    taken: dict[int, int] = {}
-    rows = []
-    for count, first, parts in runs:
-        at = 0
-        for length in parts:
-            r = taken.get(length, 0)
-            rows.append((length, r, count, first, at))
-            taken[length] = r + count
-            at += length
-    return pd.DataFrame(rows, columns=["length", "first", "n", "sequence", "at"])
+    return used, runs
 
 
 def ranked(cut: DataFrame) -> DataFrame:
