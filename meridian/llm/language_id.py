@@ -3,7 +3,8 @@
 A text's words are strings over the pieces of a fixed public vocabulary. Each language has
 a probability for every piece; a word's probability is the sum over all its segmentations,
 by a forward algorithm over its characters. A text is the product of its words, so the work
-is done once per distinct word and batch. Piece probabilities are one step of expectation
+is done once per distinct word and batch. A word is a run of letters, of whatever length:
+long ones, as scripts without blanks have, go one by one with their sums kept in scale. Piece probabilities are one step of expectation
 maximisation: expected counts from a forward-backward pass, under a start that gives every
 piece the same chance, over a bounded sample of labelled documents (FIT_ROWS, by a hash).
 The features are the texts alone.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 
 import numpy as np
@@ -25,11 +27,11 @@ from .common import batches, table
 
 #: Labelled documents used at most to fit; the bound is on the classifier's sample only.
 FIT_ROWS = 20_000
-#: Characters of a word taken at once; longer runs of letters are cut there.
-WORD_CHARS = 48
-MAX_PIECE = 12
+#: Characters from which a word is summed alone and in scale; shorter ones go many at once.
+LONG_WORD = 48
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+# letters only: of what regular expressions take for a word's characters, numbers of any kind are left out
+_WORD = re.compile("[^\\W\\d_" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]+")
 _CACHE_WORDS = 300_000
 
 
@@ -38,7 +40,7 @@ def vocabulary(path: str) -> dict[str, int]:
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    names = sorted({p for i in range(sp.get_piece_size()) if (p := sp.id_to_piece(i).lstrip("▁").lower()) and _WORD.fullmatch(p) and len(p) <= MAX_PIECE})
+    names = sorted({p for i in range(sp.get_piece_size()) if (p := sp.id_to_piece(i).lstrip("▁").lower()) and _WORD.fullmatch(p)})
     return {p: i for i, p in enumerate(names)}
 
 
@@ -89,11 +91,43 @@ class Lattices:
         """log P(word | language), by the forward algorithm."""
         if not words:
             return np.zeros((0, prob.shape[1]))
+        long = [k for k, x in enumerate(words) if len(x) > LONG_WORD]
+        if long:
+            out = np.empty((len(words), prob.shape[1]))
+            short = [k for k, x in enumerate(words) if len(x) <= LONG_WORD]
+            out[short] = self.log_likelihood([words[k] for k in short], prob)
+            for k in long:
+                out[k] = self._scaled(words[k], prob)[1].sum(axis=0)
+            return out
         alpha = self.forward(words, prob)
         return np.log(np.maximum(alpha[np.arange(len(words)), [len(x) for x in words]], 1e-300))
 
+    def _scaled(self, word: str, prob: np.ndarray):
+        """(arcs by end, logs of the scales): the forward sums of one word, each position's divided by its own sum.
+
+        Only as many positions are held as the longest piece spans.
+        """
+        w, a, b, p = self.arcs([word])
+        ends = np.searchsorted(b, np.arange(1, len(word) + 2))
+        scale = np.zeros((len(word), prob.shape[1]))
+        back = [np.ones(prob.shape[1])]  # sums at the last positions, nearest last, each in the scale of the last
+        most = max(map(len, self.steps), default=1)
+        for j in range(1, len(word) + 1):
+            k = slice(ends[j - 1], ends[j])
+            got = sum(back[x - j] * prob[q] for x, q in zip(a[k].tolist(), p[k].tolist(), strict=True))
+            scale[j - 1] = np.log(np.maximum(got, 1e-300))
+            back = [x / np.maximum(got, 1e-300) for x in back[-most:]] + [np.ones(prob.shape[1])]
+        return (a, b, p), scale
+
     def expected(self, words: list[str], counts: np.ndarray, prob: np.ndarray) -> np.ndarray:
         """Expected pieces over all segmentations: counts[word, language] words each. Forward, then backward."""
+        long = [k for k, x in enumerate(words) if len(x) > LONG_WORD]
+        if long:
+            short = [k for k, x in enumerate(words) if len(x) <= LONG_WORD]
+            total = self.expected([words[k] for k in short], counts[short], prob) if short else np.zeros((len(prob), counts.shape[1]))
+            for k in long:
+                total += self._expected_long(words[k], prob)[:, None] * counts[k]
+            return total
         arcs = w, a, b, p = self.arcs(words)
         alpha = self.forward(words, prob, arcs)[:, :, 0]
         beta = np.zeros_like(alpha)
@@ -110,14 +144,28 @@ class Lattices:
         return np.stack([np.bincount(p, weights=post * counts[w, lang], minlength=len(one)) for lang in range(counts.shape[1])], axis=1)
 
 
+    def _expected_long(self, word: str, prob: np.ndarray) -> np.ndarray:
+        """expected() of one long word: log sums forward and backward."""
+        w, a, b, p = self.arcs([word])
+        one = np.log(np.maximum(prob[:, 0], 1e-300))[p]
+        n = len(word)
+        ahead, behind = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+        ahead[0] = behind[n] = 0.0
+        ends = np.searchsorted(b, np.arange(1, n + 2))
+        for j in range(1, n + 1):
+            k = slice(ends[j - 1], ends[j])
+            ahead[j] = np.logaddexp.reduce(ahead[a[k]] + one[k])
+        o = np.argsort(a, kind="stable")
+        starts = np.searchsorted(a[o], np.arange(n + 1))
+        for i in range(n - 1, -1, -1):
+            k = o[starts[i] : starts[i + 1]]
+            behind[i] = np.logaddexp.reduce(one[k] + behind[b[k]])
+        return np.bincount(p, weights=np.exp(ahead[a] + one + behind[b] - ahead[n]), minlength=len(prob))
+
+
 def words_of(text: str | None) -> Counter:
-    """Lower-cased runs of letters with their numbers; runs over WORD_CHARS in parts."""
-    found = Counter(_WORD.findall((text or "").lower()))
-    for w in [w for w in found if len(w) > WORD_CHARS]:
-        n = found.pop(w)
-        for k in range(0, len(w), WORD_CHARS):
-            found[w[k : k + WORD_CHARS]] += n
-    return found
+    """Lower-cased runs of letters with their numbers."""
+    return Counter(_WORD.findall((text or "").lower()))
 
 
 def train(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> tuple[list[str], dict[str, int], np.ndarray, np.ndarray]:

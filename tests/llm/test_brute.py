@@ -100,6 +100,45 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(count[3], 2 * 0.05 / total) and np.allclose(count[0], 2 * (2 * 0.012 + 0.02) / total)
 
 
+def all_segmentations(word, pieces):
+    if not word:
+        yield []
+    for k in range(1, len(word) + 1):
+        if word[:k] in pieces or k == 1:
+            for rest in all_segmentations(word[k:], pieces):
+                yield [word[:k], *rest]
+
+
+def test_query_against_all_segmentations(spark, sf_dir):
+    """The query's prediction and score, with every segmentation of every word enumerated."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    langs, pieces, prob, prior = language_id.train(d.where(~held), language_id.vocabulary_path())
+    t = {r.doc_id: r for r in d.where(held & F.col("text").isNotNull()).orderBy("doc_id").limit(12).collect()}
+    got = {r.doc_id: r for r in language_id.op1_language_id(spark, sf_dir).where(F.col("doc_id").isin(list(t))).collect()}
+    for k, row in t.items():
+        ll = np.log(prior)
+        for w, n in language_id.words_of(row.text[:400]).items():
+            total = sum(np.prod([prob[pieces.get(x, len(pieces))] for x in seg], axis=0) for seg in all_segmentations(w, pieces))
+            ll = ll + n * np.log(total)
+        if len(row.text) <= 400:
+            post = np.exp(ll - ll.max())
+            assert abs(got[k].score - (post / post.sum()).max()) < 1e-6
+        assert got[k].lang_pred == langs[int(ll.argmax())]
+
+
+def test_long_words_are_summed_whole(monkeypatch):
+    lat = language_id.Lattices({"a": 0, "b": 1, "ab": 2, "aba": 3, "abababababababab": 4})
+    prob = np.array([[0.2, 0.1], [0.3, 0.2], [0.1, 0.3], [0.05, 0.1], [0.01, 0.02], [0.001, 0.001]])
+    words = ["ab" * 12, "ba" * 7 + "c" + "aba" * 3]
+    count = np.array([[2.0, 1.0], [0.0, 3.0]])
+    whole = lat.log_likelihood(words, prob), lat.expected(words, count, prob[:, :1])
+    monkeypatch.setattr(language_id, "LONG_WORD", 5)
+    assert np.allclose(lat.log_likelihood(words, prob), whole[0]) and np.allclose(lat.expected(words, count, prob[:, :1]), whole[1])
+    assert np.isfinite(lat.log_likelihood(["ab" * 20_000], prob)).all()
+    assert not language_id.words_of("12 ½ ² Ⅷ _ 7") and list(language_id.words_of("x½y²z")) == ["x", "y", "z"]
+
+
 def test_leaks_are_found(spark, sf_dir):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()
     t = texts(spark, sf_dir)
@@ -173,11 +212,25 @@ def test_leaks_against_loops(spark):
     assert {(r.doc_id, r.item_id) for r in got} == want and len(want) > 20
 
 
+def test_packing_ids_and_patterns(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.tokenizer_path())
+    rows = [(1, "a <|endoftext|> b"), (2, " " * 5000 + "x"), (3, "é\U0001f600\u0301 1234567"), (4, "\n\n \t x")]
+    got = {r.doc_id: r for r in packing.pieces(spark.createDataFrame(rows, "doc_id long, text string"), packing.tokenizer_path(), capacity=1 << 20).collect()}
+    for k, t in rows:
+        ids = [*tok.encode(t, add_special_tokens=False).ids, 0]
+        assert got[k].length == len(ids) and got[k].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+    hist = np.bincount(np.random.default_rng(1).geometric(0.003, 20_000).clip(1, 2047), minlength=2049)
+    plan = packing.plan(hist)
+    assert (np.bincount(plan["length"], weights=plan["n"], minlength=2049) == hist).all()
+    assert (plan["sequence"] + plan["n"]).max() <= -(-int((hist * np.arange(2049)).sum()) // 2048) + 1
+
+
 def test_packing_round_trip(spark, sf_dir):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.tokenizer_path())
-    tok.encode_special_tokens = True
     t = texts(spark, sf_dir)
     rows = packing.op3_packing(spark, sf_dir).collect()
     by = {}
