@@ -9,6 +9,10 @@ over the budget, and drops pairs whose leaves already lie in one component (only
 components are wanted, so a tight cluster of m fingerprints gives m - 1 links, not m²).
 A subtree with many fingerprints is dealt out further: its next bits name cells, and each
 pair of cells within the budget is a task of its own.
+
+Near copies in the sense of word shingles (one_of_each) are found by fingerprints under
+several seeds and a larger budget; a link stands only if the exact Jaccard similarity of
+the two texts' sets of shingles is SIMILARITY or more.
 """
 
 from __future__ import annotations
@@ -19,14 +23,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, connected_components, durable, table
+from .common import batches, connected_components, durable, stored, table
 
 BLOCKS = 4
 #: Seeds under which one_of_each() looks for near copies.
-SEEDS = (42, 43, 44)
+SEEDS = (42, 43, 44, 45, 46, 47)
+#: Exact Jaccard similarity that a link of one_of_each() has.
+SIMILARITY = 0.8
+#: Pairs of one text that are verified in one task.
+STAR = 256
 BLOCK_BITS = 16
 #: Distinct fingerprints of one block value beyond which its subtree is dealt out as pairs of cells.
 HOT_SUBTREE = 1024
+#: The same for the two subtrees of a pair that is one bit apart, whose cells all lie within a budget of six or seven.
+HOT_PAIR = 1 << 17
 CELL_BITS = 6
 #: Pairs of nodes with so few pairs of leaves are compared leaf by leaf.
 LEAF_PAIRS = 64
@@ -64,11 +74,24 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return batches(docs.select(id_col, text_col), f"{id_col} {docs.schema[id_col].dataType.simpleString()}, {', '.join(f'{n} long' for n in names)}", batch)
 
 
+def _fingerprints_of(keyed: DataFrame, seeds: tuple[int, ...], words: int) -> DataFrame:
+    """Rows (_id, _md5, fp, fp1, ...) of rows (_id, _text, _md5)."""
+    names = ["fp", *(f"fp{k}" for k in range(1, len(seeds)))]
+
+    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+        fps = np.array([seeded(t, words, seeds) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
+        return pa.record_batch([b.column(0), b.column(2), *(pa.array(fps[:, k]) for k in range(len(seeds)))], names=["_id", "_md5", *names])
+
+    return batches(keyed.select("_id", "_text", "_md5"), f"_id {keyed.schema['_id'].dataType.simpleString()}, _md5 string, {', '.join(f'{n} long' for n in names)}", batch)
+
+
 class _Forest:
-    """Union by smallest index over numpy arrays of pairs."""
+    """Union by smallest index over numpy arrays of pairs; edges are the pairs that joined something."""
 
     def __init__(self, n: int):
         self.root = np.arange(n, dtype=np.int64)
+        self.edges: list[tuple[np.ndarray, np.ndarray]] = []
+        self._pick = np.empty(n, np.int64)
 
     def join(self, i: np.ndarray, j: np.ndarray) -> None:
         r = self.root
@@ -78,7 +101,12 @@ class _Forest:
             if not keep.any():
                 return
             i, j, a, b = i[keep], j[keep], a[keep], b[keep]
-            np.minimum.at(r, np.maximum(a, b), np.minimum(a, b))
+            hi, lo = np.maximum(a, b), np.minimum(a, b)
+            np.minimum.at(r, hi, lo)
+            k = np.flatnonzero(r[hi] == lo)
+            self._pick[hi[k]] = k  # one of the pairs that hang a root where it goes
+            k = k[self._pick[hi[k]] == k]
+            self.edges.append((i[k], j[k]))
             while True:
                 s = r[r]
                 if np.array_equal(s, r):
@@ -86,13 +114,13 @@ class _Forest:
                 r[:] = s
 
 
-def trie_join(keys: np.ndarray, lo1, hi1, lo2, hi2, err, depth: int, budget: int, chunk: int = 1 << 16) -> np.ndarray:
-    """Components of the keys linked within the budget, by walking pairs of trie nodes.
+def trie_join(keys: np.ndarray, lo1, hi1, lo2, hi2, err, depth: int, budget: int, chunk: int = 1 << 16) -> _Forest:
+    """A forest of the keys linked within the budget, by walking pairs of trie nodes.
 
     keys: uint64, sorted inside each node. A node is a range of keys that agree on
     their first depth bits; pair k is nodes [lo1, hi1) and [lo2, hi2) with err[k] bits
-    apart so far (the same range twice: a node with itself). Returns for each key the
-    index of its component's first key. Frontiers are walked depth first in chunks, so
+    apart so far (the same range twice: a node with itself). Nearer pairs are joined
+    first. Frontiers are walked depth first in chunks, so
     memory follows the chunk, not the number of pairs.
     """
     forest = _Forest(len(keys))
@@ -119,8 +147,12 @@ def trie_join(keys: np.ndarray, lo1, hi1, lo2, hi2, err, depth: int, budget: int
                 off = np.arange(int(s.sum())) - np.repeat(np.cumsum(s) - s, s)
                 w = np.repeat(n2[k], s)
                 i, j = np.repeat(a0[leaf][k], s) + off // w, np.repeat(b0[leaf][k], s) + off % w
-                near = (np.bitwise_count(keys[i] ^ keys[j]) <= budget) & (i != j)
-                forest.join(i[near], j[near])
+                off = np.bitwise_count(keys[i] ^ keys[j])
+                near = np.flatnonzero((off <= budget) & (i != j))
+                i, j, off = i[near], j[near], off[near]
+                for bits in range(budget + 1):
+                    k = off == bits
+                    forest.join(i[k], j[k])
         a0, a1, b0, b1, e, same = (x[~leaf] for x in (a0, a1, b0, b1, e, same))
         if not len(a0):
             continue
@@ -133,7 +165,7 @@ def trie_join(keys: np.ndarray, lo1, hi1, lo2, hi2, err, depth: int, budget: int
         for k in nxt:
             for c in range(0, len(k[0]), chunk):
                 stack.append((d + 1, [x[c : c + chunk] for x in k]))
-    return forest.root
+    return forest
 
 
 def _cuts(ends: np.ndarray, most: int):
@@ -169,30 +201,46 @@ def _rotate(fp, block: int):
 
 
 def _dealt(fps: DataFrame, budget: int, fp_col: str) -> DataFrame:
-    """Rows (b, c, d, pair, side, r): rotated fingerprints, dealt to cells that hold every pair within the budget.
+    """Rows (cell, r): rotated fingerprints, dealt to cells that hold every pair within the budget.
 
-    A cell is the block b, the values c <= d of that block on its two sides, and, for a
-    subtree that is dealt out further, the pair of its next bits' values (else -1).
+    A cell is the block, the values c <= d of that block on its two sides, and, for a
+    subtree that is dealt out further, one plus the pair of its next bits' values (else 0),
+    packed into a long whose last bit is the side.
     """
     fp = F.col(fp_col)
     rot = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), _rotate(fp, b).alias("r")) for b in range(BLOCKS)])).alias("x")
     rows = fps.select(rot).select("x.b", "x.r", F.shiftrightunsigned("x.r", 64 - BLOCK_BITS).cast("int").alias("top"))
-    if budget >= BLOCKS:  # some block is one bit off at most
+    # at most BLOCKS << BLOCK_BITS rows
+    sizes = rows.groupBy("b", "top").agg(F.count("*").alias("n"))
+    one = F.col("top") == F.col("t")
+    if budget < BLOCKS:  # some block is the same
+        sized = durable(rows.join(sizes.where("n > 1"), ["b", "top"])).withColumn("t", F.col("top"))
+        hot = F.col("n") > HOT_SUBTREE
+    else:  # some block is one bit off at most
         flips = F.explode(F.array(*[F.col("top").bitwiseXOR(m) for m in (0, *(1 << k for k in range(BLOCK_BITS)))])).alias("t")
-        two = rows.select("b", "r", "top", flips)
-        return two.select("b", F.least("top", "t").alias("c"), F.greatest("top", "t").alias("d"), F.lit(-1).alias("pair"), (F.col("top") > F.col("t")).cast("int").alias("side"), "r")
-    sizes = rows.groupBy("b", "top").agg(F.count("*").alias("n")).where("n > 1")
-    sized = durable(rows.join(sizes, ["b", "top"]))
-    cold = sized.where(F.col("n") <= HOT_SUBTREE).select("b", F.col("top").alias("c"), F.col("top").alias("d"), F.lit(-1).alias("pair"), F.lit(0).alias("side"), "r")
+        sizes = durable(sizes)
+        other = F.broadcast(sizes.withColumnsRenamed({"top": "t", "n": "n_t"}))
+        sized = rows.join(F.broadcast(sizes), ["b", "top"]).select("b", "r", "top", "n", flips).join(other, ["b", "t"]).where(~one | (F.col("n") > 1))
+        hot = F.when(one, F.col("n")).otherwise(F.col("n") + F.col("n_t")) > HOT_PAIR
     s = F.shiftrightunsigned("r", 64 - BLOCK_BITS - CELL_BITS).bitwiseAND((1 << CELL_BITS) - 1).cast("int")
     near = F.element_at(F.array(*[F.array(*map(F.lit, ts)) for ts in _cells(CELL_BITS, budget)]), s + 1)
-    hot = sized.where(F.col("n") > HOT_SUBTREE).select("b", "r", "top", s.alias("s"), F.explode(near).alias("t"))
-    pair = F.least("s", "t") * (1 << CELL_BITS) + F.greatest("s", "t")
-    return cold.unionByName(hot.select("b", F.col("top").alias("c"), F.col("top").alias("d"), pair.alias("pair"), (F.col("s") > F.col("t")).cast("int").alias("side"), "r"))
+    u = F.explode(F.when(hot, near).otherwise(F.array(F.lit(-1)))).alias("u")
+    rows = sized.select("b", "r", "top", "t", s.alias("s"), u)
+    split = F.col("u") >= 0
+    pair = F.when(split, F.least("s", "u") * (1 << CELL_BITS) + F.greatest("s", "u") + 1).otherwise(0)
+    # inside a subtree the cell with the smaller number is the first side, across two subtrees the smaller subtree
+    cross = rows.where(F.col("top") != F.col("t")).select("b", "r", "top", "t", F.when(split & (F.col("top") < F.col("t")), F.col("s") * (1 << CELL_BITS) + F.col("u") + 1).when(split, F.col("u") * (1 << CELL_BITS) + F.col("s") + 1).otherwise(0).alias("pair"), (F.col("top") > F.col("t")).cast("long").alias("side"))
+    within = rows.where(one).select("b", "r", "top", "t", pair.alias("pair"), (split & (F.col("s") > F.col("u"))).cast("long").alias("side"))
+    cells = within if budget < BLOCKS else within.unionByName(cross)
+    packed = ((F.col("b").cast("long") * (1 << BLOCK_BITS) + F.least("top", "t")) * (1 << BLOCK_BITS) + F.greatest("top", "t")) * (1 << _PAIR_BITS) + F.col("pair")
+    return cells.select((packed * 2 + F.col("side")).alias("cell"), "r")
+
+
+_PAIR_BITS = 2 * CELL_BITS + 1
 
 
 def links(fps: DataFrame, budget: int = 3, fp_col: str = "fp") -> DataFrame:
-    """A spanning forest, task by task, of distinct fingerprints within budget bits: rows (a, b).
+    """A spanning forest, task by task, of distinct fingerprints within budget bits: rows (a, b), each such a pair.
 
     Every pair within the budget is joined by a path of rows. Up to three bits, one of
     four blocks agrees; up to seven, one is a single bit off at most. A larger budget
@@ -200,49 +248,44 @@ def links(fps: DataFrame, budget: int = 3, fp_col: str = "fp") -> DataFrame:
     """
     if not 0 <= budget < 2 * BLOCKS:
         raise ValueError("budget must be 0 to 7")
-    cell = ["b", "c", "d", "pair"]
-    dealt = _dealt(fps, budget, fp_col).repartition(*cell).sortWithinPartitions(*cell, "side", F.expr("r < 0"), "r")
+    whole = F.shiftright("cell", 1)
+    dealt = _dealt(fps, budget, fp_col).repartition(whole).sortWithinPartitions("cell", F.expr("r < 0"), "r")
+    mask = (1 << CELL_BITS) - 1
 
-    def emit(b, c, d, pair, side, r):
+    def emit(cell, r):
         keys = r.view(np.uint64)
-        new = np.zeros(len(r), bool)
-        new[0] = True
-        for x in (b, c, d, pair):
-            new[1:] |= x[1:] != x[:-1]
-        first = np.flatnonzero(new)
+        group, side = cell >> 1, cell & 1
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         end = np.r_[first[1:], len(r)]
-        mid = first + np.add.reduceat((side == 0).astype(np.int64), first)
-        p, c1, d1 = pair[first], c[first], d[first]
-        s, t = np.where(p < 0, 0, p >> CELL_BITS), np.where(p < 0, 0, p & ((1 << CELL_BITS) - 1))
-        twin = (c1 != d1) | (s != t)
-        err = np.bitwise_count(c1 ^ d1).astype(np.int64) + np.bitwise_count(s ^ t)
-        ok = np.where(twin, (mid > first) & (mid < end), end - first > 1)
-        for deep, depth in ((p < 0, BLOCK_BITS), (p >= 0, BLOCK_BITS + CELL_BITS)):
+        mid = first + np.add.reduceat(1 - side, first)
+        g = group[first]
+        pair, d, c = g & ((1 << _PAIR_BITS) - 1), (g >> _PAIR_BITS) & 0xFFFF, (g >> (_PAIR_BITS + BLOCK_BITS)) & 0xFFFF
+        b = group >> (_PAIR_BITS + 2 * BLOCK_BITS)
+        s, t = (pair - 1) >> CELL_BITS & mask, (pair - 1) & mask
+        twin = (c != d) | ((pair > 0) & (s != t))
+        err = np.bitwise_count(c ^ d).astype(np.int64) + np.where(pair > 0, np.bitwise_count(s ^ t), 0)
+        ok = np.where(twin, (mid > first) & (mid < end), end - first > 1) & (err <= budget)
+        for deep, depth in ((pair == 0, BLOCK_BITS), (pair > 0, BLOCK_BITS + CELL_BITS)):
             k = np.flatnonzero(ok & deep)
             if not len(k):
                 continue
             f, n, m, w = first[k], end[k], mid[k], twin[k]
-            root = trie_join(keys, f, np.where(w, m, n), np.where(w, m, f), n, err[k], depth, budget)
-            at = np.flatnonzero(root != np.arange(len(root)))
-            if len(at):
-                turn = (b[at] * BLOCK_BITS).astype(np.uint64)
+            forest = trie_join(keys, f, np.where(w, m, n), np.where(w, m, f), n, err[k], depth, budget)
+            for i, j in forest.edges:
+                turn = (b[i] * BLOCK_BITS).astype(np.uint64)
                 back = (np.uint64(64) - turn) % np.uint64(64)
-
-                def home(x):
-                    return np.where(turn == 0, x, (x >> turn) | (x << back)).view(np.int64)
-
-                yield pa.record_batch([pa.array(home(keys[at])), pa.array(home(keys[root[at]]))], names=["a", "b"])
+                x, y = (np.where(turn == 0, v, (v >> turn) | (v << back)).view(np.int64) for v in (keys[i], keys[j]))
+                yield pa.record_batch([pa.array(x), pa.array(y)], names=["a", "b"])
 
     def run(it):
         held: list[np.ndarray] | None = None
         for batch in it:
-            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(2)]
             cur = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
             if not len(cur[0]):
                 continue
             # the last group may go on in the next batch
-            last = np.flatnonzero((cur[0] != cur[0][-1]) | (cur[1] != cur[1][-1]) | (cur[2] != cur[2][-1]) | (cur[3] != cur[3][-1]))
-            cut = int(last[-1]) + 1 if len(last) else 0
+            cut = int(np.searchsorted(cur[0], (cur[0][-1] >> 1) << 1))
             if cut >= 1 << 16:
                 yield from emit(*[x[:cut] for x in cur])
                 held = [x[cut:] for x in cur]
@@ -274,38 +317,81 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def near_under_any(docs: DataFrame, seeds: tuple[int, ...], id_col: str = "doc_id", text_col: str = "text", words: int = 5, budget: int = 7) -> DataFrame:
+def shingles(text: str | None, words: int = 5) -> set[bytes]:
+    """The set of word shingles of a text, ASCII case folded; of fewer words: the whole sequence; of none: empty."""
+    toks = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return {b" ".join(toks[i : i + words]) for i in range(max(1, len(toks) - words + 1))} if toks else set()
+
+
+def similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts' sets of shingles have at least this Jaccard similarity; two without words have 1.
+
+    texts: rows (node, text), one a node. A node with many partners is met in parts of STAR.
+    """
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
+    own = parts.join(texts, F.col("a") == F.col("node")).select("a", "text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    both = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    both = both.join(texts.withColumnsRenamed({"node": "b", "text": "other"}), "b").join(own, ["a", "part"]).select("a", "b", "text", "other")
+
+    def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
+        last, mine, keep = None, set(), []
+        for a, text, other in zip(*(rows.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+            if a != last:
+                last, mine = a, shingles(text, words)
+            theirs = shingles(other, words)
+            met = len(mine & theirs)
+            all_ = len(mine) + len(theirs) - met
+            keep.append(met >= similarity * all_)
+        return pa.record_batch([rows.column(0), rows.column(1)], names=["a", "b"]).filter(pa.array(keep))
+
+    return batches(both, "a long, b long", batch)
+
+
+def near_under_any(docs: DataFrame, seeds: tuple[int, ...], id_col: str = "doc_id", text_col: str = "text", words: int = 5, budget: int = 7, similarity: float | None = None) -> DataFrame:
     """Rows (id_col, component_id) where documents link if their fingerprints under any of the seeds do.
 
     A pair whose bits happen to fall apart under one seed is found under another, which
     costs a pass of hashing and a join each, where a larger budget would cost the square
-    of the corpus. Ids are longs and not null.
+    of the corpus. With a similarity, only links between texts that have it stand: the
+    links of each seed's forest, nearest fingerprints first, are verified on the texts.
+    component_id is the smallest id of a component. Rows with a null id have a component
+    like any other and take no part in its minimum.
     """
     names = ["fp", *(f"fp{k}" for k in range(1, len(seeds)))]
-    fps = durable(fingerprints(docs, id_col, text_col, words, seeds))
-    nodes = durable(fps.groupBy(*names).agg(F.min(id_col).cast("long").alias("node")))
+    keyed = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("_md5"))
+    fps = durable(_fingerprints_of(keyed, seeds, words))
+    nodes = durable(fps.groupBy("_md5").agg(F.min("_id").alias("least"), *[F.first(n).alias(n) for n in names]).withColumn("node", F.monotonically_increasing_id()))
     edges = None
     for name in names:
-        least = durable(nodes.groupBy(name).agg(F.min("node").alias("least")))
-        same = nodes.join(least, name).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-        met = links(least.select(F.col(name).alias("fp")), budget)
-        side = lambda c, to: least.select(F.col(name).alias(c), F.col("least").alias(to))  # noqa: B023, E731
-        met = met.join(side("a", "x"), "a").join(side("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        rep = durable(nodes.groupBy(name).agg(F.min("node").alias("rep")))
+        same = nodes.join(rep, name).where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+        met = links(rep.select(F.col(name).alias("fp")), budget)
+        side = lambda c, to: rep.select(F.col(name).alias(c), F.col("rep").alias(to))  # noqa: B023, E731
+        met = met.join(side("a", "x"), "a").join(side("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         part = durable(same.unionByName(met))
         edges = part if edges is None else edges.unionByName(part)
+    if similarity is not None:
+        pairs = durable(edges.distinct())
+        met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "_md5"), "node")
+        texts = stored(keyed.join(met, "_md5").groupBy("node").agg(F.first("_text").alias("text")), "simhash-texts")
+        edges = durable(similar(pairs, texts, words, similarity))
     comps = connected_components(edges)
-    named = nodes.join(comps, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
-    return fps.join(named, names).select(id_col, "component_id")
+    named = nodes.join(comps, "node", "left").select("_md5", "least", F.coalesce("component", "node").alias("c"))
+    named = durable(named)
+    ids = named.groupBy("c").agg(F.min("least").alias("component_id"))
+    return fps.select("_id", "_md5").join(named.join(ids, "c").select("_md5", "component_id"), "_md5").select(F.col("_id").alias(id_col), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, budget: int = 7, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, budget: int = 7, seeds: tuple[int, ...] = SEEDS, similarity: float = SIMILARITY) -> DataFrame:
     """docs, with all columns, without those whose component has a smaller id; rows without an id stay.
 
-    Rows that repeat an id stay or go together.
+    Documents are in a component if a chain of found pairs of at least this similarity
+    joins them. Rows that repeat an id stay or go together. Empty and wordless texts are
+    copies of each other.
     """
-    comp = near_under_any(docs.where(F.col(id_col).isNotNull()), seeds, id_col, text_col, words, budget)
+    comp = near_under_any(docs.where(F.col(id_col).isNotNull()), seeds, id_col, text_col, words, budget, similarity)
     gone = comp.where(F.col(id_col) != F.col("component_id")).select(id_col)
-    return docs.join(gone, id_col, "left_anti")
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

@@ -52,9 +52,10 @@ def plain_fingerprint(text, words=3):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
-@pytest.mark.parametrize("words,budget", [(3, 3), (5, 7)])
-def test_simhash(spark, sf_dir, words, budget, monkeypatch):
+@pytest.mark.parametrize("words,budget,hot", [(3, 3, 8), (5, 7, 8), (5, 7, 1 << 17)])
+def test_simhash(spark, sf_dir, words, budget, hot, monkeypatch):
     monkeypatch.setattr(simhash, "HOT_SUBTREE", 8)
+    monkeypatch.setattr(simhash, "HOT_PAIR", hot)
     t = texts(spark, sf_dir)
     rng = random.Random(1)
     base = [rng.getrandbits(64) for _ in range(40)]
@@ -82,6 +83,31 @@ def test_near_under_any(spark, sf_dir):
     assert got == want and len(set(want.values())) < len(ids)
 
 
+def test_near_copies_against_exact_similarity(spark):
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(4000)]
+    t = {i: rng.choices(vocab, k=rng.randrange(80, 300)) for i in range(150)}
+    for i in range(150):  # copies with words changed here and there
+        for k in range(2):
+            w = list(t[i])
+            for _ in range(rng.randrange(0, max(1, len(w) // 30))):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+            t[1000 + 2 * i + k] = w
+    t = {k: " ".join(w) for k, w in t.items()} | {5000: "", 5001: None, 5002: "one two", 5003: "One  two"}
+    sets = {k: simhash.shingles(x) for k, x in t.items()}
+    ids = sorted(t)
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    pairs = [(a, b) for i, a in enumerate(ids) for b in ids[:i] if near(a, b)]
+    want = least_reachable(ids, pairs)
+    d = spark.createDataFrame([(k, x, 1) for k, x in t.items()], "doc_id long, text string, node int")
+    got = {r.doc_id: r.component_id for r in simhash.near_under_any(d, simhash.SEEDS, similarity=0.8).collect()}
+    # nothing is joined that exact similarity does not join, and nine pairs in ten of those just above it are
+    assert all(want[got[k]] == want[k] for k in ids) and got[5001] == got[5000] == 5000 and got[5003] == 5002
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.9 * len(pairs) and len(pairs) > 150
+    kept = {r.doc_id for r in simhash.one_of_each(d).collect()}
+    assert kept == set(got.values())
+
+
 def test_language_held_out(spark, sf_dir):
     got = language_id.op1_language_id(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     for r in got:
