@@ -18,12 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor shares: spark.checkpoint.dir, else one of our own (tests)."""
+    """The folder that every executor shares: spark.checkpoint.dir, else, on a local master only, one of our own (tests)."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = sc.getCheckpointDir()
         if not root:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             root = os.path.join(tempfile.gettempdir(), f"meridian-{os.getpid()}")
             sc.setCheckpointDir(root)
     elif sc.getCheckpointDir() is None:
@@ -45,6 +47,14 @@ def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have: name, with as many underscores after it as that takes."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def signed(x: int) -> int:
     """An unsigned 64-bit number as Spark's long."""
     x &= MASK64

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 WINDOW = 5
 COVERAGE = 0.8
@@ -130,9 +130,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     text: those without an id or with a repeated one go or stay as any other. An empty
     table on either side leaves the documents as they are.
     """
-    key = "_digest"
-    while key in docs.columns:
-        key += "_"
+    key = fresh(docs, "_digest")
     keyed = docs.withColumn(key, F.md5(F.coalesce(F.col(text_col), F.lit(""))))
     gone = leaks(keyed.select(key, text_col), benchmark, key, text_col, **kw).select(key).distinct()
     return keyed.join(gone, key, "left_anti").select(*docs.columns)

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 DIMS = 1 << 22
 #: Rated documents used at most to fit; the bound is on the classifier's sample only.
@@ -47,9 +47,9 @@ def _of_word(w: str) -> tuple[int, ...]:
     core = _EDGES.sub("", w).lower()
     tail = re.search(r"[^\w\s]*$", w)[0]
     out = [_index("w:" + core)] if core else []
-    out += [_index(f"p:{core[:k]}") for k in (4, 5) if len(core) > k]
+    out += [_index(f"p:{core[k : k + 5]}") for k in range(len(core) - 4) if len(core) > 5]
     if tail:
-        out.append(_index("t:" + tail[:3]))
+        out.append(_index("t:" + tail))
     return tuple(out)
 
 
@@ -199,9 +199,14 @@ def classify(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_c
 
 
 def keep_best(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_at: float = KEEP_AT) -> DataFrame:
-    """The documents that classify() keeps, with all their columns."""
+    """The documents that classify() keeps, with all their columns.
+
+    Rows with null ids or texts are judged as any other, and repeated rows alike. Without
+    ratings the prior decides for all.
+    """
     model = train(docs, ratings, id_col, text_col)
-    return with_scores(docs, model, text_col).where(F.col("_quality.p_top") >= keep_at).drop("_quality")
+    col = fresh(docs, "_quality")
+    return with_scores(docs, model, text_col, col).where(F.col(f"{col}.p_top") >= keep_at).select(*docs.columns)
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:

@@ -5,7 +5,9 @@ are counted over distinct repositories and owners of the whole corpus: a value t
 owners carry is a copied example, one that few carry looks live. Shape-only patterns
 (mixed tokens, key headers, passwords in addresses) are too loose alone and count as
 secrets only when their value is owner-specific; the strict base kinds always stay and
-carry the verdict beside them.
+carry the verdict beside them. A value is shared when both its owners and its repositories
+are many: one owner's key in many of its repositories, or in one repository of many
+owners, stays live. Where a table names one origin only, that is owner and repository.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import durable, fresh, table
 
 ASSIGN, ACCESS, HEX = "assign", "access", "hex"
 #: Fixed patterns: kind, expression, group of the value, least characters of the value.
@@ -30,7 +32,7 @@ LOOSE = (
     ("pem", r"-----BEGIN ", r"-----BEGIN [A-Z ]*PRIVATE KEY-----\s*([A-Za-z0-9+/=]{16,})", 1, 16),
     ("address", r"://[^\s/]+@", r"[a-z][a-z0-9+.-]*://[^\s:/@]+:([^\s:/@]+)@", 1, 4),
 )
-#: Owners from which a value counts as a copied example.
+#: Owners, and repositories, from which a value counts as a copied example.
 SHARED_OWNERS = 3
 REDACTED = "[redacted]"
 
@@ -77,7 +79,7 @@ def verdicts(cands: DataFrame, shared_owners: int = SHARED_OWNERS) -> DataFrame:
     each = cands.where("size(base) + size(loose) > 0").select("_owner", "_repo", F.explode(F.array_distinct(F.transform(F.concat("base", "loose"), lambda s: F.xxhash64(s["value"])))).alias("h"))
     each = each.groupBy("h", "_owner", "_repo").agg(F.count("*").alias("k")).select("h", F.coalesce("_owner", F.lit("")).alias("o"), F.coalesce("_repo", F.lit("")).alias("r"), "k")
     got = each.groupBy("h").agg(F.countDistinct("o").alias("n_owners"), F.countDistinct("r").alias("n_repos"), F.sum("k").alias("n_docs"))
-    return got.withColumn("shared", F.col("n_owners") >= shared_owners)
+    return got.withColumn("shared", (F.col("n_owners") >= shared_owners) & (F.col("n_repos") >= shared_owners))
 
 
 def _judged(cands: DataFrame, shared_owners: int) -> DataFrame:
@@ -125,14 +127,15 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ow
     by id and text, and rows without an id are redacted as any other.
     """
     key = F.concat(F.md5(F.coalesce(F.col(text_col), F.lit(""))), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    docs_ = docs.withColumn("_row_key", key)
-    gone = scan(docs_, "_row_key", text_col, owner_col, repo_col, shared_owners).select("_row_key", F.explode(F.filter("spans", lambda s: ~s["shared"])).alias("_s"))
+    row, gone_, new_ = (fresh(docs, n) for n in ("_row_key", "_gone", "_new"))
+    docs_ = docs.withColumn(row, key)
+    gone = scan(docs_, row, text_col, owner_col, repo_col, shared_owners).select(row, F.explode(F.filter("spans", lambda s: ~s["shared"])).alias("_s"))
     word = F.col("_s.kind").isin(ASSIGN, "address") & F.col("_s.value").rlike("^[A-Za-z]+$")
-    gone = gone.groupBy("_row_key").agg(F.array_sort(F.collect_set(F.struct("_s.value", word.alias("word"))), lambda a, b: F.length(b["value"]) - F.length(a["value"])).alias("_gone"))
+    gone = gone.groupBy(row).agg(F.array_sort(F.collect_set(F.struct("_s.value", word.alias("word"))), lambda a, b: F.length(b["value"]) - F.length(a["value"])).alias(gone_))
     whole = lambda v: F.concat(F.lit("(?<![A-Za-z0-9])"), v, F.lit("(?![A-Za-z0-9])"))
-    new = F.aggregate("_gone", F.col(text_col), lambda t, v: F.when(v["word"], F.regexp_replace(t, whole(v["value"]), F.lit(REDACTED))).otherwise(F.replace(t, v["value"], F.lit(REDACTED))))
-    out = docs_.join(gone, "_row_key", "left").withColumn("_new", F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(new))
-    cols = [F.col("_new").alias(c) if c == text_col else F.when(F.col("_gone").isNull(), F.col(c)).otherwise(F.length("_new")).cast(docs.schema[c].dataType).alias(c) if c == length_col else F.col(c) for c in docs.columns]
+    new = F.aggregate(gone_, F.col(text_col), lambda t, v: F.when(v["word"], F.regexp_replace(t, whole(v["value"]), F.lit(REDACTED))).otherwise(F.replace(t, v["value"], F.lit(REDACTED))))
+    out = docs_.join(gone, row, "left").withColumn(new_, F.when(F.col(gone_).isNull(), F.col(text_col)).otherwise(new))
+    cols = [F.col(new_).alias(c) if c == text_col else F.when(F.col(gone_).isNull(), F.col(c)).otherwise(F.length(new_)).cast(docs.schema[c].dataType).alias(c) if c == length_col else F.col(c) for c in docs.columns]
     return out.select(*cols)
 
 

@@ -8,11 +8,11 @@ from meridian.llm import decontaminate, embedding_dedup, html_extract, language_
 
 LONG = "lorem ipsum dolor sit amet " * 30_000
 TEXTS = [(1, None), (2, ""), (3, "   \n\t"), (4, LONG), (5, "a b c d e f g"), (6, "a b c d e f g"), (6, "a b c d e f g"), (7, "x"), (8, "ÄÖ 東京 \U0001f600 word"), (None, "no id here")]
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp long, component_id long, h string, n int, _m string, key long, anchor long, spans string, base string, piece int, length long, rank long, score double, kept boolean, _owner string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp long, component_id long, h string, n int, _m string, key long, anchor long, spans string, base string, _gone string, _new string, _quality double, _digest string, _row_key string, _md5 string, least long, rep long, slots string, trainer long, piece int, length long, rank long, score double, kept boolean, _owner string"
 
 
 def docs(spark, rows=TEXTS):
-    return spark.createDataFrame([(i, t, None if i == 1 else "en", None if i == 2 else "s", 0, 1, 2, "h", 3, "m", 4, 5, "sp", "b", 6, 7, 8, 0.5, None, "o") for i, t in rows], DOCS)
+    return spark.createDataFrame([(i, t, None if i == 1 else "en", None if i == 2 else "s", 0, 1, 2, "h", 3, "m", 4, 5, "sp", "b", "g", "w", 0.5, "d", "k", "5", 8, 9, "sl", 10, 6, 7, 8, 0.5, None, "o") for i, t in rows], DOCS)
 
 
 def empty(spark):
@@ -55,7 +55,9 @@ def test_edges(spark, name):
         assert sorted((r.doc_id or 0) for r in rows) == [0, 1, 2, 3, 4, 8]
     elif name == "packing":
         assert len({r.doc_id for r in rows}) == 9 and sum(r.length == 1 for r in rows) >= 2
-    elif name != "keep_best":
+    elif name == "keep_best":
+        assert all(r._quality == 0.5 for r in rows)
+    else:
         assert len(rows) == len(TEXTS)
 
 
