@@ -50,7 +50,8 @@ def _is_slot(word: Column) -> Column:
 def _coded(word: Column) -> Column:
     """A word as a long: odd for plain ones; of one that fills a placeholder the low three bits are the placeholder's."""
     h = F.xxhash64(word)
-    return F.when(_is_slot(word), h.bitwiseAND(~7).bitwiseOR(F.shiftleft(F.ascii(word), 1).cast("long"))).otherwise(h.bitwiseOR(1))
+    slot = h.bitwiseAND(~7).bitwiseOR(F.shiftleft(F.ascii(word), 1).cast("long"))
+    return F.when(word < "\u0004", F.when(word == "", h.bitwiseOR(1)).otherwise(slot)).otherwise(h.bitwiseOR(1))
 
 
 def _plain(code: Column) -> Column:
@@ -58,31 +59,27 @@ def _plain(code: Column) -> Column:
 
 
 def _tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (id, words, tpl): the coded words and the template tokens, position by position; no word, no row."""
-    words = F.split(marked(F.col(text_col)), " ")
-    coded = df.select(id_col, words.alias("w")).where("w[0] <> ''").select(id_col, F.transform("w", _coded).alias("words"))
-    return coded.withColumn("tpl", F.transform("words", lambda c: F.when(_plain(c) == 1, c).otherwise(c.bitwiseAND(7))))
-
-
-def _window(n: int):
-    """A window's words and hash, of its template or, with few plain words, of the words themselves."""
-
-    def at(start):
-        n_plain = sum((_plain(F.get("words", start + k)) for k in range(1, n)), _plain(F.get("words", start)))
-        weak = n_plain < min(LEAST_WORDS, n)
-        exact = F.xxhash64(F.lit("words"), *[F.get("words", start + k) for k in range(n)])
-        template = F.xxhash64(*[F.get("tpl", start + k) for k in range(n)])
-        return F.struct(start.alias("pos"), weak.alias("weak"), F.when(weak, exact).otherwise(template).alias("h"), F.slice("words", start + 1, n).alias("words"))
-
-    return at
+    """Rows (id, words): the coded words, position by position; a text without words has one, which is empty."""
+    return df.select(id_col, F.transform(F.split(marked(F.col(text_col)), " "), _coded).alias("words"))
 
 
 def _windows(tokens: DataFrame, keep: list, lengths: list[int]) -> DataFrame:
-    """One row a window: keep, n (its length), pos, weak, h, words (its own, so a row does not grow with its text)."""
+    """One row a window: keep, n (its length), pos, weak, h, words (its own, so a row does not grow with its text).
+
+    h is the hash of its template or, with few plain words, of the words themselves.
+    Places are exploded and the rest is computed from the words' array in generated code,
+    where a join that follows drops a window before its own words are made.
+    """
     parts = []
     for n in lengths:
-        starts = F.when(F.size("tpl") >= n, F.sequence(F.lit(0), F.size("tpl") - n)).otherwise(F.array().cast("array<int>"))
-        parts.append(tokens.select(*keep, F.lit(n).alias("n"), F.explode(F.transform(starts, _window(n))).alias("x")).select(*keep, "n", "x.*"))
+        starts = F.when(F.size("words") >= n, F.sequence(F.lit(0), F.size("words") - n)).otherwise(F.array().cast("array<int>"))
+        placed = tokens.select(*keep, "words", F.explode(starts).alias("pos"))
+        code = [F.get("words", F.col("pos") + k) for k in range(n)]
+        n_plain = sum((_plain(c) for c in code[1:]), _plain(code[0]))
+        weak = n_plain < min(LEAST_WORDS, n)
+        template = F.xxhash64(*[F.when(_plain(c) == 1, c).otherwise(c.bitwiseAND(7)) for c in code])
+        h = F.when(weak, F.xxhash64(F.lit("words"), *code)).otherwise(template)
+        parts.append(placed.select(*keep, F.lit(n).alias("n"), "pos", weak.alias("weak"), h.alias("h"), F.slice("words", F.col("pos") + 1, n).alias("words")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -99,9 +96,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     (without_leaks() judges them all the same); rows that repeat an id count as one; an
     empty table on either side gives no rows. Other columns are not read.
     """
-    items = _tokens(benchmark.where(F.col(item_col).isNotNull()), item_col, item_text).withColumnRenamed(item_col, "_item").dropDuplicates(["_item", "words"])
-    lengths = sorted({min(window, r[0]) for r in items.select(F.least(F.size("tpl"), F.lit(window)).alias("n")).distinct().collect()}) or [window]
-    own = _windows(items.withColumn("size", F.size("tpl")), ["_item", "size"], lengths).where(F.col("n") == F.least("size", F.lit(window)))
+    items = _tokens(benchmark.where(F.col(item_col).isNotNull() & (marked(F.col(item_text)) != "")), item_col, item_text).withColumnRenamed(item_col, "_item").dropDuplicates(["_item", "words"])
+    lengths = sorted(r[0] for r in items.select(F.least(F.size("words"), F.lit(window)).alias("n")).distinct().collect()) or [window]
+    own = _windows(items.withColumn("size", F.size("words")), ["_item", "size"], lengths).where(F.col("n") == F.least("size", F.lit(window)))
     mostly = own.groupBy("_item").agg((2 * F.count_if("weak") > F.count("*")).alias("mostly_weak"))
     own = own.join(mostly, "_item").where("mostly_weak or not weak").select("_item", "n", "h", F.col("pos").alias("item_pos"), F.col("words").alias("item_words"))
     totals = own.groupBy("_item").agg(F.countDistinct("item_pos").alias("n_windows"))

@@ -316,7 +316,7 @@ def _round(tokens: DataFrame, vocab: Vocabulary, net: Network, trainers: int) ->
             yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([(x / n).astype(np.float32).tobytes() for x, n in total.values()], pa.binary())], names=["block", "part"])
 
     who = F.pmod(F.xxhash64(F.lit("trainer"), "h"), F.lit(trainers))
-    dealt = tokens.select(who.alias("trainer"), "h", "slots").repartition(trainers, "trainer").sortWithinPartitions("trainer", "h", "slots")
+    dealt = tokens.select(who.alias("trainer"), "h", "slots").repartitionById(trainers, F.col("trainer").cast("int")).sortWithinPartitions("trainer", "h", "slots")
     parts = dealt.mapInArrow(local, "block int, trainer long, n long, part binary")
     rows = parts.repartition("block").sortWithinPartitions("block", "trainer").mapInArrow(mean, "block int, part binary").collect()
     if not rows:
