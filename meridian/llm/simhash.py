@@ -353,7 +353,8 @@ def near_under_any(docs: DataFrame, seeds: tuple[int, ...], id_col: str = "doc_i
     A pair whose bits happen to fall apart under one seed is found under another, which
     costs a pass of hashing and a join each, where a larger budget would cost the square
     of the corpus. With a similarity, only links between texts that have it stand: the
-    links of each seed's forest, nearest fingerprints first, are verified on the texts.
+    links of the first seed's forest, nearest fingerprints first, are verified on the texts,
+    then those of the other seeds between texts that are not joined yet.
     component_id is the smallest id of a component. Rows with a null id have a component
     like any other and take no part in its minimum.
     """
@@ -361,20 +362,33 @@ def near_under_any(docs: DataFrame, seeds: tuple[int, ...], id_col: str = "doc_i
     keyed = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("_md5"))
     fps = durable(_fingerprints_of(keyed, seeds, words))
     nodes = durable(fps.groupBy("_md5").agg(F.min("_id").alias("least"), *[F.first(n).alias(n) for n in names]).withColumn("node", F.monotonically_increasing_id()))
-    edges = None
-    for name in names:
+    def met_under(name: str) -> DataFrame:
         rep = durable(nodes.groupBy(name).agg(F.min("node").alias("rep")))
         same = nodes.join(rep, name).where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
         met = links(rep.select(F.col(name).alias("fp")), budget)
-        side = lambda c, to: rep.select(F.col(name).alias(c), F.col("rep").alias(to))  # noqa: B023, E731
+        side = lambda c, to: rep.select(F.col(name).alias(c), F.col("rep").alias(to))
         met = met.join(side("a", "x"), "a").join(side("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        part = durable(same.unionByName(met))
-        edges = part if edges is None else edges.unionByName(part)
-    if similarity is not None:
-        pairs = durable(edges.distinct())
+        return durable(same.unionByName(met).distinct())
+
+    def verified(pairs: DataFrame) -> DataFrame:
         met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "_md5"), "node")
         texts = stored(keyed.join(met, "_md5").groupBy("node").agg(F.first("_text").alias("text")), "simhash-texts")
-        edges = durable(similar(pairs, texts, words, similarity))
+        return durable(similar(pairs, texts, words, similarity))
+
+    edges = met_under(names[0])
+    if similarity is not None:
+        edges = verified(edges)
+    if len(names) > 1:
+        rest = met_under(names[1])
+        for name in names[2:]:
+            rest = rest.unionByName(met_under(name))
+        if similarity is not None:
+            # what the first seed has joined needs no look under the others
+            done = connected_components(edges)
+            x, y = (done.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in")) for c in ("a", "b"))
+            rest = rest.distinct().join(x, "a", "left").join(y, "b", "left").where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b")
+            rest = verified(durable(rest))
+        edges = edges.unionByName(rest)
     comps = connected_components(edges)
     named = nodes.join(comps, "node", "left").select("_md5", "least", F.coalesce("component", "node").alias("c"))
     named = durable(named)
