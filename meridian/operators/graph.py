@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 import os
 import tempfile
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,16 +26,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def one_to_all(edges: DataFrame, starts: DataFrame, limit: float | None = None, most_rounds: int = 10_000) -> DataFrame:
+def one_to_all(edges: DataFrame, starts: DataFrame, limit: float | None = None, most_rounds: int | None = None) -> DataFrame:
     """Rows (source, node, cost, hops): the least cost from each start (source, node) to every node in reach.
 
     edges: (a, b, cost), costs at least 0, rows repeated at will. Ties in cost go to fewer
-    hops. limit leaves out what is farther; most_rounds bounds the hops of a path.
+    hops. limit leaves out what is farther; most_rounds bounds the hops of a path, else rounds
+    go on until no cost improves.
     """
     e = edges.groupBy("a", "b").agg(F.min("cost").alias("cost"))
     best = checkpointed(starts.select("source", "node").distinct().withColumn("cost", F.lit(0).cast(e.schema["cost"].dataType)).withColumn("hops", F.lit(0)))
     front = best
-    for _ in range(most_rounds):
+    for _ in count() if most_rounds is None else range(most_rounds):
         new = front.withColumnRenamed("cost", "_c").join(e, F.col("node") == F.col("a")).select("source", F.col("b").alias("node"), (F.col("_c") + F.col("cost")).alias("cost"), (F.col("hops") + 1).alias("hops"))
         if limit is not None:
             new = new.where(F.col("cost") <= limit)
