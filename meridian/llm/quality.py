@@ -116,14 +116,19 @@ def fit(rows: list[np.ndarray], grade: np.ndarray, steps: int = 200, l2: float =
     cuts = np.maximum.accumulate(np.log((1 - share) / share) + 1e-3 * np.arange(top))
     if n == 0 or len(set(grade.tolist())) < 2:
         return OrdinalModel(np.empty(0, np.int64), np.empty(0), cuts)
-    flat = np.concatenate(rows) if n else np.empty(0, np.int64)
-    owner = np.repeat(np.arange(n), [len(r) for r in rows])
-    index, inv, count = np.unique(flat, return_inverse=True, return_counts=True)
-    away = np.bincount(inv, weights=(grade - grade.mean())[owner]) / np.sqrt(count * grade.var())
+    # a thousand rows at a time: the driver never holds the whole sample at eight bytes a feature
+    parts = [(k, np.concatenate(rows[k : k + 1024]), [len(r) for r in rows[k : k + 1024]]) for k in range(0, n, 1024)]
+    dims = 1 + max(int(f.max(initial=0)) for _, f, _ in parts)
+    count, away = np.zeros(dims, np.int64), np.zeros(dims)
+    for k, f, sizes in parts:
+        count += np.bincount(f, minlength=dims)
+        away += np.bincount(f, weights=np.repeat(grade[k : k + 1024] - grade.mean(), sizes), minlength=dims)
+    away /= np.sqrt(np.maximum(count, 1) * grade.var())
     ok = (count >= 3) & (count < n) & (np.abs(away) >= TELLING) & (np.abs(away) >= STRONG * np.sqrt(count))
-    new = np.cumsum(ok) - 1
-    live = ok[inv]
-    col, owner, index = new[inv[live]], owner[live], index[ok]
+    index, new = np.flatnonzero(ok), np.cumsum(ok, dtype=np.int32) - 1
+    col = np.concatenate([new[f[ok[f]]] for _, f, _ in parts])
+    owner = np.concatenate([np.repeat(np.arange(k, k + len(sizes), dtype=np.int32), sizes)[ok[f]] for k, f, sizes in parts])
+    del count, away, parts
     w, m, v = np.zeros(len(index)), 0.0, 0.0
     gaps = np.r_[cuts[0], np.log(np.maximum(np.diff(cuts), 1e-3))]  # cuts = first, then positive steps
     gm, gv = 0.0, 0.0
