@@ -35,8 +35,8 @@ STAR = 256
 BLOCK_BITS = 16
 #: Distinct fingerprints of one block value beyond which its subtree is dealt out as pairs of cells.
 HOT_SUBTREE = 1024
-#: The same for the two subtrees of a pair that is one bit apart, whose cells all lie within a budget of six or seven.
-HOT_PAIR = 1 << 17
+#: The same within a budget of four to seven: pairs of subtrees one bit apart of which either is larger are dealt out.
+HOT_PAIR = 1 << 16
 CELL_BITS = 6
 #: Pairs of nodes with so few pairs of leaves are compared leaf by leaf.
 LEAF_PAIRS = 64
@@ -200,17 +200,18 @@ def _rotate(fp, block: int):
     return fp if k == 0 else F.shiftleft(fp, k).bitwiseOR(F.shiftrightunsigned(fp, 64 - k))
 
 
-def _dealt(fps: DataFrame, budget: int, fp_col: str) -> DataFrame:
+def _dealt(fps: DataFrame, budget: int, fp_col: str, seed_col: str | None) -> DataFrame:
     """Rows (cell, r): rotated fingerprints, dealt to cells that hold every pair within the budget.
 
-    A cell is the block, the values c <= d of that block on its two sides, and, for a
-    subtree that is dealt out further, one plus the pair of its next bits' values (else 0),
+    A cell is the seed and block, the values c <= d of that block on its two sides, and, for
+    a subtree that is dealt out further, one plus the pair of its next bits' values (else 0),
     packed into a long whose last bit is the side.
     """
     fp = F.col(fp_col)
-    rot = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), _rotate(fp, b).alias("r")) for b in range(BLOCKS)])).alias("x")
+    seed = F.col(seed_col) if seed_col else F.lit(0)
+    rot = F.explode(F.array(*[F.struct((seed * BLOCKS + b).alias("b"), _rotate(fp, b).alias("r")) for b in range(BLOCKS)])).alias("x")
     rows = fps.select(rot).select("x.b", "x.r", F.shiftrightunsigned("x.r", 64 - BLOCK_BITS).cast("int").alias("top"))
-    # at most BLOCKS << BLOCK_BITS rows
+    # at most BLOCKS << BLOCK_BITS rows a seed
     sizes = rows.groupBy("b", "top").agg(F.count("*").alias("n"))
     one = F.col("top") == F.col("t")
     if budget < BLOCKS:  # some block is the same
@@ -218,30 +219,32 @@ def _dealt(fps: DataFrame, budget: int, fp_col: str) -> DataFrame:
         hot = F.col("n") > HOT_SUBTREE
     else:  # some block is one bit off at most
         flips = F.explode(F.array(*[F.col("top").bitwiseXOR(m) for m in (0, *(1 << k for k in range(BLOCK_BITS)))])).alias("t")
-        sizes = durable(sizes)
-        other = F.broadcast(sizes.withColumnsRenamed({"top": "t", "n": "n_t"}))
-        sized = rows.join(F.broadcast(sizes), ["b", "top"]).select("b", "r", "top", "n", flips).join(other, ["b", "t"]).where(~one | (F.col("n") > 1))
-        hot = F.when(one, F.col("n")).otherwise(F.col("n") + F.col("n_t")) > HOT_PAIR
+        # at most BLOCKS subtrees this large for every HOT_PAIR fingerprints, and BLOCKS << BLOCK_BITS in all, a seed
+        big = durable(sizes.where(F.col("n") > HOT_PAIR).select("b", "top"))
+        own = F.broadcast(big.withColumn("big", F.lit(True)))
+        other = F.broadcast(big.select("b", F.col("top").alias("t"), F.lit(True).alias("big_t")))
+        sized = rows.select("b", "r", "top", flips).join(own, ["b", "top"], "left").join(other, ["b", "t"], "left")
+        hot = F.coalesce("big", "big_t", F.lit(False))
     s = F.shiftrightunsigned("r", 64 - BLOCK_BITS - CELL_BITS).bitwiseAND((1 << CELL_BITS) - 1).cast("int")
     near = F.element_at(F.array(*[F.array(*map(F.lit, ts)) for ts in _cells(CELL_BITS, budget)]), s + 1)
     u = F.explode(F.when(hot, near).otherwise(F.array(F.lit(-1)))).alias("u")
     rows = sized.select("b", "r", "top", "t", s.alias("s"), u)
     split = F.col("u") >= 0
-    pair = F.when(split, F.least("s", "u") * (1 << CELL_BITS) + F.greatest("s", "u") + 1).otherwise(0)
     # inside a subtree the cell with the smaller number is the first side, across two subtrees the smaller subtree
-    cross = rows.where(F.col("top") != F.col("t")).select("b", "r", "top", "t", F.when(split & (F.col("top") < F.col("t")), F.col("s") * (1 << CELL_BITS) + F.col("u") + 1).when(split, F.col("u") * (1 << CELL_BITS) + F.col("s") + 1).otherwise(0).alias("pair"), (F.col("top") > F.col("t")).cast("long").alias("side"))
-    within = rows.where(one).select("b", "r", "top", "t", pair.alias("pair"), (split & (F.col("s") > F.col("u"))).cast("long").alias("side"))
-    cells = within if budget < BLOCKS else within.unionByName(cross)
-    packed = ((F.col("b").cast("long") * (1 << BLOCK_BITS) + F.least("top", "t")) * (1 << BLOCK_BITS) + F.greatest("top", "t")) * (1 << _PAIR_BITS) + F.col("pair")
-    return cells.select((packed * 2 + F.col("side")).alias("cell"), "r")
+    first = F.when(one, F.least("s", "u")).when(F.col("top") < F.col("t"), F.col("s")).otherwise(F.col("u"))
+    pair = F.when(split, first * (1 << CELL_BITS) + F.col("s") + F.col("u") - first + 1).otherwise(0)
+    side = F.when(one, split & (F.col("s") > F.col("u"))).otherwise(F.col("top") > F.col("t")).cast("long")
+    packed = ((F.col("b").cast("long") * (1 << BLOCK_BITS) + F.least("top", "t")) * (1 << BLOCK_BITS) + F.greatest("top", "t")) * (1 << _PAIR_BITS) + pair
+    return rows.select((packed * 2 + side).alias("cell"), "r")
 
 
 _PAIR_BITS = 2 * CELL_BITS + 1
 
 
-def links(fps: DataFrame, budget: int = 3, fp_col: str = "fp") -> DataFrame:
+def links(fps: DataFrame, budget: int = 3, fp_col: str = "fp", seed_col: str | None = None) -> DataFrame:
     """A spanning forest, task by task, of distinct fingerprints within budget bits: rows (a, b), each such a pair.
 
+    With a column of small seed numbers, fingerprints meet those of their own seed: rows (seed, a, b).
     Every pair within the budget is joined by a path of rows. Up to three bits, one of
     four blocks agrees; up to seven, one is a single bit off at most. A larger budget
     raises ValueError.
@@ -249,7 +252,7 @@ def links(fps: DataFrame, budget: int = 3, fp_col: str = "fp") -> DataFrame:
     if not 0 <= budget < 2 * BLOCKS:
         raise ValueError("budget must be 0 to 7")
     whole = F.shiftright("cell", 1)
-    dealt = _dealt(fps, budget, fp_col).repartition(whole).sortWithinPartitions("cell", F.expr("r < 0"), "r")
+    dealt = _dealt(fps, budget, fp_col, seed_col).repartition(whole).sortWithinPartitions("cell", F.expr("r < 0"), "r")
     mask = (1 << CELL_BITS) - 1
 
     def emit(cell, r):
@@ -272,10 +275,10 @@ def links(fps: DataFrame, budget: int = 3, fp_col: str = "fp") -> DataFrame:
             f, n, m, w = first[k], end[k], mid[k], twin[k]
             forest = trie_join(keys, f, np.where(w, m, n), np.where(w, m, f), n, err[k], depth, budget)
             for i, j in forest.edges:
-                turn = (b[i] * BLOCK_BITS).astype(np.uint64)
+                turn = (b[i] % BLOCKS * BLOCK_BITS).astype(np.uint64)
                 back = (np.uint64(64) - turn) % np.uint64(64)
                 x, y = (np.where(turn == 0, v, (v >> turn) | (v << back)).view(np.int64) for v in (keys[i], keys[j]))
-                yield pa.record_batch([pa.array(x), pa.array(y)], names=["a", "b"])
+                yield pa.record_batch([pa.array(b[i] // BLOCKS), pa.array(x), pa.array(y)], names=["seed", "a", "b"])
 
     def run(it):
         held: list[np.ndarray] | None = None
@@ -294,7 +297,8 @@ def links(fps: DataFrame, budget: int = 3, fp_col: str = "fp") -> DataFrame:
         if held is not None and len(held[0]):
             yield from emit(*held)
 
-    return dealt.mapInArrow(run, "a long, b long")
+    out = dealt.mapInArrow(run, "seed long, a long, b long")
+    return out if seed_col else out.select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, budget: int = 3) -> DataFrame:
@@ -362,12 +366,15 @@ def near_under_any(docs: DataFrame, seeds: tuple[int, ...], id_col: str = "doc_i
     keyed = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("_md5"))
     fps = durable(_fingerprints_of(keyed, seeds, words))
     nodes = durable(fps.groupBy("_md5").agg(F.min("_id").alias("least"), *[F.first(n).alias(n) for n in names]).withColumn("node", F.monotonically_increasing_id()))
-    def met_under(name: str) -> DataFrame:
-        rep = durable(nodes.groupBy(name).agg(F.min("node").alias("rep")))
-        same = nodes.join(rep, name).where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-        met = links(rep.select(F.col(name).alias("fp")), budget)
-        side = lambda c, to: rep.select(F.col(name).alias(c), F.col("rep").alias(to))
-        met = met.join(side("a", "x"), "a").join(side("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+    def met_under(these: list[str]) -> DataFrame:
+        each = F.explode(F.array(*[F.struct(F.lit(k).alias("seed"), F.col(n).alias("fp")) for k, n in enumerate(these)])).alias("s")
+        long = nodes.select("node", each).select("node", "s.*")
+        rep = durable(long.groupBy("seed", "fp").agg(F.min("node").alias("rep")))
+        same = long.join(rep, ["seed", "fp"]).where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+        met = links(rep.select("seed", "fp"), budget, seed_col="seed")
+        side = lambda c, to: rep.select("seed", F.col("fp").alias(c), F.col("rep").alias(to))
+        met = met.join(side("a", "x"), ["seed", "a"]).join(side("b", "y"), ["seed", "b"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         return durable(same.unionByName(met).distinct())
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -375,20 +382,16 @@ def near_under_any(docs: DataFrame, seeds: tuple[int, ...], id_col: str = "doc_i
         texts = stored(keyed.join(met, "_md5").groupBy("node").agg(F.first("_text").alias("text")), "simhash-texts")
         return durable(similar(pairs, texts, words, similarity))
 
-    edges = met_under(names[0])
-    if similarity is not None:
-        edges = verified(edges)
-    if len(names) > 1:
-        rest = met_under(names[1])
-        for name in names[2:]:
-            rest = rest.unionByName(met_under(name))
-        if similarity is not None:
+    if similarity is None:
+        edges = met_under(names)
+    else:
+        edges = verified(met_under(names[:1]))
+        if len(names) > 1:
             # what the first seed has joined needs no look under the others
             done = connected_components(edges)
             x, y = (done.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in")) for c in ("a", "b"))
-            rest = rest.distinct().join(x, "a", "left").join(y, "b", "left").where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b")
-            rest = verified(durable(rest))
-        edges = edges.unionByName(rest)
+            rest = met_under(names[1:]).join(x, "a", "left").join(y, "b", "left").where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b")
+            edges = edges.unionByName(verified(durable(rest)))
     comps = connected_components(edges)
     named = nodes.join(comps, "node", "left").select("_md5", "least", F.coalesce("component", "node").alias("c"))
     named = durable(named)
