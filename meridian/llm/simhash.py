@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, connected_components, durable, stored, table
+from .common import batches, connected_components, durable, release, stored, table
 
 BLOCKS = 4
 #: Seeds under which one_of_each() looks for near copies.
@@ -389,9 +389,11 @@ def near_under_any(docs: DataFrame, seeds: tuple[int, ...], id_col: str = "doc_i
         if len(names) > 1:
             # what the first seed has joined needs no look under the others
             done = connected_components(edges)
+            release(docs.sparkSession)
             x, y = (done.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in")) for c in ("a", "b"))
             rest = met_under(names[1:]).join(x, "a", "left").join(y, "b", "left").where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b")
             edges = edges.unionByName(verified(durable(rest)))
+    release(docs.sparkSession)
     comps = connected_components(edges)
     named = nodes.join(comps, "node", "left").select("_md5", "least", F.coalesce("component", "node").alias("c"))
     named = durable(named)

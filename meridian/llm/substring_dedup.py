@@ -23,7 +23,6 @@ Windows are judged on the input, so the order of these steps does not matter.
 
 from __future__ import annotations
 
-import gc
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, stored, table
+from .common import batches, release, stored, table
 
 LENGTH = 100
 GRAM = 32
@@ -371,12 +370,6 @@ def _merge(firsts: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, _SCHEMA)
 
 
-def _release(spark) -> None:
-    """Let Spark drop the shuffle files of finished stages now, not when the driver next collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (_id, _key, _text): _key is the id itself if that is a long that no row lacks or shares, else the row's number in id order."""
     d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
@@ -404,10 +397,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = stored(same.join(firsts, "h").where("_key > first").select(F.col("_key").alias("key"), "n"), "substring-copies")
     own = keyed.join(copies.select(F.col("key").alias("_key")), "_key", "left_anti")
     segs = stored(_segment_rows(own), "substring-segments")
-    _release(spark)
+    release(spark)
     bodies = _bodies(segs.where("not again"), own)
     judged = stored(_compare(bodies), "substring-shards")
-    _release(spark)
+    release(spark)
     spot = F.shiftright("spot", 8)
     cuts = segs.where("again").select("key", spot.alias("lo"), (spot + F.col("spot").bitwiseAND(255) - 1 + LENGTH).alias("hi"))
     cuts = cuts.unionByName(copies.select("key", F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi")))
