@@ -191,10 +191,6 @@ def _split(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, d: int) -> np.ndarr
         lo = np.where(open_ & ~one, mid + 1, lo)
 
 
-def _cells(bits: int, budget: int) -> list[list[int]]:
-    return [[t for t in range(1 << bits) if (s ^ t).bit_count() <= budget] for s in range(1 << bits)]
-
-
 def _rotate(fp, block: int):
     k = BLOCK_BITS * block
     return fp if k == 0 else F.shiftleft(fp, k).bitwiseOR(F.shiftrightunsigned(fp, 64 - k))
@@ -226,7 +222,7 @@ def _dealt(fps: DataFrame, budget: int, fp_col: str, seed_col: str | None) -> Da
         sized = rows.select("b", "r", "top", flips).join(own, ["b", "top"], "left").join(other, ["b", "t"], "left")
         hot = F.coalesce("big", "big_t", F.lit(False))
     s = F.shiftrightunsigned("r", 64 - BLOCK_BITS - CELL_BITS).bitwiseAND((1 << CELL_BITS) - 1).cast("int")
-    near = F.element_at(F.array(*[F.array(*map(F.lit, ts)) for ts in _cells(CELL_BITS, budget)]), s + 1)
+    near = F.array(*[s.bitwiseXOR(m) for m in range(1 << CELL_BITS) if m.bit_count() <= budget])
     u = F.explode(F.when(hot, near).otherwise(F.array(F.lit(-1)))).alias("u")
     rows = sized.select("b", "r", "top", "t", s.alias("s"), u)
     split = F.col("u") >= 0
