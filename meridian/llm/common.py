@@ -6,6 +6,7 @@ import gc
 import os
 import tempfile
 import uuid
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,7 +46,7 @@ def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
@@ -92,27 +93,30 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     still have edges, so rounds grow with the logarithm of the vertices, whatever
     the longest path. Only joins and aggregations that combine before they shuffle
     are used; the one number per round that reaches the driver is a count.
-    Empty input gives an empty result; loops and repeated edges are harmless.
+    Empty input gives an empty result; loops and repeated edges are harmless. Rounds are
+    kept as Parquet: a checkpoint would carry its plan's size estimate, a product over all
+    joins before it, whose digits double every round and fill the driver.
     """
-    e = durable(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v").distinct())
+    keep = partial(stored, name="components")
+    e = keep(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v").distinct())
     maps: list[DataFrame] = []
     while not e.isEmpty():
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        up = durable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("p")))
+        up = keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("p")))
         while True:
             top = up.select(F.col("u").alias("p"), F.col("p").alias("g"))
-            nxt = durable(up.join(top, "p").select("u", F.col("g").alias("p"), (F.col("g") != F.col("p")).alias("moved")))
+            nxt = keep(up.join(top, "p").select("u", F.col("g").alias("p"), (F.col("g") != F.col("p")).alias("moved")))
             moved = not nxt.where("moved").isEmpty()
             up = nxt.select("u", "p")
             if not moved:
                 break
         maps.append(up)
         pu, pv = up.select("u", F.col("p").alias("x")), up.select(F.col("u").alias("v"), F.col("p").alias("y"))
-        e = durable(e.join(pu, "u").join(pv, "v").where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct())
+        e = keep(e.join(pu, "u").join(pv, "v").where("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct())
     if not maps:
         return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     out = maps[0].select(F.col("u").alias("node"), F.col("p").alias("component"))
     for m in maps[1:]:
         m = m.select(F.col("u").alias("component"), F.col("p").alias("to"))
         out = out.join(m, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    return durable(out) if len(maps) > 1 else out
+    return keep(out) if len(maps) > 1 else out
