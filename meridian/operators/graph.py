@@ -1,7 +1,7 @@
 """Shortest paths, over edges (a, b, cost) of any size or over one small network a query.
 
 one_to_all relaxes a frontier with joins until nothing gets cheaper: only rows that
-improved go on, and each round is cut loose through the shared checkpoint folder.
+improved go on, and each round is cut loose as a table in the shared checkpoint folder.
 per_query runs a heap search inside a group, for many queries over extracted subgraphs.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 import os
 import tempfile
+import uuid
 from itertools import count
 
 import pandas as pd
@@ -18,12 +19,20 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """An eager checkpoint in spark.checkpoint.dir; a folder of our own only where none is set."""
-    sc = df.sparkSession.sparkContext
-    root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(root or os.path.join(tempfile.gettempdir(), f"meridian-{os.getpid()}"))
-    return df.checkpoint(eager=True)
+    """A round's rows, as Parquet in spark.checkpoint.dir; in a folder of our own where none is set, on a local master only.
+
+    Not checkpoint(), which keeps its plan's size estimate: a product over all joins before
+    it, whose digits double every round and fill the driver.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = os.path.join(tempfile.gettempdir(), f"meridian-{os.getpid()}")
+    path = f"{root.rstrip('/')}/rounds-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def one_to_all(edges: DataFrame, starts: DataFrame, limit: float | None = None, most_rounds: int | None = None) -> DataFrame:
