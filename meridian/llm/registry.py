@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("simhash", "quality", "decontaminate", "packing", "secret_scan", "language_id", "embedding_dedup", "html_extract", "substring_dedup", "lm_score", "centroids", "cut_packing")
+MODULES = ("simhash", "quality", "decontaminate", "packing", "secret_scan", "language_id", "embedding_dedup", "html_extract", "substring_dedup", "lm_score", "centroids", "cut_packing", "divergence")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
