@@ -14,6 +14,9 @@ a source lacks has the share of a count of zero, the same for all such terms.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from urllib.parse import quote
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -33,41 +36,73 @@ TOP_TERMS = 50
 SHARD_TERMS = 1 << 19
 #: Entries (sources x terms) of a block, and sources that a task compares with all of their language.
 BLOCK, TILE = 1 << 20, 64
-#: Tokens of a batch that a task returns.
-BATCH_TOKENS = 1 << 20
+#: One term in so many is counted to size the shards.
+ESTIMATE = 64
+#: Entries of vectors that a task holds before it sums them.
+HELD = 1 << 21
 
 #: ASCII letters in lower case, all other ASCII a blank; bytes of other characters stay.
 _FOLD = bytes(ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(128)) + bytes(range(128, 256))
 
 
 def tokens(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """Rows (lang, source, terms), one a document: every term with its language and a NUL before it, repeats included."""
-
-    def batch(b: pa.RecordBatch):
-        at, flat, ends = 0, [], []
-
-        def made(upto: int) -> pa.RecordBatch:
-            lists = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.array(flat, pa.string()))
-            return pa.record_batch([b.column(1).slice(at, upto - at), b.column(2).slice(at, upto - at), lists], names=["lang", "source", "terms"])
+    """Rows (lang, source, terms), one a document: its terms with a blank between, each with its language (percent-encoded) and a slash before it, repeats included."""
 
-        for k, (body, tag) in enumerate(zip(b.column(0), b.column(1), strict=True)):
-            head = tag.as_py().encode() + b"\0"
-            flat += [head + w for w in body.as_py().encode().translate(_FOLD).split()]
-            ends.append(len(flat))
-            if len(flat) >= BATCH_TOKENS:
-                yield made(k + 1)
-                at, flat, ends = k + 1, [], []
-        if ends:
-            yield made(b.num_rows)
+    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for body, tag in zip(b.column(0), b.column(1), strict=True):
+            head = quote(tag.as_py(), safe="").encode() + b"/"
+            words = body.as_py().encode().translate(_FOLD).split()
+            out.append(head + (b" " + head).join(words) if words else None)
+        return pa.record_batch([b.column(1), b.column(2), pa.array(out, pa.string())], names=["lang", "source", "terms"])
 
     plain = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((text, "text"), (lang, "lang"), (source, "source"))))
-    return batches(plain, "lang string, source string, terms array<string>", batch)
+    return batches(plain, "lang string, source string, terms string", batch)
 
 
 def vocabulary_size(words: DataFrame, min_docs: int) -> int:
-    """Terms in at least min_docs documents."""
-    each = words.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").count()
-    return each.where(F.col("count") >= min_docs).count()
+    """About how many terms are in at least min_docs documents, by counting one term in ESTIMATE of them. It decides on the number of shards alone."""
+    some = F.filter(F.array_distinct(F.split("terms", " ")), lambda t: F.pmod(F.xxhash64(t), F.lit(ESTIMATE)) == 0)
+    each = words.select(F.explode(some).alias("term")).groupBy("term").count()
+    return each.where(F.col("count") >= min_docs).count() * ESTIMATE
+
+
+def group_sums(vectors: DataFrame) -> DataFrame:
+    """Rows (lang, source, i, n): vectors (lang, source, i, v as parallel arrays) summed by group, first in each task and then over all."""
+
+    def task(it):
+        held: dict[tuple, list] = defaultdict(list)
+        n = 0
+
+        def summed() -> int:
+            for key, parts in held.items():
+                total = np.bincount(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+                at = np.flatnonzero(total).astype(np.int32)
+                held[key] = [(at, total[at])]
+            return sum(len(p[0][0]) for p in held.values())
+
+        def flush():
+            for (lang, source), [(at, total)] in held.items():
+                yield pa.record_batch([pa.array([lang]), pa.array([source]), pa.array([at], pa.list_(pa.int32())), pa.array([total.astype(np.int64)], pa.list_(pa.int64()))], names=["lang", "source", "i", "n"])
+            held.clear()
+
+        for b in it:
+            i, v = b.column(2), b.column(3)
+            ends, start = i.offsets.to_numpy(), v.offsets.to_numpy()
+            at, value = i.values.to_numpy(), v.values.to_numpy()
+            for k, key in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                held[key].append((at[ends[k] : ends[k + 1]].copy(), value[start[k] : start[k + 1]].copy()))
+            n += len(at)
+            if n >= HELD:
+                n = summed()
+                if n >= HELD // 2:
+                    yield from flush()
+                    n = 0
+        summed()
+        yield from flush()
+
+    parts = vectors.mapInArrow(task, "lang string, source string, i array<int>, n array<bigint>")
+    return parts.select("lang", "source", F.inline(F.arrays_zip("i", "n"))).groupBy("lang", "source", "i").agg(F.sum("n").alias("n"))
 
 
 def term_counts(words: DataFrame, min_docs: int, shard_terms: int) -> DataFrame:
@@ -76,18 +111,17 @@ def term_counts(words: DataFrame, min_docs: int, shard_terms: int) -> DataFrame:
     shards = max(1, -(-vocabulary_size(words, min_docs) // shard_terms))
     # CountVectorizer refuses an empty vocabulary: an empty term, which no text has, is always in it
     filler = spark.range(min_docs, numPartitions=1).select(F.array(F.lit("")).alias("terms"))
+    words = words.where("terms is not null").withColumn("terms", F.split("terms", " "))
     out = None
     for s in range(shards):
         part = words if shards == 1 else words.withColumn("terms", F.filter("terms", lambda t, s=s: F.pmod(F.xxhash64(t), F.lit(shards)) == s))
         model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=(1 << 31) - 1).fit(part.select("terms").union(filler))
         vector = F.unwrap_udt("vector")
-        entries = model.transform(part).select("lang", "source", F.inline(F.arrays_zip(vector["indices"].alias("i"), vector["values"].alias("v"))))
-        sums = entries.groupBy("lang", "source", "i").agg(F.sum(F.col("v").cast("long")).alias("n"))
+        sums = group_sums(model.transform(part).select("lang", "source", vector["indices"].alias("i"), vector["values"].alias("v")))
         vocabulary = model.vocabulary
-        names = pa.table({"i": pa.array(range(len(vocabulary)), pa.int32()), "tagged": pa.array(vocabulary, pa.string())})
-        term = F.substring_index("tagged", "\0", -1).alias("term")
+        names = pa.table({"i": pa.array(range(len(vocabulary)), pa.int32()), "term": pa.array([t.rpartition("/")[2] for t in vocabulary], pa.string())})
         tid = (F.lit(s).cast("long") * (1 << 31) + F.col("i")).alias("tid")
-        got = stored(sums.join(F.broadcast(spark.createDataFrame(names)), "i").select("lang", "source", tid, term, "n"), "term-counts")
+        got = stored(sums.join(F.broadcast(spark.createDataFrame(names)), "i").select("lang", "source", tid, "term", "n"), "term-counts")
         out = got if out is None else out.union(got)
     return out
 

@@ -15,7 +15,7 @@ import pytest
 
 from meridian.llm import centroids, cut_packing, divergence, packing
 
-BIG = 3.0e38
+BIG = float(np.float32(3.0e38))
 
 
 def plain_clusters(rows, k=8, rounds=10, seed="3:"):
