@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import q_extra, q_journeys, q_maps, q_more, q_scalar, q_tables
+from . import q_extra, q_journeys, q_maps, q_more, q_routes, q_scalar, q_tables
 
 FLAGSHIP = "tile_draw_list"
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _m in (q_scalar, q_tables, q_maps, q_more, q_extra, q_journeys):
+for _m in (q_scalar, q_tables, q_maps, q_more, q_extra, q_journeys, q_routes):
     QUERIES |= _m.QUERIES
     ORACLE_SQL |= _m.ORACLE_SQL
