@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import hours
-from ..operators import geometry, graph, match, rules
+from ..operators import geometry, graph, match, rule_masks, rules
 from .views import SQL, features, roads, view
 
 QUERIES: dict = {}
@@ -47,15 +47,27 @@ PROFILE = """<profile>
 </profile>"""
 
 
-@query("rule_speed", "with p as (select p_partkey as id, p_brand as brand, split_part(p_type, ' ', 1) as kind, p_size from part) select id, cast(case when kind = 'ECONOMY' then 20 when p_size % 2 = 0 and p_size > 30 then p_size when brand <> 'Brand#11' and p_size % 3 = 0 then 55 else 40 end as double) as speed, cast(case when p_size % 5 = 0 then -1 else 1 end as double) as access from p")
-def rule_speed(spark, d):
+_RULED = "with p as (select p_partkey as id, p_brand as brand, split_part(p_type, ' ', 1) as kind, p_size from part) select id, cast(case when kind = 'ECONOMY' then 20 when p_size % 2 = 0 and p_size > 30 then p_size when brand <> 'Brand#11' and p_size % 3 = 0 then 55 else 40 end as double) as speed, cast(case when p_size % 5 = 0 then -1 else 1 end as double) as access from p"
+
+
+def _ruled(spark, d):
     p = spark.read.parquet(f"{d}/part.parquet")
     pick = lambda k, c, v: F.when(c, F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")))
     size, yes = F.col("p_size"), F.lit("yes")
     have = [pick("brand", F.lit(True), F.col("p_brand")), pick("type", F.lit(True), F.split("p_type", " ")[0]), pick("limit", size % 2 == 0, size), pick("wide", size % 3 == 0, yes), pick("closed", size % 5 == 0, yes)]
-    tags = F.map_from_entries(F.array_compact(F.array(*have)))
+    return p.select(F.col("p_partkey").alias("id"), F.map_from_entries(F.array_compact(F.array(*have))).alias("tags"))
+
+
+@query("rule_speed", _RULED)
+def rule_speed(spark, d):
     cols = rules.compile_profile(PROFILE, F.col("tags"))
-    return p.select(F.col("p_partkey").alias("id"), tags.alias("tags")).select("id", cols["speed"].alias("speed"), cols["access"].alias("access"))
+    return _ruled(spark, d).select("id", cols["speed"].alias("speed"), cols["access"].alias("access"))
+
+
+@query("masked_rules", _RULED)
+def masked_rules(spark, d):
+    """The same profile as bit masks over interned tags."""
+    return rule_masks.with_attributes(_ruled(spark, d), PROFILE).select("id", "speed", "access")
 
 
 @query("mvt_tiles")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lanes, road, text, timing
-from ..operators import coast, labels, overlay, raster, transit, turns
+from ..functions.lanes import CODES
+from ..operators import coast, labels, lane_guidance, overlay, raster, transit, turns
 from ..sources import text_sinks
 from .views import SQL, features, view
 
@@ -182,3 +183,38 @@ def merged_catalog(spark, d):
 @query("host_names", "select page_id as id, regexp_extract(url, '([^/\\\\]*)$', 1) as file from pages")
 def host_names(spark, d):
     return spark.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("id"), text.file_name(F.col("url")).alias("file"))
+
+
+_LANE_TEXTS = ("left|through|right", "left;through|through;right", "slight_left|through|through|slight_right", "reverse;left|through|through;right|right", "left|left;through|right", "sharp_left|left|through", "through|through;slight_right|right", "left;through;right")
+_LANE_ROWS = "select l_orderkey as route, l_linenumber as seq, cast(l_partkey % 8 as int) as k, cast(l_suppkey % 3 as int) as l, cast(l_partkey % 2 as int) as r from lineitem"
+_LANE_CASE = "case w when 'left' then 'TL' when 'right' then 'TR' when 'slight_left' then 'TSLL' when 'slight_right' then 'TSLR' when 'sharp_left' then 'TSHL' when 'reverse' then 'TU' else 'C' end"
+
+
+@query(
+    "lane_ranges",
+    f"""with t as (select route, seq, l, r, [{", ".join(f"'{t}'" for t in _LANE_TEXTS)}][k + 1] as text from ({_LANE_ROWS})),
+p as (select *, list_transform(string_split(text, '|'), lambda lane: list_transform(string_split(lane, ';'), lambda w: {_LANE_CASE})) as lanes from t),
+d as (select *, list_filter(flatten(lanes), lambda x, i: list_position(flatten(lanes), x) = i) as dirs from p),
+s as (select *, case when l + r < len(dirs) then dirs[l + 1] end as a, case when l + r < len(dirs) then dirs[len(dirs) - r] end as b from d),
+q as (select *, list_position(list_transform(lanes, lambda v: list_contains(v, a)), true) as lo, len(lanes) + 1 - list_position(list_reverse(list_transform(lanes, lambda v: list_contains(v, b))), true) as hi from s)
+select route, seq, cast(case when a is null then -1 else lo - 1 end as integer) as first, cast(case when a is null then -1 else hi - 1 end as integer) as last,
+  array_to_string(list_transform(lanes, lambda v, i: case when a is not null and i between lo and hi then '+' else '' end || array_to_string(case when a is not null and i between lo and hi and list_contains(v, a) then list_transform(v, lambda t, k: case when k = 1 then a when k = list_position(v, a) then v[1] else t end) else v end, ',')), '|') as shown from q""",
+)
+def lane_ranges(spark, d):
+    t = spark.sql(_LANE_ROWS.replace("from lineitem", "from {t}"), t=spark.read.parquet(f"{d}/lineitem.parquet"))
+    t = t.withColumn("lanes", lane_guidance.parse(F.get(F.array(*map(F.lit, _LANE_TEXTS)), F.col("k"))))
+    none = F.lit(0)
+    t = t.withColumn("span", lane_guidance.active_range(F.col("lanes"), F.col("l"), F.col("r"), none, none, none))
+    return t.select("route", "seq", *(F.coalesce(f"span.{c}", F.lit(-1)).alias(c) for c in ("first", "last")), lane_guidance.shown(lane_guidance.activated(F.col("lanes"), F.col("span"))).alias("shown"))
+
+
+@query("guided_lanes")
+def guided_lanes(spark, d):
+    """Lanes at every turn of routes along orders, with roads that leave at each, narrowed towards the next turn."""
+    li = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("route"), F.col("l_linenumber").alias("seq")).agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"), F.min("l_quantity").alias("q"))
+    text = F.get(F.array(*map(F.lit, _LANE_TEXTS)), (F.col("p") % 8).cast("int"))
+    way = F.get(F.array(*map(F.lit, ("primary", "motorway", "residential", "service"))), (F.col("s") % 4).cast("int"))
+    turn = F.get(F.array(*(F.lit(CODES[n]) for n in ("C", "TL", "TR", "KL", "KR", "TSLR"))), (F.col("s") % 7).cast("int"))
+    route = li.select("route", "seq", (F.col("q") * 8).cast("int").alias("length"), way.alias("highway"), (F.col("s") * 7 % 360).cast("double").alias("bearing_begin"), (F.col("s") * 7 % 360).cast("double").alias("bearing_end"), text.alias("turn_lanes"), F.size(F.split(text, "\\|")).alias("n_lanes"), turn.alias("turn"))
+    off = li.where("p % 3 <> 0").select("route", "seq", (F.col("p") * 31 % 360).cast("double").alias("bearing"), (F.col("p") % 3).cast("int").alias("lanes"), text.alias("turn_lanes"), way.alias("highway"), (F.col("p") % 11 == 0).alias("restricted"))
+    return lane_guidance.guidance(route, off).select("route", "seq", "turn", lane_guidance.shown(F.col("lanes")).alias("shown"))
