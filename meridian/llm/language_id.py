@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import math
 import re
-import sys
 from collections import Counter
 
 import numpy as np
@@ -27,11 +26,12 @@ from .common import batches, table
 
 #: Labelled documents used at most to fit; the bound is on the classifier's sample only.
 FIT_ROWS = 20_000
-#: Characters from which a word is summed alone and in scale; shorter ones go many at once.
+#: Characters from which a word is summed alone, to keep tables of many words narrow; either way gives the same sums.
 LONG_WORD = 48
+#: Sums below this are made again in scale, so that none gets lost.
+FAINT = 1e-250
 UNKNOWN = "und"
-# letters only: of what regular expressions take for a word's characters, numbers of any kind are left out
-_WORD = re.compile("[^\\W\\d_" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]+")
+_WORD = re.compile(r"[^\W\d_]+")
 _CACHE_WORDS = 300_000
 
 
@@ -40,7 +40,7 @@ def vocabulary(path: str) -> dict[str, int]:
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    names = sorted({p for i in range(sp.get_piece_size()) if (p := sp.id_to_piece(i).lstrip("▁").lower()) and _WORD.fullmatch(p)})
+    names = sorted({p for i in range(sp.get_piece_size()) if (p := sp.id_to_piece(i).lstrip("▁").lower()) and p.isalpha()})
     return {p: i for i, p in enumerate(names)}
 
 
@@ -100,7 +100,11 @@ class Lattices:
                 out[k] = self._scaled(words[k], prob)[1].sum(axis=0)
             return out
         alpha = self.forward(words, prob)
-        return np.log(np.maximum(alpha[np.arange(len(words)), [len(x) for x in words]], 1e-300))
+        end = alpha[np.arange(len(words)), [len(x) for x in words]]
+        out = np.log(np.maximum(end, FAINT))
+        for k in np.flatnonzero((end < FAINT).any(axis=1)).tolist():
+            out[k] = self._scaled(words[k], prob)[1].sum(axis=0)
+        return out
 
     def _scaled(self, word: str, prob: np.ndarray):
         """(arcs by end, logs of the scales): the forward sums of one word, each position's divided by its own sum.
@@ -131,7 +135,12 @@ class Lattices:
         arcs = w, a, b, p = self.arcs(words)
         alpha = self.forward(words, prob, arcs)[:, :, 0]
         beta = np.zeros_like(alpha)
-        size = np.array([len(x) for x in words])
+        size = np.array([len(x) for x in words], dtype=np.int64)
+        faint = np.flatnonzero(alpha[np.arange(len(words)), size] < FAINT)
+        if len(faint):
+            plain = np.setdiff1d(np.arange(len(words)), faint)
+            total = self.expected([words[k] for k in plain.tolist()], counts[plain], prob)
+            return total + sum(self._expected_long(words[k], prob)[:, None] * counts[k] for k in faint.tolist())
         beta[np.arange(len(words)), size] = 1
         one = prob[:, 0]
         o = np.argsort(-a, kind="stable")
@@ -140,7 +149,7 @@ class Lattices:
         for i in range(alpha.shape[1] - 2, -1, -1):
             k = slice(starts[0][i], starts[1][i])
             beta[:, i] += np.bincount(w[k], weights=beta[w[k], b[k]] * one[p[k]], minlength=len(words))
-        post = alpha[w, a] * one[p] * beta[w, b] / np.maximum(alpha[np.arange(len(words)), size], 1e-300)[w]
+        post = alpha[w, a] * one[p] * beta[w, b] / alpha[np.arange(len(words)), size][w]
         return np.stack([np.bincount(p, weights=post * counts[w, lang], minlength=len(one)) for lang in range(counts.shape[1])], axis=1)
 
 
@@ -164,8 +173,12 @@ class Lattices:
 
 
 def words_of(text: str | None) -> Counter:
-    """Lower-cased runs of letters with their numbers."""
-    return Counter(_WORD.findall((text or "").lower()))
+    """Lower-cased runs of letters with their numbers. Numbers that are no decimal digits are no letters, though the expression takes them."""
+    out: Counter = Counter()
+    for w, n in Counter(_WORD.findall((text or "").lower())).items():
+        for part in (w,) if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split():
+            out[part] += n
+    return out
 
 
 def train(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> tuple[list[str], dict[str, int], np.ndarray, np.ndarray]:

@@ -165,6 +165,17 @@ def test_long_words_are_summed_whole(monkeypatch):
     assert not language_id.words_of("12 ½ ² Ⅷ _ 7") and list(language_id.words_of("x½y²z")) == ["x", "y", "z"]
 
 
+def test_faint_words_rank_alike_at_every_length():
+    """Letters that no piece has at 1e-7 in one language and 1e-10 in the other: the sums fall below what a double holds."""
+    lat = language_id.Lattices({"a": 0})
+    prob = np.array([[0.5, 0.5], [1e-7, 1e-10]])
+    words = ["x" * n for n in (20, 30, 47, 48, 49, 50, 400)]
+    got = lat.log_likelihood(words, prob)
+    assert np.allclose(got, [[len(w) * np.log(1e-7), len(w) * np.log(1e-10)] for w in words])
+    want = np.array([sum(map(len, words)) * 2.0])
+    assert np.allclose(lat.expected(words, np.full((len(words), 1), 2.0), prob[:, 1:])[1], want)
+
+
 def test_leaks_are_found(spark, sf_dir):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()
     t = texts(spark, sf_dir)
