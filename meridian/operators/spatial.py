@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .graph import checkpointed
+
 
 def _cells(x: Column, y: Column, width: int, ring: int) -> Column:
     """Cells (cx, cy) of a point, with the rings around it."""
@@ -28,27 +30,34 @@ def within(left: DataFrame, right: DataFrame, reach: int, on: Column | None = No
     return (out if on is None else out.where(on)).drop("_c")
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, dist: Column, tie: str, width: int, k: int = 1, rings: tuple[int, ...] = (1, 4, 16), lx="x", ly="y", rx="x2", ry="y2") -> DataFrame:
-    """The k nearest right rows of each left row (one a key) by dist, ties by tie.
+def nearest(left: DataFrame, right: DataFrame, key: str, dist: Column, tie: str, width: int, k: int = 1, grow: int = 4, lx="x", ly="y", rx="x2", ry="y2") -> DataFrame:
+    """The k nearest right rows of each left row (one a key) by dist, ties by tie; all of them if the right side has fewer.
 
     The search widens: rows that find k candidates whose k-th distance lies within the ring
-    searched are done; the others look at a wider ring of wider cells, and what is left after
-    the last ring gets what that ring held. dist must not be below the larger of abs(dx), abs(dy).
+    searched are done, and those alone whose ring holds the whole right side; the others look
+    at a ring `grow` times as wide. dist must not be below the larger of abs(dx), abs(dy).
     """
-    done, todo = None, left
-    for step, ring in enumerate(rings):
-        w = width * ring
-        a = todo.withColumn("_c", F.explode(_cells(F.col(lx), F.col(ly), w, 1)))
-        b = right.withColumn("_c", _cells(F.col(rx), F.col(ry), w, 0)[0])
+    span = lambda df, x, y: df.agg(*(f(c) for c in (x, y) for f in (F.min, F.max))).first()
+    a, b = span(left, lx, ly), span(right, rx, ry)
+    if None in (*a, *b):
+        return left.join(right, F.lit(False)).withColumns({"distance": dist, "rank": F.lit(1)})
+    whole = max(a[1], b[1]) - min(a[0], b[0]), max(a[3], b[3]) - min(a[2], b[2])
+    done, todo, w = None, left, width
+    while True:
+        cells = todo.withColumn("_c", F.explode(_cells(F.col(lx), F.col(ly), w, 1)))
+        there = right.withColumn("_c", _cells(F.col(rx), F.col(ry), w, 0)[0])
         order = W.partitionBy(key).orderBy("_d", tie)
-        got = a.join(b, "_c").drop("_c").withColumn("_d", dist).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        last = step == len(rings) - 1
-        sure = got.groupBy(key).agg(F.max("_d").alias("_far"), F.count("*").alias("_k")).where((F.col("_k") == k) & (F.col("_far") <= w))
-        part = got if last else got.join(sure.select(key), key, "left_semi")
+        got = cells.join(there, "_c").drop("_c").withColumn("_d", dist).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        if w > max(whole):
+            return (got if done is None else done.unionByName(got)).withColumnRenamed("_d", "distance")
+        got = checkpointed(got)
+        sure = got.groupBy(key).agg(F.max("_d").alias("_far"), F.count("*").alias("_k")).where((F.col("_k") == k) & (F.col("_far") <= w)).select(key)
+        part = got.join(sure, key, "left_semi")
         done = part if done is None else done.unionByName(part)
-        if not last:
-            todo = todo.join(sure.select(key), key, "left_anti")
-    return done.withColumnRenamed("_d", "distance")
+        todo = checkpointed(todo.join(sure, key, "left_anti"))
+        if todo.isEmpty():
+            return done.withColumnRenamed("_d", "distance")
+        w *= grow
 
 
 def junctions(roads: DataFrame) -> DataFrame:

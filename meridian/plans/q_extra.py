@@ -75,21 +75,24 @@ def _sources(spark, d):
     k = F.col("id")
     extra = F.when(k % 5 == 0, F.array(_tag("natural", "coastline"))).when(k % 97 == 0, F.array(_tag("change", "delete"))).otherwise(F.array().cast("array<struct<tag:string,value:string>>"))
     f = f.withColumn("tags", F.concat("tags", extra))
-    return f.where("id % 3 > 0").unionByName(f.where("id % 2 = 0").withColumn("file_ord", F.lit(1)))
+    return f.where("id % 3 > 0").unionByName(f.where("id % 2 = 0 or id % 3 = 0").withColumn("file_ord", F.lit(1)))
 
 
 def _tag(k, v):
     return F.struct(F.lit(k).alias("tag"), F.lit(v).alias("value"))
 
 
-@query("map_search", f"{_B}, s as (select *, 0 as src from b where id % 3 > 0 union all select *, 1 from b where id % 2 = 0), f as (select * from s where min_zoom <= 10 and max_zoom >= 10 and cx + dx >= 0 and cx <= 1073741823 and cy + dy >= 0 and cy <= 1073741823 and not (id % 97 = 0 and id % 5 <> 0)), k as (select *, row_number() over (partition by id order by src) as n from f) select id, case when id % 5 = 0 then 'coast' when id % 9 = 0 then 'base' else 'detail' end as kind from k where n = 1")
+_FOUND = f"{_B}, s as (select *, 0 as src from b where id % 3 > 0 union all select *, 1 from b where id % 2 = 0 or id % 3 = 0), f as (select * from s where min_zoom <= 10 and max_zoom >= 10 and cx + dx >= 0 and cx <= 1073741823 and cy + dy >= 0 and cy <= 1073741823 and not (id % 97 = 0 and id % 5 <> 0)), k as (select *, row_number() over (partition by id order by src) as n from f), found as (select *, case when id % 5 = 0 then 'coast' when id % 9 = 0 then 'base' else 'detail' end as kind from k where n = 1)"
+
+
+@query("map_search", f"{_FOUND} select id, kind from found")
 def map_search(spark, d):
     from ..operators.scan import tile_box
 
     return search.map_search(_sources(spark, d), tile_box(1, 0, 0), 10).select("id", "kind")
 
 
-@query("class_counts")
+@query("class_counts", f"{_FOUND} select kind, count(*) as n, min(cx) as \"left\", min(cy) as top, max(cx + dx) as \"right\", max(cy + dy) as bottom from found group by kind")
 def class_counts(spark, d):
     from ..operators.scan import tile_box
 

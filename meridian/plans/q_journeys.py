@@ -72,7 +72,7 @@ def direction_points(spark, d):
     p = spark.read.parquet(f"{d}/part.parquet").select(k.alias("point"), (k * 7919 % 9000).alias("x"), (k * 104729 % 9000).alias("y"), F.when(k % 2 == 0, 80.0).otherwise(10.0).alias("angle"))
     grid = spark.range(11).select(F.col("id").alias("road_id"), F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.struct((i * 1000).cast("bigint").alias("x"), (F.col("id") * 1000).alias("y"))).alias("points"))
     got = journeys.direction_points(p, match.legs(grid), 300)
-    return got.select("point", F.shiftright("leg", 11).alias("road"), F.col("off").cast("bigint").alias("off"))
+    return got.select("point", F.col("leg.road_id").alias("road"), F.col("off").cast("bigint").alias("off"))
 
 
 @query("transit_ids", "select o_orderkey as id, case when o_custkey % 3000 < 2048 then (o_orderkey << 22) + ((o_custkey % 3000) << 11) + o_orderkey % 100 end as packed from orders")

@@ -93,7 +93,7 @@ def matched_traces(spark, d):
 def snapped_points(spark, d):
     grid = spark.range(80).select(F.col("id").alias("road_id"), F.transform(F.sequence(F.lit(0), F.lit(30)), lambda k: F.struct((k * 3000).cast("bigint").alias("x"), (F.col("id") * 1000).alias("y"))).alias("points"))
     s = match.snap(_trace_points(spark, d), match.legs(grid), 600)
-    return s.select("trace", "ind", F.shiftright("leg", 11).alias("road"), F.col("off").cast("bigint").alias("off"))
+    return s.select("trace", "ind", F.col("leg.road_id").alias("road"), F.col("off").cast("bigint").alias("off"))
 
 
 @query("paths_per_query")

@@ -24,6 +24,8 @@ def query(name: str, sql: str | None = None):
 
 
 _B = f"with b as ({SQL['boxes']}), f as (select *, cx as l, cy as t, cx + dx as r, cy + dy as o from b)"
+#: Boxes are this much wider on each side where they are joined with each other.
+_WIDER = 12_000_000
 _BOX = (200_000_000, 100_000_000, 900_000_000, 1_200_000_000)
 
 
@@ -90,9 +92,9 @@ def junction_join(spark, d):
     return spatial.junctions(roads(spark, d)).groupBy("x", "y", "road_a", "road_b").agg(F.count("*").alias("n"))
 
 
-@query("tile_range_join", f"{_B} select a.id as a, b.id as b from f a join f b on a.r >= b.l and a.l <= b.r and a.o >= b.t and a.t <= b.o where a.id < b.id")
+@query("tile_range_join", f"{_B}, w as (select id, l - {_WIDER} as l, t - {_WIDER} as t, r + {_WIDER} as r, o + {_WIDER} as o from f) select a.id as a, b.id as b from w a join w b on a.r >= b.l and a.l <= b.r and a.o >= b.t and a.t <= b.o where a.id < b.id")
 def tile_range_join(spark, d):
-    f = scan.with_bounds(features(spark, d)).select("id", "left", "top", "right", "bottom")
+    f = scan.with_bounds(features(spark, d)).select("id", *((F.col(c) + _WIDER * k).alias(c) for c, k in (("left", -1), ("top", -1), ("right", 1), ("bottom", 1))))
     g = f.toDF("id2", "left2", "top2", "right2", "bottom2")
     return spatial.boxes_meet(f, g, 8).where("id < id2").select(F.col("id").alias("a"), F.col("id2").alias("b"))
 
@@ -103,7 +105,7 @@ def nearest_place(spark, d):
     q = p.select("id", F.col("x31").alias("x"), F.col("y31").alias("y"))
     o = p.select(F.col("id").alias("other"), F.col("x31").alias("x2"), F.col("y31").alias("y2"))
     dist = F.when(F.col("id") == F.col("other"), 1e18).otherwise(F.sqrt(F.pow((F.col("x") - F.col("x2")).cast("double"), F.lit(2)) + F.pow((F.col("y") - F.col("y2")).cast("double"), F.lit(2))))
-    got = spatial.nearest(q, o, "id", dist, "other", 1 << 25, k=3, rings=(1, 4, 64))
+    got = spatial.nearest(q, o, "id", dist, "other", 1 << 25, k=3)
     return got.select("id", "other", F.col("rank").cast("bigint").alias("rank"), F.round("distance", 1).alias("dist"))
 
 
@@ -180,10 +182,10 @@ def fill_heights(spark, d):
     return route.fill_heights(v).select("road_id", "i", F.round("filled", 4).alias("filled"))
 
 
-@query("union_unique", "with a as (select o_orderkey % 1000 as id, 0 as src from orders where o_orderkey % 2 = 0), b as (select o_orderkey % 1500 as id, 1 as src from orders where o_orderkey % 3 = 0), u as (select * from a union all select * from b), m as (select id, min(src) as least from u where id > 0 group by id) select u.id, count(*) as n from u left join m using (id) where least is null or src = least group by u.id")
+@query("union_unique", "with a as (select o_orderkey % 1000 as id, 0 as src from orders), b as (select o_orderkey % 1500 as id, 1 as src from orders), u as (select * from a union all select * from b), m as (select id, min(src) as least from u where id > 0 group by id) select u.id, count(*) as n from u left join m using (id) where least is null or src = least group by u.id")
 def union_unique(spark, d):
     o = spark.read.parquet(f"{d}/orders.parquet")
-    a, b = o.where("o_orderkey % 2 = 0").selectExpr("o_orderkey % 1000 as id"), o.where("o_orderkey % 3 = 0").selectExpr("o_orderkey % 1500 as id")
+    a, b = o.selectExpr("o_orderkey % 1000 as id"), o.selectExpr("o_orderkey % 1500 as id")
     return scan.union_first(a, b).groupBy("id").agg(F.count("*").alias("n"))
 
 

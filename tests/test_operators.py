@@ -52,7 +52,7 @@ def test_nearest_and_within(spark):
     left = spark.createDataFrame(a, "id long, x long, y long")
     right = spark.createDataFrame(b, "other long, x2 long, y2 long")
     dist = F.sqrt(F.pow(F.col("x") - F.col("x2"), F.lit(2)) + F.pow(F.col("y") - F.col("y2"), F.lit(2)))
-    got = {(r.id, r["rank"]): r.other for r in spatial.nearest(left, right, "id", dist, "other", 100, k=2, rings=(1, 4, 64)).collect()}
+    got = {(r.id, r["rank"]): r.other for r in spatial.nearest(left, right, "id", dist, "other", 100, k=2).collect()}
     for i, x, y in a:
         order = sorted(b, key=lambda p: (((p[1] - x) ** 2 + (p[2] - y) ** 2) ** 0.5, p[0]))
         assert [got[i, 1], got[i, 2]] == [order[0][0], order[1][0]]
@@ -127,6 +127,25 @@ def test_matching_stays_on_a_road(spark):
     roads = spark.createDataFrame([(1, [{"x": x, "y": 0} for x in range(0, 1001, 100)]), (2, [{"x": x, "y": 60} for x in range(0, 1001, 100)])], "road_id long, points array<struct<x:long,y:long>>")
     pts = [(1, i, 50 + i * 100, 10 if i != 4 else 35) for i in range(9)]
     got = match.match(spark.createDataFrame(pts, "trace long, ind long, x long, y long"), match.legs(roads), 100, 200.0).collect()
-    assert {r.leg >> 11 for r in got} == {1} and len(got) == 9
+    assert {r.leg.road_id for r in got} == {1} and len(got) == 9
     snapped = match.snap(spark.createDataFrame(pts, "trace long, ind long, x long, y long"), match.legs(roads), 100).collect()
-    assert {r.ind: r.leg >> 11 for r in snapped}[4] == 2
+    assert {r.ind: r.leg.road_id for r in snapped}[4] == 2
+
+
+def test_nearest_of_far_places(spark):
+    """A place far from all others still finds its nearest, and fewer than k are all there is."""
+    left = spark.createDataFrame([(1, 0, 0), (2, 10_000_000, 7), (3, 5, 5)], "id int, x long, y long")
+    right = spark.createDataFrame([(1, 3, 3), (2, 900, 0), (3, 5_000_000, 0)], "other int, x2 long, y2 long")
+    dist = F.sqrt(F.pow((F.col("x") - F.col("x2")).cast("double"), F.lit(2)) + F.pow((F.col("y") - F.col("y2")).cast("double"), F.lit(2)))
+    got = {(r.id, r["rank"]): r.other for r in spatial.nearest(left, right, "id", dist, "other", 10, k=2).collect()}
+    assert got == {(1, 1): 1, (1, 2): 2, (2, 1): 3, (2, 2): 2, (3, 1): 1, (3, 2): 2}
+    assert spatial.nearest(left, right, "id", dist, "other", 10, k=9).count() == 9
+    assert spatial.nearest(left, right.limit(0), "id", dist, "other", 10).count() == 0
+
+
+def test_gaps_end_a_match_and_long_roads_keep_their_legs(spark):
+    long = [{"x": 10 * k, "y": 0} for k in range(2_500)]
+    roads = spark.createDataFrame([(1, long), (2, [{"x": 20_480, "y": 300}, {"x": 20_490, "y": 300}])], "road_id long, points array<struct<x:long,y:long>>")
+    pts = [(1, 0, 20_481, 1), (1, 1, 20_489, 1), (1, 2, 20_485, 150), (1, 3, 20_495, 2)]
+    got = match.match(spark.createDataFrame(pts, "trace long, ind long, x long, y long"), match.legs(roads), 20, 50.0).collect()
+    assert {r.ind: (r.part, r.leg.road_id, r.leg.i) for r in got} == {0: (0, 1, 2048), 1: (0, 1, 2048), 3: (1, 1, 2049)}
