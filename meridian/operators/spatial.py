@@ -30,8 +30,8 @@ def within(left: DataFrame, right: DataFrame, reach: int, on: Column | None = No
     return (out if on is None else out.where(on)).drop("_c")
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, dist: Column, tie: str, width: int, k: int = 1, grow: int = 4, lx="x", ly="y", rx="x2", ry="y2") -> DataFrame:
-    """The k nearest right rows of each left row (one a key) by dist, ties by tie; all of them if the right side has fewer.
+def nearest(left: DataFrame, right: DataFrame, key: str, dist: Column, tie: str, width: int, k: int = 1, grow: int = 4, lx="x", ly="y", rx="x2", ry="y2", on: list[str] | None = None) -> DataFrame:
+    """The k nearest right rows of each left row (one a key) by dist, ties by tie; all of them if the right side has fewer. on: columns that must be equal.
 
     The search widens: rows that find k candidates whose k-th distance lies within the ring
     searched are done, and those alone whose ring holds the whole right side; the others look
@@ -40,14 +40,14 @@ def nearest(left: DataFrame, right: DataFrame, key: str, dist: Column, tie: str,
     span = lambda df, x, y: df.agg(*(f(c) for c in (x, y) for f in (F.min, F.max))).first()
     a, b = span(left, lx, ly), span(right, rx, ry)
     if None in (*a, *b):
-        return left.join(right, F.lit(False)).withColumns({"distance": dist, "rank": F.lit(1)})
+        return (left.join(right, on) if on else left.join(right, F.lit(False))).limit(0).withColumns({"distance": dist, "rank": F.lit(1)})
     whole = max(a[1], b[1]) - min(a[0], b[0]), max(a[3], b[3]) - min(a[2], b[2])
     done, todo, w = None, left, width
     while True:
         cells = todo.withColumn("_c", F.explode(_cells(F.col(lx), F.col(ly), w, 1)))
         there = right.withColumn("_c", _cells(F.col(rx), F.col(ry), w, 0)[0])
         order = W.partitionBy(key).orderBy("_d", tie)
-        got = cells.join(there, "_c").drop("_c").withColumn("_d", dist).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        got = cells.join(there, ["_c", *(on or [])]).drop("_c").withColumn("_d", dist).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         if w > max(whole):
             return (got if done is None else done.unionByName(got)).withColumnRenamed("_d", "distance")
         got = checkpointed(got)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from meridian.operators import geometry, graph, match, rules, scan, spatial, styles
+from meridian.operators import geometry, graph, match, precalculated, rules, scan, spatial, styles
 from meridian.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -149,3 +149,17 @@ def test_gaps_end_a_match_and_long_roads_keep_their_legs(spark):
     pts = [(1, 0, 20_481, 1), (1, 1, 20_489, 1), (1, 2, 20_485, 150), (1, 3, 20_495, 2)]
     got = match.match(spark.createDataFrame(pts, "trace long, ind long, x long, y long"), match.legs(roads), 20, 50.0).collect()
     assert {r.ind: (r.part, r.leg.road_id, r.leg.i) for r in got} == {0: (0, 1, 2048), 1: (0, 1, 2048), 3: (1, 1, 2049)}
+
+
+def test_precalculated_direction(spark):
+    slices = spark.createDataFrame([(1, 0, [(0, 0), (0, 0), (100, 0)], 100.0, 10.0), (1, 1, [(100, 0), (100, 50)], 0.0, 0.0), (2, 0, [(0, 0), (5, 5)], 1.0, 1.0)], "route int, seq int, points array<struct<x:long,y:long>>, length double, seconds double")
+    p = precalculated.of_slices(slices, 25.0)
+    assert sorted((r.i, r.x, r.y, r.speed) for r in p.where("route = 1").collect()) == [(0, 0, 0, 10.0), (1, 100, 0, 10.0), (2, 100, 50, 25.0)]
+    line = precalculated.direction(p)
+    assert {r.i: (r.rest, r.whole) for r in line.where("route = 1").collect()} == {0: (12.0, 12.0), 1: (2.0, 12.0), 2: (0.0, 12.0)}
+    ends = spark.createDataFrame([(1, -50, 0, 100, 75)], "route int, sx long, sy long, ex long, ey long")
+    own = precalculated.adopted(line, ends, 64, 25.0)
+    assert {(r.i, r.start_time, r.end_time) for r in own.collect()} == {(k, 2.0, 1.0) for k in range(3)}
+    asked = spark.createDataFrame([(1, 1, 90, -5, False), (2, 1, 90, -5, True), (3, 1, 100, 49, False), (4, 1, 1, 0, True), (5, 7, 0, 0, True)], "id int, route int, x long, y long, to_start boolean")
+    got = {r.id: r.seconds for r in precalculated.time_estimate(asked, own, 64, 5.0).collect()}
+    assert got == {1: 2.0 + 125**0.5 / 5 + 1.0, 2: 10.0 + 125**0.5 / 5 + 2.0, 3: None, 4: None}
