@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import lanes, road, text, timing
 from ..functions.lanes import CODES
-from ..operators import coast, labels, lane_guidance, overlay, raster, transit, turns
+from ..operators import coast, labels, lane_guidance, overlay, raster, route_parts, transit, turns
 from ..sources import text_sinks
 from .views import SQL, features, view
 
@@ -119,6 +120,16 @@ def stitched_routes(spark, d):
     return transit.combine_routes(parts)
 
 
+@query("joined_routes", f"select road_id as route, string_agg(cast(road_id * 8 + i as varchar), ',' order by i) as stops from ({SQL['vertices']}) group by road_id having count(*) > 1")
+def joined_routes(spark, d):
+    """Every order as a route of which one source has the first half, one the rest and one the stops around the seam."""
+    v = view(spark, d, "vertices").select(F.col("road_id").alias("route"), "i", F.struct((F.col("road_id") * 8 + F.col("i")).alias("id"), "x", "y").alias("s"), F.row_number().over(W.partitionBy("road_id").orderBy("i")).alias("n"))
+    part = F.explode(F.array_compact(F.array(F.when(F.col("n") <= 3, 0), F.when(F.col("n").between(3, 5), 1), F.when(F.col("n") >= 4, 2)))).alias("part")
+    parts = v.select("route", "i", "s", part).groupBy("route", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda r: r["s"]).alias("stops"))
+    got = route_parts.join_parts(parts, 50)
+    return got.select("route", F.array_join(F.transform("stops", lambda s: s["id"].cast("string")), ",").alias("stops"))
+
+
 @query("water_polygons")
 def water_polygons(spark, d):
     b = view(spark, d, "boxes")
