@@ -132,7 +132,7 @@ def share(n, total, terms):
     return F.call_function("div", top, (total + terms * SMOOTHING).cast("decimal(38,0)")) + 1
 
 
-def _block_pairs(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+def _block_pairs(key: tuple, rows: pd.DataFrame, size: int) -> pd.DataFrame:
     """Of one block: summed differences of each source of the tile with every source of its language. Rows without tid give each source's share of a count of zero."""
     lang, _, tile = key
     base = rows[rows.tid.isna()].sort_values("code")
@@ -142,7 +142,7 @@ def _block_pairs(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     ids, term = np.unique(e.tid.to_numpy(np.int64), return_inverse=True)
     lo, hi = np.searchsorted(src, np.arange(len(zero))), np.searchsorted(src, np.arange(len(zero)), "right")
     out = []
-    for g in range(tile * TILE, min(len(zero), (tile + 1) * TILE)):
+    for g in range(tile * size, min(len(zero), (tile + 1) * size)):
         own = p[lo[g] : hi[g]]
         mine = np.full(len(ids), zero[g])
         mine[term[lo[g] : hi[g]]] = own
@@ -178,7 +178,12 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     cells = shares.select("lang", F.pmod(F.xxhash64("tid"), blocks).alias("block"), tiles, "code", "tid", "p")
     bases = groups.where("terms > 0").select("lang", "code", "sources", share(F.lit(0), F.col("total"), F.col("terms")).alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
     bases = bases.select("lang", "block", tiles, "code", F.lit(None).cast("long").alias("tid"), "p")
-    apart = cells.union(bases).groupBy("lang", "block", "tile").applyInPandas(_block_pairs, "lang string, g int, h int, value long")
+    size = TILE
+
+    def pairs_of(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return _block_pairs(key, rows, size)
+
+    apart = cells.union(bases).groupBy("lang", "block", "tile").applyInPandas(pairs_of, "lang string, g int, h int, value long")
     apart = apart.groupBy("lang", "g", "h").agg(F.sum("value").alias("value"))
     one, other = groups.select("lang", "source", F.col("code").alias("g")), groups.select("lang", F.col("source").alias("item"), F.col("code").alias("h"))
     pairs = one.join(other, "lang").where("g <> h").join(apart, ["lang", "g", "h"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).cast("long").alias("value"))
