@@ -12,6 +12,7 @@ The features are the texts alone.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -226,21 +227,31 @@ def train(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: st
     return langs, pieces, prob, prior / prior.sum()
 
 
+_known: dict[str, dict[str, np.ndarray]] = {}
+
+
+def known_words(model: str) -> dict[str, np.ndarray]:
+    """Words that this worker has summed under a model, with their log-likelihoods; emptied when it grows too large or the model changes."""
+    if model not in _known or len(_known[model]) > _CACHE_WORDS:
+        _known.clear()
+        _known[model] = {}
+    return _known[model]
+
+
 def predict(docs: DataFrame, model, text_col: str = "text", out: str = "_lang") -> DataFrame:
     """docs with a struct column out: lang_pred and score (the posterior of that language, 0 to 1).
 
     A null text, one without letters, and any text under a model without languages: UNKNOWN, score 0.
     """
     langs, pieces, prob, prior = model
+    name = hashlib.sha256(repr((langs, sorted(pieces.items()))).encode() + prob.tobytes()).hexdigest()
 
     def run(text: pd.Series) -> pd.DataFrame:
         lat = Lattices(pieces)
-        known: dict[str, np.ndarray] = {}
         pred, score = [], []
         for at in range(0, len(text), 256):
             part = [words_of(t) for t in text.iloc[at : at + 256]]
-            if len(known) > _CACHE_WORDS:
-                known.clear()
+            known = known_words(name)
             new = list({w for c in part for w in c if w not in known}) if langs else []
             for k in range(0, len(new), 4096):
                 known.update(zip(new[k : k + 4096], lat.log_likelihood(new[k : k + 4096], prob), strict=True))
