@@ -9,7 +9,9 @@ dense lines stand above the threshold, and the content region is the innermost e
 that keeps SHARE of the page's weight. Further elements of its kind join it if their own
 weight is RIVAL of the region's, so a page of several articles keeps all. Of a region all
 lines stay, among them titles (also one right before it) and short paragraphs, but lines of
-links under the threshold. A page that marks its article gives the mark as a prior: lines
+links under the threshold; one paragraph of links between two dense ones stays. Names of
+elements that may mean an article's part or another (share, search, privacy) cut nothing:
+lines there weigh less and stay if they are dense without their neighbours' help. A page that marks its article gives the mark as a prior: lines
 there weigh PRIOR times as much, a region inside the mark grows to it, and dense lines of
 other marked parts stay. Parts that are no article by their element, role or class are left out before.
 """
@@ -34,6 +36,8 @@ SHARE = 0.7
 RIVAL = 0.2
 #: How much more a line inside an element that marks the article weighs.
 PRIOR = 8.0
+#: What part of the mean ratio of dense lines a line reaches, without smoothing, where names leave doubt.
+OWN = 0.3
 #: Lines between two dense ones, or before the first, that go with them on a page without containers.
 GAP = 3
 
@@ -45,8 +49,10 @@ _CONTAINERS = frozenset("html body main article section div td table tbody tr ce
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 #: Words of class and id names that mark parts that are no article, and those that mark the article.
 _OTHER = re.compile(
-    r"(?:^|[_-])(?:ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav|navbar|navigation|topbar|toolbar|menu\w*|breadcrumbs?|side|sidebar\w*|aside|rail|footer\w*|masthead|cookies?\w*|consent|gdpr|privacy|notices?|notifications?|alert\w*|popup\w*|modal\w*|overlay|newsletter\w*|subscri\w*|signup|login|paywall|comments?|commentlist|commenters?|disqus|repl(?:y|ies)|respond|related\w*|recommend\w*|share|sharing|social\w*|widgets?|pagination|pager|skip|tags|outbrain|taboola|form|search\w*)(?=$|[_-])"
+    r"(?:^|[_-])(?:ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav|navbar|navigation|topbar|toolbar|menu\w*|breadcrumbs?|sidebar\w*|aside|footer\w*|masthead|cookies?\w*|consent|gdpr|notices?|notifications?|alert\w*|popup\w*|modal\w*|newsletter\w*|subscri\w*|signup|login|paywall|comments?|commentlist|commenters?|disqus|repl(?:y|ies)|respond|related\w*|recommend\w*|social\w*|widgets?|pagination|pager|outbrain|taboola|search-?(?:bar|box|form|field|input))(?=$|[_-])"
 )
+#: Words that such parts and parts of an article both bear: lines there must be as dense as others by themselves.
+_DOUBT = re.compile(r"(?:^|[_-])(?:form|overlay|privacy|rail|search|searches|share|shares|sharing|side|skip|tags)(?=$|[_-])")
 _OTHER_ARTICLE = re.compile(r"^(?:ad|advert\w*|sponsor\w*|promo\w*|comments?|repl(?:y|ies)|related\w*|recommend\w*|teaser\w*)(?=$|[_-])")
 _CONTENT = re.compile(r"^(?:content|main|article|post|entry|story|(?:main|page|article|post|entry|story|body)-(?:content|body|text|main)|content-(?:body|main))$")
 _STATES = ("has-", "with-", "no-", "is-", "js-", "without-", "not-")
@@ -59,12 +65,13 @@ def _names(value: str) -> list[str]:
 
 
 class _Lines(HTMLParser):
-    """Collects lines: text, tags, characters in links, whether an article is marked there, and the elements that hold them."""
+    """Collects lines: text, tags, characters in links, whether an article is marked and whether names leave doubt there, and the elements that hold them."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool]] = []  # element, whether it drops what it holds
         self.dropping = 0
+        self.doubts: list[int] = []  # depths of elements whose names leave doubt
         self.links = 0
         self.marks: list[int] = []  # depths of elements that mark an article
         self.path: list[int] = []  # numbers of the open elements
@@ -73,12 +80,12 @@ class _Lines(HTMLParser):
         self.parts: list[str] = []
         self.tags = 0
         self.linked = 0
-        self.lines: list[tuple[str, int, int, bool, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, int, bool, bool, tuple[int, ...]]] = []
 
     def flush(self):
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, self.linked, bool(self.marks), tuple(self.path)))
+            self.lines.append((text, self.tags, self.linked, bool(self.marks), bool(self.doubts), tuple(self.path)))
         self.parts.clear()
         self.tags = self.linked = 0
 
@@ -103,6 +110,11 @@ class _Lines(HTMLParser):
             return False
         return any(v and (k in ("class", "id") and any(_CONTENT.match(n) for n in _names(v)) or k == "role" and v == "main" or k == "itemprop" and v == "articleBody") for k, v in attrs)
 
+    def _doubtful(self, tag: str, attrs) -> bool:
+        if tag in _MARK or tag in ("html", "body"):
+            return False
+        return any(v and k in ("class", "id") and any(_DOUBT.search(n) for n in _names(v)) for k, v in attrs)
+
     def handle_starttag(self, tag, attrs):
         if tag in _BLOCK:
             self.flush()
@@ -115,6 +127,7 @@ class _Lines(HTMLParser):
             self.links += 1
             return
         other = self._other(tag, attrs)
+        doubt = tag in _BLOCK and self._doubtful(tag, attrs)
         if tag not in _BLOCK and not other:
             return
         if tag in _MARK and not other:
@@ -127,6 +140,8 @@ class _Lines(HTMLParser):
         self.path.append(len(self.kinds))
         self.kinds.append(tag)
         self.dropping += other
+        if doubt:
+            self.doubts.append(len(self.open))
         if not self.dropping and (tag == "article" or tag == "main" and not self.marks or self._content(tag, attrs)):
             self.marks.append(len(self.open))
             self.marking.add(self.path[-1])
@@ -135,8 +150,9 @@ class _Lines(HTMLParser):
         tag, other = self.open.pop()
         self.path.pop()
         self.dropping -= other
-        while self.marks and self.marks[-1] > len(self.open):
-            self.marks.pop()
+        for depths in (self.marks, self.doubts):
+            while depths and depths[-1] > len(self.open):
+                depths.pop()
 
     def handle_endtag(self, tag):
         if tag in _BLOCK:
@@ -182,18 +198,22 @@ def extract(html: str | None) -> str:
     lines.flush()
     if not lines.lines:
         return ""
-    texts, tags, linked, marked, paths = zip(*lines.lines, strict=True)
+    texts, tags, linked, marked, doubt, paths = zip(*lines.lines, strict=True)
     n = np.array([len(t) for t in texts], float)
     linked = np.minimum(n, np.array(linked, float))
-    soft = smoothed((n - linked) / np.maximum(1, tags))
-    return "\n".join(t for t, k in zip(texts, content_lines(soft, linked > 0.5 * n, np.array(marked), paths, lines.kinds, lines.marking), strict=True) if k)
+    ratio = (n - linked) / np.maximum(1, tags)
+    keep = content_lines(ratio, smoothed(ratio), linked > 0.5 * n, np.array(marked), np.array(doubt), paths, lines.kinds, lines.marking)
+    return "\n".join(t for t, k in zip(texts, keep, strict=True) if k)
 
 
-def content_lines(soft: np.ndarray, links: np.ndarray, marked: np.ndarray, paths, kinds: list[str], marking: set[int]) -> np.ndarray:
-    """Which lines are content, by their smoothed ratios, the elements that hold them (outermost first), the kinds of those and which mark an article."""
+def content_lines(ratio: np.ndarray, soft: np.ndarray, links: np.ndarray, marked: np.ndarray, doubt: np.ndarray, paths, kinds: list[str], marking: set[int]) -> np.ndarray:
+    """Which lines are content, by their ratios, the smoothed ones, the elements that hold them (outermost first), the kinds of those and which mark an article."""
     least = THRESHOLD * soft.std()
     dense = (soft >= least) & ~links
-    weight = np.where(dense, soft - least + 1e-9, 0.0) * np.where(marked, PRIOR, 1.0)
+    if doubt.any():
+        sure = ratio[dense & ~doubt]
+        dense &= ~doubt | (ratio >= max(least, OWN * (sure.mean() if len(sure) else 0.0)))
+    weight = np.where(dense, soft - least + 1e-9, 0.0) * np.where(marked, PRIOR, 1.0) / np.where(doubt, PRIOR, 1.0)
     held: dict[int, float] = {}
     for w, path in zip(weight.tolist(), paths, strict=True):
         if w:
@@ -240,7 +260,11 @@ def content_lines(soft: np.ndarray, links: np.ndarray, marked: np.ndarray, paths
         while first and "h1" in {kinds[e] for e in paths[first - 1]}:  # the title right before the region
             first -= 1
             inside[first] = True
-    return inside & (dense | ~links) | marked & dense
+    # a paragraph of links between two dense ones of its own element
+    among = np.zeros(len(soft), bool)
+    for i in np.flatnonzero(links[1:-1] & dense[:-2] & dense[2:]) + 1:
+        among[i] = bool(paths[i]) and kinds[paths[i][-1]] == "p" and all(paths[j][:-1] == paths[i][:-1] for j in (i - 1, i + 1))
+    return inside & (dense | among | ~links & ~doubt) | marked & dense
 
 
 def main_text(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:

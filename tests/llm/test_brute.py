@@ -322,6 +322,27 @@ def test_html_ratio_decides_on_marked_pages():
     assert len(got) - 5 <= 1
 
 
+@pytest.mark.parametrize("holder", ["article", "div"])
+def test_html_names_and_links_of_article_text_only_weigh(holder):
+    """Paragraphs whose names may mean other parts stay with their text; the parts themselves go."""
+    text = lambda k: f"{k} " + "words that run on and on " * 8 + "end."
+    own = "Each owner has a share of one tenth of the ship and of all that it earns on its way over the sea"
+    stays = [
+        (f"<p class='share'>{own}.</p>", f"{own}."),
+        (f"<p id='form'>{own} in due form.</p>", f"{own} in due form."),
+        (f"<div class='search-history'><p>{own} as found.</p></div>", f"{own} as found."),
+        (f"<section class='privacy'><p>{own} in private.</p></section>", f"{own} in private."),
+        ("<p><a href='/w'>A paragraph that is one link to another work</a></p>", "A paragraph that is one link to another work"),
+    ]
+    goes = ["<div class='share'><a href='/t'>Tweet</a> <a href='/m'>Mail</a></div>", "<div class='share'>Share this</div>", "<ul><li><a href='/1'>One</a></li><li><a href='/2'>Two</a></li></ul>", f"<div class='advert'>{own}, now on sale.</div>", f"<p class='notice'>{own}.</p>", "<div class='search-box'>Find what you look for here</div>"]
+    parts, want = [], ["Title"]
+    for i, ((markup, block), other) in enumerate(zip([*stays, ("", None)], goes, strict=True)):
+        parts.append(f"<p>{text(i)}</p>{markup}<p>{text(i)}</p>{other}")
+        want += [text(i), *([block] if block else []), text(i)]
+    page = f"<html><body><nav><a href='/'>Home</a></nav><{holder}><h1>Title</h1>{''.join(parts)}</{holder}><footer>Foot</footer></body></html>"
+    assert html_extract.extract(page) == "\n".join(want)
+
+
 def test_html_without_marks_and_with_random_ratios(spark, sf_dir, monkeypatch):
     pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
     want = [html_extract.extract(h) for h in pages]
