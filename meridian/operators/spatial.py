@@ -2,7 +2,8 @@
 
 Nothing is broadcast unasked and no side is crossed with another: rows meet only in the
 cells they touch. Cells are as wide as the reach of the join, so each row of one side
-looks at its own cell and the eight around it.
+looks at its own cell and the eight around it. Rows dealt to cells ask for a merge join:
+Spark takes them for as small as the file they come from and would send them to the driver.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ def _cells(x: Column, y: Column, width: int, ring: int) -> Column:
 
 def within(left: DataFrame, right: DataFrame, reach: int, on: Column | None = None, lx="x", ly="y", rx="x2", ry="y2") -> DataFrame:
     """Pairs whose squares of half width reach meet: abs(dx) <= reach and abs(dy) <= reach, and the exact test on."""
-    a = left.withColumn("_c", F.explode(_cells(F.col(lx), F.col(ly), reach, 1)))
+    a = left.withColumn("_c", F.explode(_cells(F.col(lx), F.col(ly), reach, 1))).hint("merge")
     b = right.withColumn("_c", _cells(F.col(rx), F.col(ry), reach, 0)[0])
     box = (F.abs(F.col(lx) - F.col(rx)) <= reach) & (F.abs(F.col(ly) - F.col(ry)) <= reach)
     out = a.join(b, "_c").where(box)

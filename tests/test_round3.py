@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
+
+import pytest
+
+import __spark_entry__
 from meridian.operators import match
 
 
+def plan(df) -> str:
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain()
+    return out.getvalue()
+
+
 def test_snap_is_at_no_distance_on_a_leg(spark):
     """Every whole point of a leg lies on it: a foot cut to whole units lay one beside some of them."""
     roads = spark.createDataFrame([(1, [{"x": 0, "y": 0}, {"x": 3000, "y": 0}])], "road_id long, points array<struct<x:long,y:long>>")
     pts = spark.range(3001).selectExpr("1L as trace", "id as ind", "id as x", "0L as y")
     got = match.snap(pts, match.legs(roads), 600)
     assert got.count() == 3001 and got.where("off > 1e-6 or px <> ind").count() == 0
+
+
+@pytest.mark.parametrize("name", ["radius_stops"])
+def test_rows_dealt_to_cells_are_not_broadcast(spark, sf_dir, name):
+    assert "Broadcast" not in plan(__spark_entry__.queries()[name](spark, sf_dir))
