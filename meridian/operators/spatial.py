@@ -92,14 +92,14 @@ def boxes_meet(left: DataFrame, right: DataFrame, zoom: int, names=("left", "top
     l2, t2, r2, b2 = (F.col(c) for c in other)
     meet = (r1 >= l2) & (l1 <= r2) & (b1 >= t2) & (t1 <= b2)
     first = (F.col("_tx") == F.shiftright(F.greatest(l1, l2), shift)) & (F.col("_ty") == F.shiftright(F.greatest(t1, t2), shift))
-    return a.join(b, ["_tx", "_ty"]).where(meet & first).drop("_tx", "_ty")
+    return a.hint("merge").join(b, ["_tx", "_ty"]).where(meet & first).drop("_tx", "_ty")
 
 
 def in_ranges(points: DataFrame, ranges: DataFrame, p: str, start: str, end: str, width: int) -> DataFrame:
     """Points joined with the half-open ranges [start, end) that hold them, by buckets of a width."""
     a = points.withColumn("_b", F.floor(F.col(p) / width))
     b = ranges.where(F.col(end) > F.col(start)).withColumn("_b", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))))
-    return a.join(b, "_b").where((F.col(p) >= F.col(start)) & (F.col(p) < F.col(end))).drop("_b")
+    return a.hint("merge").join(b, "_b").where((F.col(p) >= F.col(start)) & (F.col(p) < F.col(end))).drop("_b")
 
 
 def allowed_turns(moves: DataFrame, restrictions: DataFrame) -> DataFrame:

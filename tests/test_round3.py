@@ -26,6 +26,6 @@ def test_snap_is_at_no_distance_on_a_leg(spark):
     assert got.count() == 3001 and got.where("off > 1e-6 or px <> ind").count() == 0
 
 
-@pytest.mark.parametrize("name", ["radius_stops"])
+@pytest.mark.parametrize("name", ["radius_stops", "tile_range_join"])
 def test_rows_dealt_to_cells_are_not_broadcast(spark, sf_dir, name):
     assert "Broadcast" not in plan(__spark_entry__.queries()[name](spark, sf_dir))
