@@ -31,24 +31,42 @@ def within(left: DataFrame, right: DataFrame, reach: int, on: Column | None = No
     return (out if on is None else out.where(on)).drop("_c")
 
 
+#: Right rows of a group that meet all of its left rows, as they are no more than the cells around a place.
+FEW = 9
+
+
 def nearest(left: DataFrame, right: DataFrame, key: str, dist: Column, tie: str, width: int, k: int = 1, grow: int = 4, lx="x", ly="y", rx="x2", ry="y2", on: list[str] | None = None) -> DataFrame:
     """The k nearest right rows of each left row (one a key) by dist, ties by tie; all of them if the right side has fewer. on: columns that must be equal.
 
     The search widens: rows that find k candidates whose k-th distance lies within the ring
     searched are done, and those alone whose ring holds the whole right side; the others look
-    at a ring `grow` times as wide. dist must not be below the larger of abs(dx), abs(dy).
+    at a ring `grow` times as wide. It starts at width, or below it where the right side is so
+    dense that a cell would hold many more than k rows. With on, groups of at most FEW right
+    rows are joined whole. dist must not be below the larger of abs(dx), abs(dy).
     """
-    span = lambda df, x, y: df.agg(*(f(c) for c in (x, y) for f in (F.min, F.max))).first()
-    a, b = span(left, lx, ly), span(right, rx, ry)
+    order = W.partitionBy(key).orderBy("_d", tie)
+    best = lambda df: df.withColumn("_d", dist).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    done = None
+    if on:
+        right = right.withColumn("_n", F.count("*").over(W.partitionBy(*on)))
+        done = best(left.hint("merge").join(right.where(F.col("_n") <= FEW).drop("_n"), on))
+        right = right.where(F.col("_n") > FEW).drop("_n")
+        left = left.join(right.select(*on).distinct(), on, "left_semi")
+    span = lambda df, x, y: df.agg(*(f(c) for c in (x, y) for f in (F.min, F.max)), F.count("*")).first()
+    b = span(right, rx, ry)
+    a = span(left, lx, ly) if b[4] else b
     if None in (*a, *b):
-        return (left.join(right, on) if on else left.join(right, F.lit(False))).limit(0).withColumns({"distance": dist, "rank": F.lit(1)})
+        none = (left.join(right, on) if on else left.join(right, F.lit(False))).limit(0).withColumns({"distance": dist, "rank": F.lit(1)})
+        return none if done is None else done.withColumnRenamed("_d", "distance")
     whole = max(a[1], b[1]) - min(a[0], b[0]), max(a[3], b[3]) - min(a[2], b[2])
-    done, todo, w = None, left, width
+    todo, w = left, width
+    if not on:
+        sides, share = (b[1] - b[0], b[3] - b[2]), 2 * k / b[4]
+        w = max(1, min(width, int(max((sides[0] * sides[1] * share) ** 0.5, max(sides) * share))))
     while True:
-        cells = todo.withColumn("_c", F.explode(_cells(F.col(lx), F.col(ly), w, 1)))
+        cells = todo.withColumn("_c", F.explode(_cells(F.col(lx), F.col(ly), w, 1))).hint("merge")
         there = right.withColumn("_c", _cells(F.col(rx), F.col(ry), w, 0)[0])
-        order = W.partitionBy(key).orderBy("_d", tie)
-        got = cells.join(there, ["_c", *(on or [])]).drop("_c").withColumn("_d", dist).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        got = best(cells.join(there, ["_c", *(on or [])]).drop("_c"))
         if w > max(whole):
             return (got if done is None else done.unionByName(got)).withColumnRenamed("_d", "distance")
         got = checkpointed(got)

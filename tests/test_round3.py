@@ -6,9 +6,10 @@ import contextlib
 import io
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
-from meridian.operators import match
+from meridian.operators import match, spatial
 
 
 def plan(df) -> str:
@@ -29,3 +30,36 @@ def test_snap_is_at_no_distance_on_a_leg(spark):
 @pytest.mark.parametrize("name", ["radius_stops", "tile_range_join"])
 def test_rows_dealt_to_cells_are_not_broadcast(spark, sf_dir, name):
     assert "Broadcast" not in plan(__spark_entry__.queries()[name](spark, sf_dir))
+
+
+def test_nearest_starts_as_narrow_as_places_are_dense(spark):
+    """All places lie within one cell of the width asked for; no round joins all of them with all."""
+    p = spark.range(400).selectExpr("id", "id % 20 * 10 as x", "id div 20 * 10 as y")
+    q = p.toDF("other", "x2", "y2")
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def far(x, y, x2, y2):
+        seen.add(1)
+        return float((x - x2) ** 2 + (y - y2) ** 2) ** 0.5
+
+    got = spatial.nearest(p, q, "id", far("x", "y", "x2", "y2"), "other", 1 << 20, k=2).collect()
+    assert len(got) == 800 and {(r.id, r["rank"]): (r.other, r.distance) for r in got}[0, 2] == (1, 10.0)
+    assert seen.value < 400 * 400 / 2
+
+
+def test_nearest_of_small_and_large_groups(spark):
+    """Groups of few places are joined whole, others by cells: the same answers, ties to the smaller place."""
+    g = spark.range(60).selectExpr("id as other", "cast(id >= 5 as int) as g", "id * id % 101 * 7 as x2", "id * 13 % 89 * 5 as y2")
+    q = spark.range(90).selectExpr("id", "cast(id % 3 as int) as g", "id * 11 % 97 * 6 as x", "id * 17 % 83 * 4 as y")
+    dist = F.sqrt(F.pow((F.col("x") - F.col("x2")).cast("double"), F.lit(2)) + F.pow((F.col("y") - F.col("y2")).cast("double"), F.lit(2)))
+    got = {(r.id, r["rank"]): r.other for r in spatial.nearest(q, g, "id", dist, "other", 8, k=2, on=["g"]).collect()}
+    places = g.collect()
+    want = {}
+    for r in q.collect():
+        near = sorted((((r.x - p.x2) ** 2 + (r.y - p.y2) ** 2) ** 0.5, p.other) for p in places if p.g == r.g)
+        want |= {(r.id, n): o for n, (_, o) in enumerate(near[:2], 1)}
+    assert got == want and len(got) == 120
+    # the groups of few are done before any round looks for the extent of the others
+    few = spatial.nearest(q, g.where("g = 0"), "id", dist, "other", 8, on=["g"])
+    assert few.count() == 30 and "explode" not in plan(few)
