@@ -63,7 +63,8 @@ def with_halo(tiles: DataFrame, side: int, width: int) -> DataFrame:
     sent = [F.struct((F.col("x") - dx).alias("_x"), (F.col("y") - dy).alias("_y"), F.lit(i).alias("_k"), _part(F.col("_h"), side, *span[dy], *span[dx]).alias("_s")) for i, (dx, dy) in enumerate(AROUND)]
     s = t.select(F.col("zoom").alias("_z"), F.explode(F.array(*sent)).alias("_e")).select("_z", "_e.*")
     s = s.groupBy("_z", "_x", "_y").agg(*(F.max(F.when(F.col("_k") == i, F.col("_s"))).alias(f"_s{i}") for i in range(8)))
-    t = t.join(s, (t["zoom"] == s["_z"]) & (t["x"] == s["_x"]) & (t["y"] == s["_y"]), "left")
+    # the tiles' file is small beside their arrays, which a broadcast would gather on the driver
+    t = t.hint("merge").join(s, (t["zoom"] == s["_z"]) & (t["x"] == s["_x"]) & (t["y"] == s["_y"]), "left")
     size = {-1: width, 0: side, 1: width}
     strip = {d: F.coalesce(F.col(f"_s{i}"), _blank(size[d[0]] * size[d[1]])) for i, d in enumerate(AROUND)} | {(0, 0): F.col("_h")}
     rows = [_beside([(strip[dx, dy], size[dx]) for dx in (-1, 0, 1)], size[dy]) for dy in (-1, 0, 1)]

@@ -9,7 +9,7 @@ from ..functions import lanes, road, text, timing
 from ..functions.lanes import CODES
 from ..operators import coast, labels, lane_guidance, overlay, raster, route_parts, transit, turns
 from ..sources import text_sinks
-from .views import SQL, features, view
+from .views import SQL, dealt, features, view
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -156,7 +156,7 @@ def thinned_lines(spark, d):
 def shaded_tiles(spark, d):
     k = F.col("id")
     h = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: ((i * k * 31) % 97).cast("float"))
-    t = raster.shaded(_parts(spark, d).select("id", h.alias("heights")), 16, 30.0)
+    t = raster.shaded(dealt(_parts(spark, d).select("id"), "id").select("id", h.alias("heights")), 16, 30.0)
     return t.select("id", F.round("slope_mean", 4).alias("slope_mean"), F.sha2("shade", 256).alias("shade"))
 
 

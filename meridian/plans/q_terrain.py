@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import terrain
 from ..operators.raster import NODATA
 from ..sources import geotiff
+from .views import dealt
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -26,7 +27,7 @@ def query(name: str, sql: str | None = None):
 def _tiles(spark, d):
     """Tiles as files' bytes and read from them: heights are those of the whole grid's pixels, some not known."""
     k = F.col("p_partkey")
-    t = spark.read.parquet(f"{d}/part.parquet").select(F.lit(9).alias("zoom"), (k % 64).alias("x"), F.floor(k / 64).alias("y"), F.col("p_size").cast("bigint").alias("lift"))
+    t = dealt(spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_size"), "p_partkey").select(F.lit(9).alias("zoom"), (k % 64).alias("x"), F.floor(k / 64).alias("y"), F.col("p_size").cast("bigint").alias("lift"))
     x, y = (lambda i: F.col("x") * SIDE + i % SIDE), (lambda i: F.col("y") * SIDE + F.floor(i / SIDE))
     h = F.transform(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)), lambda i: F.when((x(i) * 13 + y(i) * 7) % 101 == 0, F.lit(NODATA)).otherwise((x(i) * x(i) * 7 + y(i) * 31 + x(i) * y(i) * 3) % 977 + F.col("lift")).cast("float"))
     files = t.select("zoom", "x", "y", geotiff.encoded(h, SIDE).alias("content"))

@@ -28,6 +28,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(SQL[name].replace(f"from {TABLES[name]}", "from {t}"), t=spark.read.parquet(f"{sf_dir}/{TABLES[name]}.parquet"))
 
 
+def dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows of a small file that each cost much, over as many tasks as a shuffle has; as read, the file is one task's."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """boxes as features: three points and two tags each, and the source order 0."""
     b = view(spark, sf_dir, "boxes")

@@ -27,7 +27,7 @@ def test_snap_is_at_no_distance_on_a_leg(spark):
     assert got.count() == 3001 and got.where("off > 1e-6 or px <> ind").count() == 0
 
 
-@pytest.mark.parametrize("name", ["radius_stops", "tile_range_join"])
+@pytest.mark.parametrize("name", ["radius_stops", "tile_range_join", "terrain_slopes"])
 def test_rows_dealt_to_cells_are_not_broadcast(spark, sf_dir, name):
     assert "Broadcast" not in plan(__spark_entry__.queries()[name](spark, sf_dir))
 
@@ -63,3 +63,8 @@ def test_nearest_of_small_and_large_groups(spark):
     # the groups of few are done before any round looks for the extent of the others
     few = spatial.nearest(q, g.where("g = 0"), "id", dist, "other", 8, on=["g"])
     assert few.count() == 30 and "explode" not in plan(few)
+
+
+@pytest.mark.parametrize("name", ["shaded_tiles", "terrain_pyramid", "terrain_slopes"])
+def test_tiles_of_a_small_file_are_many_tasks(spark, sf_dir, name):
+    assert "Exchange hashpartitioning(p_partkey" in plan(__spark_entry__.queries()[name](spark, sf_dir))
