@@ -91,13 +91,23 @@ def best_results(results: DataFrame, limit: int) -> DataFrame:
     """The first results of each query by seconds (ties by id), without those that ride a better one's routes and more.
 
     results: query, id, seconds, routes (array). A result goes if a faster one's routes are all among its own.
+    Of results with the same routes only the first can stay or take out others, so sets of
+    routes are compared, and of those only the ones whose first route is among the other's.
     """
-    a = results.select("query", "id", "seconds", "routes")
-    b = results.select("query", F.col("id").alias("_id"), F.col("seconds").alias("_s"), F.col("routes").alias("_r"))
+    a = results.select("query", "id", "seconds", "routes", F.array_sort(F.array_distinct("routes")).alias("_set"))
+    known = F.col("query").isNotNull() & F.col("seconds").isNotNull() & F.col("routes").isNotNull()
+    k = F.rank().over(W.partitionBy("query", "_set").orderBy("seconds", "id"))
+    live = a.where(known).withColumn("_k", k).where("_k = 1").drop("_k")
+    none = F.struct(F.lit(False).alias("some"), F.lit(None).cast(results.schema["routes"].dataType.elementType).alias("route"))
+    some = lambda r: F.struct(F.lit(True).alias("some"), r.alias("route"))
+    own = live.select("query", "id", "seconds", "_set", F.explode(F.concat(F.array(none), F.transform("_set", some))).alias("e"))
+    other = live.select(F.col("query").alias("_q"), F.col("id").alias("_id"), F.col("seconds").alias("_s"), F.col("_set").alias("_r"), F.when(F.size("_set") == 0, none).otherwise(some(F.get("_set", F.lit(0)))).alias("f"))
     faster = (F.col("_s") < F.col("seconds")) | ((F.col("_s") == F.col("seconds")) & (F.col("_id") < F.col("id")))
-    worse = a.join(b, "query").where(faster & (F.size(F.array_except("_r", "routes")) == 0)).select("query", "id").distinct()
+    meet = (F.col("query") == F.col("_q")) & (F.col("e.some") == F.col("f.some")) & F.col("e.route").eqNullSafe(F.col("f.route"))
+    worse = own.join(other, meet).where(faster & (F.size(F.array_except("_r", "_set")) == 0)).select("query", "id", "_set").distinct()
+    kept = live.join(worse, ["query", "id", "_set"], "left_anti").select(*a.columns).unionByName(a.where(~known))
     k = F.row_number().over(W.partitionBy("query").orderBy("seconds", "id"))
-    return a.join(worse, ["query", "id"], "left_anti").withColumn("rank", k).where(F.col("rank") <= limit)
+    return kept.drop("_set").withColumn("rank", k).where(F.col("rank") <= limit)
 
 
 def change_time(same: Column, config: Column, default: int) -> Column:

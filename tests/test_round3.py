@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from meridian.operators import match, spatial
+from meridian.operators import match, spatial, transit
 
 
 def plan(df) -> str:
@@ -67,4 +67,20 @@ def test_nearest_of_small_and_large_groups(spark):
 
 @pytest.mark.parametrize("name", ["shaded_tiles", "terrain_pyramid", "terrain_slopes"])
 def test_tiles_of_a_small_file_are_many_tasks(spark, sf_dir, name):
-    assert "Exchange hashpartitioning(p_partkey" in plan(__spark_entry__.queries()[name](spark, sf_dir))
+    assert "REPARTITION_BY_NUM" in plan(__spark_entry__.queries()[name](spark, sf_dir))
+
+
+def test_best_results_against_all_pairs(spark):
+    """Empty, repeated and unknown routes too; rows of one set of routes do not meet each other."""
+    rows = [(i % 3, i, i * 31 % 17, [(), (1,), (2, 1), (1, 2, 1), (3,), (2, 3), (1, 3, 4), (None, 2), None][i * 7 % 9 if i > 40 else 1 + i * 5 % 8]) for i in range(90)]
+    rows = [(q, i, s, None if r is None else list(r)) for q, i, s, r in rows]
+    got = transit.best_results(spark.createDataFrame(rows, "query int, id int, seconds int, routes array<int>"), 9).collect()
+    worse = lambda a, b: b[0] == a[0] and (b[2], b[1]) < (a[2], a[1]) and a[3] is not None and b[3] is not None and set(b[3]) <= set(a[3])
+    want = set()
+    for q in range(3):
+        left = sorted((a[2], a[1]) for a in rows if a[0] == q and not any(worse(a, b) for b in rows))
+        want |= {(q, i, n) for n, (_, i) in enumerate(left[:9], 1)}
+    assert {(r["query"], r.id, r["rank"]) for r in got} == want
+    made = spark.range(3000).selectExpr("1 as query", "id", "id % 1000 as seconds", "array(id % 5, id % 7 + 10) as routes")
+    assert transit.best_results(made, 5000).count() == 35
+    assert "rank(seconds" in plan(transit.best_results(made, 5))
