@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from meridian.operators import match, spatial, transit
+from meridian.operators import graph, match, spatial, transit
 
 
 def plan(df) -> str:
@@ -84,3 +84,10 @@ def test_best_results_against_all_pairs(spark):
     made = spark.range(3000).selectExpr("1 as query", "id", "id % 1000 as seconds", "array(id % 5, id % 7 + 10) as routes")
     assert transit.best_results(made, 5000).count() == 35
     assert "rank(seconds" in plan(transit.best_results(made, 5))
+
+
+def test_many_checkpointed_rows_are_not_broadcast(spark):
+    """A round's rows pack to a small file, whatever they take in memory."""
+    many = graph.checkpointed(spark.range(300_000).selectExpr("id % 7 as k", "'x' as v"))
+    few = graph.checkpointed(spark.range(10).selectExpr("id as k"))
+    assert "SortMergeJoin" in plan(few.join(many, "k", "left")) and "SortMergeJoin" in plan(many.where("v = 'x'").select("k").join(many.withColumnRenamed("v", "w"), "k"))
