@@ -196,8 +196,8 @@ def _rotate(fp, block: int):
     return fp if k == 0 else F.shiftleft(fp, k).bitwiseOR(F.shiftrightunsigned(fp, 64 - k))
 
 
-def _dealt(fps: DataFrame, budget: int, fp_col: str, seed_col: str | None) -> DataFrame:
-    """Rows (cell, r): rotated fingerprints, dealt to cells that hold every pair within the budget.
+def _dealt(fps: DataFrame, budget: int, fp_col: str, seed_col: str | None, label_col: str | None) -> DataFrame:
+    """Rows (cell, r), with a label (cell, r, label): rotated fingerprints, dealt to cells that hold every pair within the budget.
 
     A cell is the seed and block, the values c <= d of that block on its two sides, and, for
     a subtree that is dealt out further, one plus the pair of its next bits' values (else 0),
@@ -206,7 +206,8 @@ def _dealt(fps: DataFrame, budget: int, fp_col: str, seed_col: str | None) -> Da
     fp = F.col(fp_col)
     seed = F.col(seed_col) if seed_col else F.lit(0)
     rot = F.explode(F.array(*[F.struct((seed * BLOCKS + b).alias("b"), _rotate(fp, b).alias("r")) for b in range(BLOCKS)])).alias("x")
-    rows = fps.select(rot).select("x.b", "x.r", F.shiftrightunsigned("x.r", 64 - BLOCK_BITS).cast("int").alias("top"))
+    label = ["label"] if label_col else []
+    rows = fps.select(rot, *[F.col(label_col).alias("label") for _ in label]).select("x.b", "x.r", F.shiftrightunsigned("x.r", 64 - BLOCK_BITS).cast("int").alias("top"), *label)
     # at most BLOCKS << BLOCK_BITS rows a seed
     sizes = rows.groupBy("b", "top").agg(F.count("*").alias("n"))
     one = F.col("top") == F.col("t")
@@ -219,39 +220,40 @@ def _dealt(fps: DataFrame, budget: int, fp_col: str, seed_col: str | None) -> Da
         big = durable(sizes.where(F.col("n") > HOT_PAIR).select("b", "top"))
         own = F.broadcast(big.withColumn("big", F.lit(True)))
         other = F.broadcast(big.select("b", F.col("top").alias("t"), F.lit(True).alias("big_t")))
-        sized = rows.select("b", "r", "top", flips).join(own, ["b", "top"], "left").join(other, ["b", "t"], "left")
+        sized = rows.select("b", "r", "top", flips, *label).join(own, ["b", "top"], "left").join(other, ["b", "t"], "left")
         hot = F.coalesce("big", "big_t", F.lit(False))
     s = F.shiftrightunsigned("r", 64 - BLOCK_BITS - CELL_BITS).bitwiseAND((1 << CELL_BITS) - 1).cast("int")
     near = F.array(*[s.bitwiseXOR(m) for m in range(1 << CELL_BITS) if m.bit_count() <= budget])
     u = F.explode(F.when(hot, near).otherwise(F.array(F.lit(-1)))).alias("u")
-    rows = sized.select("b", "r", "top", "t", s.alias("s"), u)
+    rows = sized.select("b", "r", "top", "t", s.alias("s"), u, *label)
     split = F.col("u") >= 0
     # inside a subtree the cell with the smaller number is the first side, across two subtrees the smaller subtree
     first = F.when(one, F.least("s", "u")).when(F.col("top") < F.col("t"), F.col("s")).otherwise(F.col("u"))
     pair = F.when(split, first * (1 << CELL_BITS) + F.col("s") + F.col("u") - first + 1).otherwise(0)
     side = F.when(one, split & (F.col("s") > F.col("u"))).otherwise(F.col("top") > F.col("t")).cast("long")
     packed = ((F.col("b").cast("long") * (1 << BLOCK_BITS) + F.least("top", "t")) * (1 << BLOCK_BITS) + F.greatest("top", "t")) * (1 << _PAIR_BITS) + pair
-    return rows.select((packed * 2 + side).alias("cell"), "r")
+    return rows.select((packed * 2 + side).alias("cell"), "r", *label)
 
 
 _PAIR_BITS = 2 * CELL_BITS + 1
 
 
-def links(fps: DataFrame, budget: int = 3, fp_col: str = "fp", seed_col: str | None = None) -> DataFrame:
+def links(fps: DataFrame, budget: int = 3, fp_col: str = "fp", seed_col: str | None = None, label_col: str | None = None) -> DataFrame:
     """A spanning forest, task by task, of distinct fingerprints within budget bits: rows (a, b), each such a pair.
 
     With a column of small seed numbers, fingerprints meet those of their own seed: rows (seed, a, b).
-    Every pair within the budget is joined by a path of rows. Up to three bits, one of
+    Every pair within the budget is joined by a path of rows. With a column of labels (longs
+    from 0, or null), rows between equal labels are left out, so a path may go through a label. Up to three bits, one of
     four blocks agrees; up to seven, one is a single bit off at most. A larger budget
     raises ValueError.
     """
     if not 0 <= budget < 2 * BLOCKS:
         raise ValueError("budget must be 0 to 7")
     whole = F.shiftright("cell", 1)
-    dealt = _dealt(fps, budget, fp_col, seed_col).repartition(whole).sortWithinPartitions("cell", F.expr("r < 0"), "r")
+    dealt = _dealt(fps, budget, fp_col, seed_col, label_col).repartition(whole).sortWithinPartitions("cell", F.expr("r < 0"), "r")
     mask = (1 << CELL_BITS) - 1
 
-    def emit(cell, r):
+    def emit(cell, r, label=None):
         keys = r.view(np.uint64)
         group, side = cell >> 1, cell & 1
         first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
@@ -271,6 +273,9 @@ def links(fps: DataFrame, budget: int = 3, fp_col: str = "fp", seed_col: str | N
             f, n, m, w = first[k], end[k], mid[k], twin[k]
             forest = trie_join(keys, f, np.where(w, m, n), np.where(w, m, f), n, err[k], depth, budget)
             for i, j in forest.edges:
+                if label is not None:
+                    new = (label[i] != label[j]) | (label[i] < 0)
+                    i, j = i[new], j[new]
                 turn = (b[i] % BLOCKS * BLOCK_BITS).astype(np.uint64)
                 back = (np.uint64(64) - turn) % np.uint64(64)
                 x, y = (np.where(turn == 0, v, (v >> turn) | (v << back)).view(np.int64) for v in (keys[i], keys[j]))
@@ -279,7 +284,7 @@ def links(fps: DataFrame, budget: int = 3, fp_col: str = "fp", seed_col: str | N
     def run(it):
         held: list[np.ndarray] | None = None
         for batch in it:
-            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(2)]
+            new = [batch.column(i).fill_null(-1).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
             cur = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
             if not len(cur[0]):
                 continue
@@ -363,12 +368,21 @@ def near_under_any(docs: DataFrame, seeds: tuple[int, ...], id_col: str = "doc_i
     fps = durable(_fingerprints_of(keyed, seeds, words))
     nodes = durable(fps.groupBy("_md5").agg(F.min("_id").alias("least"), *[F.first(n).alias(n) for n in names]).withColumn("node", F.monotonically_increasing_id()))
 
-    def met_under(these: list[str]) -> DataFrame:
+    def met_under(these: list[str], done: DataFrame | None = None) -> DataFrame:
+        """Pairs (a, b), each once; of those that done (node, component) has in one component none."""
         each = F.explode(F.array(*[F.struct(F.lit(k).alias("seed"), F.col(n).alias("fp")) for k, n in enumerate(these)])).alias("s")
         long = nodes.select("node", each).select("node", "s.*")
         rep = durable(long.groupBy("seed", "fp").agg(F.min("node").alias("rep")))
-        same = long.join(rep, ["seed", "fp"]).where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-        met = links(rep.select("seed", "fp"), budget, seed_col="seed")
+        same = long.join(rep, ["seed", "fp"]).where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
+        if done is None:
+            met = links(rep.select("seed", "fp"), budget, seed_col="seed")
+        else:
+            x, y = (done.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in")) for c in ("a", "b"))
+            same = same.join(x, "a", "left").join(y, "b", "left").where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b")
+            labelled = rep.join(done.select(F.col("node").alias("rep"), "component"), "rep", "left")
+            met = links(labelled.select("seed", "fp", "component"), budget, seed_col="seed", label_col="component")
+        # a pair is found in several cells, its fingerprints in either order
+        met = met.select("seed", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         side = lambda c, to: rep.select("seed", F.col("fp").alias(c), F.col("rep").alias(to))
         met = met.join(side("a", "x"), ["seed", "a"]).join(side("b", "y"), ["seed", "b"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         return durable(same.unionByName(met).distinct())
@@ -386,9 +400,7 @@ def near_under_any(docs: DataFrame, seeds: tuple[int, ...], id_col: str = "doc_i
             # what the first seed has joined needs no look under the others
             done = connected_components(edges)
             release(docs.sparkSession)
-            x, y = (done.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in")) for c in ("a", "b"))
-            rest = met_under(names[1:]).join(x, "a", "left").join(y, "b", "left").where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b")
-            edges = edges.unionByName(verified(durable(rest)))
+            edges = edges.unionByName(verified(met_under(names[1:], done)))
     release(docs.sparkSession)
     comps = connected_components(edges)
     named = nodes.join(comps, "node", "left").select("_md5", "least", F.coalesce("component", "node").alias("c"))
