@@ -14,7 +14,7 @@ a source lacks has the share of a count of zero, the same for all such terms.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from urllib.parse import quote
 
 import numpy as np
@@ -46,24 +46,26 @@ _FOLD = bytes(ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(128
 
 
 def tokens(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """Rows (lang, source, terms), one a document: its terms with a blank between, each with its language (percent-encoded) and a slash before it, repeats included."""
+    """Rows (lang, source, terms, more), one a document: its distinct terms, and its repeats of them, with a blank between, each with its language (percent-encoded) and a slash before it."""
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
+        out, more = [], []
         for body, tag in zip(b.column(0), b.column(1), strict=True):
             head = quote(tag.as_py(), safe="").encode() + b"/"
-            words = body.as_py().encode().translate(_FOLD).split()
-            out.append(head + (b" " + head).join(words) if words else None)
-        return pa.record_batch([b.column(1), b.column(2), pa.array(out, pa.string())], names=["lang", "source", "terms"])
+            count = Counter(body.as_py().encode().translate(_FOLD).split())
+            again = [w for w, n in count.items() if n > 1 for _ in range(n - 1)]
+            for to, words in ((out, count), (more, again)):
+                to.append(head + (b" " + head).join(words) if words else None)
+        return pa.record_batch([b.column(1), b.column(2), pa.array(out, pa.string()), pa.array(more, pa.string())], names=["lang", "source", "terms", "more"])
 
     plain = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((text, "text"), (lang, "lang"), (source, "source"))))
-    return batches(plain, "lang string, source string, terms string", batch)
+    return batches(plain, "lang string, source string, terms string, more string", batch)
 
 
 def vocabulary_size(words: DataFrame, min_docs: int) -> int:
     """About how many terms are in at least min_docs documents, by counting one term in ESTIMATE of them. It decides on the number of shards alone."""
-    some = F.filter(F.array_distinct(F.split("terms", " ")), lambda t: F.pmod(F.xxhash64(t), F.lit(ESTIMATE)) == 0)
-    each = words.select(F.explode(some).alias("term")).groupBy("term").count()
+    some = words.select(F.explode(F.split("terms", " ")).alias("term")).where(F.pmod(F.xxhash64("term"), F.lit(ESTIMATE)) == 0)
+    each = some.groupBy("term").count()
     return each.where(F.col("count") >= min_docs).count() * ESTIMATE
 
 
@@ -111,11 +113,12 @@ def term_counts(words: DataFrame, min_docs: int, shard_terms: int) -> DataFrame:
     shards = max(1, -(-vocabulary_size(words, min_docs) // shard_terms))
     # CountVectorizer refuses an empty vocabulary: an empty term, which no text has, is always in it
     filler = spark.range(min_docs, numPartitions=1).select(F.array(F.lit("")).alias("terms"))
-    words = words.where("terms is not null").withColumn("terms", F.split("terms", " "))
+    words = words.where("terms is not null").withColumn("all", F.split(F.concat_ws(" ", "terms", "more"), " ")).withColumn("terms", F.split("terms", " "))
     out = None
     for s in range(shards):
-        part = words if shards == 1 else words.withColumn("terms", F.filter("terms", lambda t, s=s: F.pmod(F.xxhash64(t), F.lit(shards)) == s))
-        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=(1 << 31) - 1).fit(part.select("terms").union(filler))
+        part = words if shards == 1 else words.withColumns({c: F.filter(c, lambda t, s=s: F.pmod(F.xxhash64(t), F.lit(shards)) == s) for c in ("terms", "all")})
+        # the number of documents that have a term needs its repeats in none of them
+        model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=(1 << 31) - 1).fit(part.select("terms").union(filler)).setInputCol("all")
         vector = F.unwrap_udt("vector")
         sums = group_sums(model.transform(part).select("lang", "source", vector["indices"].alias("i"), vector["values"].alias("v")))
         vocabulary = model.vocabulary
