@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import batches, release, stored, table
@@ -247,12 +248,16 @@ def _segment_rows(docs: DataFrame) -> DataFrame:
     return batches(docs.select("_key", "_text"), "anchor long, key long, spot long, again boolean", batch)
 
 
-def _bodies(segs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Rows (anchor, shard, split, key, lo, body) of the segments whose anchor is met more than once."""
-    many = segs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+def _met(segs: DataFrame) -> DataFrame:
+    """Rows (_key, segs): of each document the segments whose anchor is met more than once. All segments are shuffled once."""
+    met = segs.select("anchor", "key", "spot", F.count("*").over(W.partitionBy("anchor")).alias("n")).where("n > 1")
     shards = F.ceil(F.col("n") / SHARD_SEGMENTS).cast("int")
-    met = segs.join(many, "anchor").select("anchor", "key", "spot", F.pmod(F.xxhash64("key"), shards).cast("int").alias("shard"), (shards > 1).alias("split"))
-    met = met.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("anchor", "shard", "split", "spot")).alias("segs"))
+    met = met.select("anchor", "key", "spot", F.pmod(F.xxhash64("key"), shards).cast("int").alias("shard"), (shards > 1).alias("split"))
+    return met.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("anchor", "shard", "split", "spot")).alias("segs"))
+
+
+def _bodies(met: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows (anchor, shard, split, key, lo, body) of the segments of _met()."""
 
     def batch(b: pa.RecordBatch):
         key, texts, segs = b.column(0).to_numpy(), b.column(1), b.column(2)
@@ -398,7 +403,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = keyed.join(copies.select(F.col("key").alias("_key")), "_key", "left_anti")
     segs = stored(_segment_rows(own), "substring-segments")
     release(spark)
-    bodies = _bodies(segs.where("not again"), own)
+    # kept, so that the shuffle of all segments can go before the texts are shuffled
+    met = stored(_met(segs.where("not again")), "substring-met")
+    release(spark)
+    bodies = _bodies(met, own)
     judged = stored(_compare(bodies), "substring-shards")
     release(spark)
     spot = F.shiftright("spot", 8)
