@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def _corners(x: float, y: float, w: float, h: float, angle: float) -> list[tuple[float, float]]:
@@ -82,22 +84,27 @@ def thin_out(lines: DataFrame, per_cell: int, cell: int) -> DataFrame:
     do not end at a cell's limit.
     """
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ord", "id"], ascending=[False, True], kind="stable")
-        count: dict[tuple, int] = {}
-        last: dict[tuple, int] = {}
-        out = []
-        for r in pdf.itertuples():
-            cells = {(p["x"] // cell, p["y"] // cell) for p in r.points}
-            ok = any(count.get(c, 0) < per_cell or last.get(c) == r.ord for c in cells)
-            if ok:
-                for c in cells:
-                    count[c] = count.get(c, 0) + 1
-                    last[c] = r.ord
-            out.append(ok)
-        return pdf.assign(drawn=out)[["tile", "id", "ord", "drawn"]]
-
-    return lines.select("tile", "id", "ord", "points").groupBy("tile").applyInPandas(solve, "tile long, id long, ord int, drawn boolean")
+    def run(it):
+        tile, count, last = object(), {}, {}
+        for b in it:
+            out = []
+            for t, rank, xs, ys in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
+                if t != tile:
+                    tile, count, last = t, {}, {}
+                cells = {(x // cell, y // cell) for x, y in zip(xs or (), ys or (), strict=True)}
+                ok = any(count.get(c, 0) < per_cell or (rank is not None and last.get(c) == rank) for c in cells)
+                if ok:
+                    for c in cells:
+                        count[c] = count.get(c, 0) + 1
+                        last[c] = rank
+                out.append(ok)
+            yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(out, pa.bool_())], names=["tile", "id", "ord", "drawn"])
+
+    # lines come in order, so a task holds the counts of a tile's cells and one batch, not the tile
+    xs, ys = (F.col("points")[c].alias(f"{c}s") for c in ("x", "y"))
+    rows = lines.select(F.col("tile").cast("long").alias("tile"), F.col("id").cast("long").alias("id"), F.col("ord").cast("int").alias("ord"), xs, ys)
+    rows = rows.repartition("tile").sortWithinPartitions("tile", F.desc_nulls_last("ord"), F.asc_nulls_last("id"))
+    return rows.mapInArrow(run, "tile long, id long, ord int, drawn boolean")
 
 
 def wrap(text: str, width: int) -> list[str]:
