@@ -1,9 +1,9 @@
 """Transport routes whose parts come from several sources: put together in rounds until no two parts of a route share a stop.
 
-In a round every part is called or calls, by a coin of its own; at each stop the callers are
-matched with the called in order, a part keeps one match, and matched parts become one. So
-rounds grow with the logarithm of a route's parts, whatever their order, and no route is one
-task's. Ends that a source lacks (missing stops) are then joined with missing ends near by.
+In a round the parts at each stop are matched two by two, a part keeps one match that both
+sides like best, and matched parts become one. So rounds grow with the logarithm of a route's
+parts, not with the number of routes, and no route is one task's; parts that meet no other
+leave the rounds. Ends that a source lacks (missing stops) are then joined with missing ends near by.
 """
 
 from __future__ import annotations
@@ -46,35 +46,47 @@ def merged_at_gap(a: Column, b: Column) -> Column:
     return F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.slice(b, F.lit(2), F.size(b) - 1))
 
 
-def _round(pieces: DataFrame, keys: DataFrame, by: list[str], merge, k: int) -> DataFrame:
-    """pieces after one round of matching. keys: (route, piece, called, *by), where a piece calls or is called."""
-    coin = F.pmod(F.xxhash64("route", "piece", F.lit(k)), F.lit(2)) == 0
-    side = keys.where(F.col("called") == coin)
-    order = W.partitionBy("route", *by, "called").orderBy(F.xxhash64("piece", F.lit(k)), "piece")
-    side = side.withColumn("_n", F.row_number().over(order))
-    pair = side.where("called").select("route", *by, "_n", F.col("piece").alias("a")).join(side.where("not called").select("route", *by, "_n", F.col("piece").alias("b")), ["route", *by, "_n"])
-    pair = pair.groupBy("route", "b").agg(F.min("a").alias("a")).groupBy("route", "a").agg(F.min("b").alias("b"))
-    pair = checkpointed(pair)
-    one = pieces.select("route", F.col("piece").alias("a"), F.col("stops").alias("_a"))
-    two = pieces.select("route", F.col("piece").alias("b"), F.col("stops").alias("_b"))
-    new = pair.join(one, ["route", "a"]).join(two, ["route", "b"]).select("route", F.col("a").alias("piece"), merge(F.col("_a"), F.col("_b")).alias("stops"))
-    used = pair.select("route", F.col("a").alias("piece")).union(pair.select("route", "b"))
-    return checkpointed(pieces.join(used, ["route", "piece"], "left_anti").unionByName(new))
+def _round(pieces: DataFrame, open_: DataFrame, edges: DataFrame, merge, k: int) -> tuple[DataFrame, DataFrame]:
+    """(pieces that are done, the others after one round of matching). open_: (route, piece), those that may still meet another; edges: (route, a, b), pieces that may become one, a's stops first.
+
+    An edge is taken if both its pieces like it best, so every route with edges gets one shorter at least.
+    """
+    e = edges.distinct().withColumn("_e", F.struct(F.xxhash64("route", "a", "b", F.lit(k)).alias("h"), "a", "b"))
+    e = e.select("route", "_e", F.explode(F.array("a", "b")).alias("piece"))
+    best = e.groupBy("route", "piece").agg(F.min("_e").alias("_e")).select("route", "_e.a", "_e.b")
+    pair = checkpointed(best.groupBy("route", "a", "b").count().where("count = 2").select("route", "a", "b"))
+    tag = open_.select("route", "piece", F.lit(None).cast("long").alias("a")).union(pair.select("route", F.col("a").alias("piece"), "a")).union(pair.select("route", "b", "a"))
+    tag = tag.groupBy("route", "piece").agg(F.max("a").alias("a"), F.lit(True).alias("_open"))
+    marked = checkpointed(pieces.join(tag, ["route", "piece"], "left"))
+    one = marked.where("a = piece").select("route", "a", F.col("stops").alias("_a"))
+    two = marked.where("a <> piece").select("route", "a", F.col("stops").alias("_b"))
+    new = one.join(two, ["route", "a"]).select("route", F.col("a").alias("piece"), merge(F.col("_a"), F.col("_b")).alias("stops"))
+    cols = ("route", "piece", "stops")
+    return marked.where("_open is null").select(*cols), checkpointed(marked.where("_open and a is null").select(*cols).unionByName(new))
 
 
 def join_parts(parts: DataFrame, reach: int) -> DataFrame:
     """Rows (route, piece, stops): parts (route, part, stops) of all sources put together; what shares no stop and has no missing end within reach of another stays apart.
 
-    Repeated parts and stops of overlapping parts are there once. A part of one stop is left out.
+    Repeated parts and stops of overlapping parts are there once. A part of one stop is left
+    out. Merging adds no stops or ends to a route, so a piece that meets no other now never
+    will, and is left out of the rounds that follow.
     """
-    pieces, k = checkpointed(segments(parts)), 0
+    pieces, k, done = checkpointed(segments(parts)), 0, []
     while True:
-        stops = pieces.select("route", "piece", F.explode("stops").alias("s")).where("s.id > 0").select("route", "piece", F.col("s.id").alias("id")).distinct()
-        shared = checkpointed(stops.join(stops.groupBy("route", "id").agg(F.count("*").alias("_n")).where("_n > 1").select("route", "id"), ["route", "id"]))
+        ids = F.array_distinct(F.transform(F.filter("stops", lambda s: s["id"] > 0), lambda s: s["id"]))
+        stops = pieces.select("route", "piece", F.explode(ids).alias("id"))
+        shared = checkpointed(stops.withColumn("_n", F.count("*").over(W.partitionBy("route", "id"))).where("_n > 1").drop("_n"))
         if shared.isEmpty():
             break
-        both = shared.withColumn("called", F.explode(F.array(F.lit(True), F.lit(False))))
-        pieces, k = _round(pieces, both, ["id"], merged_at_stop, k), k + 1
+        # at each stop the first goes with the second, the third with the fourth
+        order = W.partitionBy("route", "id").orderBy(F.xxhash64("piece", F.lit(k)), "piece")
+        two = shared.withColumns({"_n": F.row_number().over(order), "b": F.lead("piece").over(order)}).where("_n % 2 = 1 and b is not null")
+        (out, pieces), k = _round(pieces, shared.select("route", "piece"), two.select("route", F.col("piece").alias("a"), "b"), merged_at_stop, k), k + 1
+        done.append(out)
+    for out in done:
+        pieces = pieces.unionByName(out)
+    done = []
     while True:
         last, first = F.element_at("stops", -1), F.col("stops")[0]
         cell = lambda v: F.floor(v / reach)
@@ -83,10 +95,13 @@ def join_parts(parts: DataFrame, reach: int) -> DataFrame:
         around = F.explode(F.array(*[F.struct((cell(F.col("t.x")) + i).alias("cx"), (cell(F.col("t.y")) + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("c")
         far = F.sqrt(F.pow((F.col("s.x") - F.col("t.x")).cast("double"), F.lit(2)) + F.pow((F.col("s.y") - F.col("t.y")).cast("double"), F.lit(2)))
         near = ends.join(begins.select("route", "b", "t", around).select("route", "b", "t", "c.cx", "c.cy"), ["route", "cx", "cy"]).where((F.col("piece") != F.col("b")) & (far < reach))
-        # each end takes its nearest beginning, each beginning the nearest end of those
-        best = near.groupBy("route", "piece").agg(F.min(F.struct(far.alias("d"), "b")).alias("m")).groupBy("route", F.col("m.b").alias("b")).agg(F.min(F.struct("m.d", "piece")).alias("m"))
-        link = checkpointed(best.select("route", F.col("m.piece").alias("piece"), F.concat_ws("-", F.col("m.piece").cast("string"), F.col("b").cast("string")).alias("link"), "b"))
-        if link.isEmpty():
+        near = checkpointed(near.select("route", "piece", "b", far.alias("d")))
+        if near.isEmpty():
+            for out in done:
+                pieces = pieces.unionByName(out)
             return pieces
-        keys = link.select("route", "piece", F.lit(True).alias("called"), "link").union(link.select("route", "b", F.lit(False), "link"))
-        pieces, k = _round(pieces, keys, ["link"], merged_at_gap, k), k + 1
+        # each end takes its nearest beginning, each beginning the nearest end of those
+        best = near.groupBy("route", "piece").agg(F.min(F.struct("d", "b")).alias("m")).groupBy("route", F.col("m.b").alias("b")).agg(F.min(F.struct("m.d", "piece")).alias("m"))
+        link = best.select("route", F.col("m.piece").alias("a"), "b")
+        (out, pieces), k = _round(pieces, near.select("route", "piece").union(near.select("route", "b")), link, merged_at_gap, k), k + 1
+        done.append(out)
