@@ -33,6 +33,11 @@ def _code(n: str) -> Column:
     return F.lit(CODES[n])
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def speak_priority(highway: Column) -> Column:
     """0 for main roads to 5 for roads that turns need not name."""
     h = F.coalesce(highway, F.lit(""))
@@ -92,7 +97,8 @@ def split_structure(route: DataFrame, attached: DataFrame) -> DataFrame:
     r = route.select("route", "seq", F.col("bearing_begin").alias("cur"), F.col("turn_lanes").alias("_own"), speak_priority(F.col("highway")).alias("_prio"), lag("bearing_begin", "_pb"), lag("bearing_end", "_pe"), lag("turn_lanes", "_pl"), lag(speak_priority(F.col("highway")), "_pp"))
     a = attached.where("not coalesce(restricted, false)").select("route", "seq", "bearing", F.greatest(F.coalesce("lanes", F.lit(1)), F.lit(1)).alias("n"), F.col("turn_lanes").alias("_al"), speak_priority(F.col("highway")).alias("prio"))
     j = a.join(r.where("_pe is not null"), ["route", "seq"])
-    had, own = directions(parse(F.col("_pl"))), directions(parse(F.col("_own")))
+    j = j.withColumns({"_had": directions(parse(F.col("_pl"))), "_has": directions(parse(F.col("_own")))})
+    had, own = F.col("_had"), F.col("_has")
     off = angle.degrees_diff(F.col("bearing"), F.col("cur"))
     straight = F.abs(angle.degrees_diff(F.col("_pe"), F.col("bearing"))) < TURN_ANGLE
     near = F.abs(off) < TURN_ANGLE
@@ -125,16 +131,22 @@ def active_range(lanes: Column, left: Column, right: Column, before: Column, now
     before, now: lanes before and after; leaving: lanes of the roads that leave. Where these
     add up and all leave to one side the count decides, else the directions of the lanes.
     """
-    d, n = directions(lanes), F.size(lanes)
-    start, end = F.get(d, left), F.get(d, F.size(d) - right - 1)
-    has = lambda t: F.transform(lanes, lambda v: F.array_contains(v["turns"], t))
-    first = F.array_position(has(start), True).cast("int") - 1
-    last = n - F.array_position(F.reverse(has(end)), True).cast("int")
+    n = F.size(lanes)
     by_count = (now > 0) & (before > now) & (before == now + leaving)
     made = lambda a, b, t: F.struct(a.cast("int").alias("first"), b.cast("int").alias("last"), t.alias("turn"))
-    out = F.when((n == 0) | (left + right >= F.size(d)), None)
-    out = out.when(by_count & (left == 0) & (right > 0), made(F.lit(0), now - 1, F.get(d, F.lit(0)))).when(by_count & (left > 0) & (right == 0), made(n - now, n - 1, F.get(d, left)))
-    return out.otherwise(made(first, last, start))
+    has = lambda t: F.transform(lanes, lambda v: F.array_contains(v["turns"], t))
+
+    def span(d: Column) -> Column:
+        def by_turns(v: Column) -> Column:
+            first = F.array_position(has(v["start"]), True).cast("int") - 1
+            last = n - F.array_position(F.reverse(has(v["end"])), True).cast("int")
+            return made(first, last, v["start"])
+
+        out = F.when((n == 0) | (left + right >= F.size(d)), None)
+        out = out.when(by_count & (left == 0) & (right > 0), made(F.lit(0), now - 1, F.get(d, F.lit(0)))).when(by_count & (left > 0) & (right == 0), made(n - now, n - 1, F.get(d, left)))
+        return out.otherwise(_let(F.struct(F.get(d, left).alias("start"), F.get(d, F.size(d) - right - 1).alias("end")), by_turns))
+
+    return _let(directions(lanes), span)
 
 
 def activated(lanes: Column, span: Column) -> Column:
@@ -157,7 +169,7 @@ def lanes_for(lanes: Column, span: Column, main: Column) -> Column:
     serves = F.exists(some, lambda v: allows(main, v["turns"][0], span["first"] == 0, span["last"] == F.size(lanes) - 1))
     ranged = F.coalesce((span["first"] >= 0) & (span["last"] >= span["first"]) & (span["last"] < F.size(lanes)) & serves, F.lit(False))
     inside = lambda i: F.coalesce((i >= span["first"]) & (i <= span["last"]), F.lit(False))
-    return F.transform(lanes, lambda v, i: _lane(v["turns"], F.when(ranged, inside(i) & allows(main, v["turns"][0])).otherwise(v["turns"][0] == main)))
+    return _let(ranged, lambda r: F.transform(lanes, lambda v, i: _lane(v["turns"], F.when(r, inside(i) & allows(main, v["turns"][0])).otherwise(v["turns"][0] == main))))
 
 
 def active_turn(lanes: Column, old: Column) -> Column:
@@ -187,56 +199,75 @@ def _active(lanes: Column) -> tuple[Column, Column, Column]:
 
 def merged(lanes: Column, after: Column) -> Column:
     """Lanes narrowed to those that suit the lanes of the next turn: as many on the left or right as it takes there, or the middle ones for a turn between."""
-    a0, a1, n = _active(lanes)
-    t0, t1, m = _active(after)
-    size, size_t = F.size(lanes), F.size(after)
-    straight = F.transform(F.sequence(a0, F.greatest(a1, a0)), lambda i: F.array_contains(F.get(lanes, i)["turns"], CODES["C"]))
-    n_straight = F.size(F.filter(straight, lambda v: v))
-    s0 = a0 + F.array_position(straight, True).cast("int") - 1
-    span = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
-    # cut at the edges, then half of what is still too much from each side
-    e0, e1 = a0 + (a0 == 0).cast("int"), a1 - (a1 == size - 1).cast("int")
-    spare = (n - (a0 == 0).cast("int") - (a1 == size - 1).cast("int") - m) / 2
-    middle = F.when(spare > 0, span(F.floor(e0 + spare), F.ceil(e1 - spare))).otherwise(span(e0, e1))
-    between = F.when(size_t == n, span(a0 + t0, a0 + t1)).when((n_straight > 0) & (n_straight <= m), span(s0, s0 + n_straight - 1)).otherwise(middle)
-    new = F.when((n < 2) | (t0 < 0) | (m >= n), None).when(t0 == 0, span(a0, a1 - (n - m))).when(t1 == size_t - 1, span(a0 + (n - m), a1)).otherwise(between)
-    return F.when(new.isNull(), lanes).otherwise(F.transform(lanes, lambda v, i: _lane(v["turns"], v["on"] & (i >= new["a"]) & (i <= new["b"]))))
+    def cut(v: Column) -> Column:
+        a0, a1, n, t0, t1, m = (v[c] for c in ("a0", "a1", "n", "t0", "t1", "m"))
+        size, size_t = F.size(lanes), F.size(after)
+        straight = F.transform(F.sequence(a0, F.greatest(a1, a0)), lambda i: F.array_contains(F.get(lanes, i)["turns"], CODES["C"]))
+        span = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
+        # cut at the edges, then half of what is still too much from each side
+        e0, e1 = a0 + (a0 == 0).cast("int"), a1 - (a1 == size - 1).cast("int")
+        spare = (n - (a0 == 0).cast("int") - (a1 == size - 1).cast("int") - m) / 2
+        middle = F.when(spare > 0, span(F.floor(e0 + spare), F.ceil(e1 - spare))).otherwise(span(e0, e1))
+
+        def between(g: Column) -> Column:
+            n_straight, s0 = F.size(F.filter(g, lambda x: x)), a0 + F.array_position(g, True).cast("int") - 1
+            return F.when((n_straight > 0) & (n_straight <= m), span(s0, s0 + n_straight - 1)).otherwise(middle)
+
+        new = F.when((n < 2) | (t0 < 0) | (m >= n), None).when(t0 == 0, span(a0, a1 - (n - m))).when(t1 == size_t - 1, span(a0 + (n - m), a1))
+        return new.when(size_t == n, span(a0 + t0, a0 + t1)).otherwise(_let(straight, between))
+
+    ends = [c.alias(k) for k, c in zip(("a0", "a1", "n", "t0", "t1", "m"), (*_active(lanes), *_active(after)), strict=True)]
+    put = lambda new: F.when(new.isNull(), lanes).otherwise(F.transform(lanes, lambda v, i: _lane(v["turns"], v["on"] & (i >= new["a"]) & (i <= new["b"]))))
+    return _let(_let(F.struct(*ends), cut), put)
 
 
 def common_lane(lanes: Column, turn: Column, next_turn: Column, next_lanes: Column, may_left: Column, may_right: Column) -> Column:
     """One turn for all lanes to be taken: their only one, or the next turn's where the way goes straight on towards it; lanes without it are not to be taken."""
     on = F.filter(lanes, lambda v: v["on"])
-    have = directions(on)
-    ahead = F.coalesce(F.get(F.filter(next_lanes, lambda v: v["on"]), F.lit(0))["turns"][0], F.lit(-1))
+    first = F.coalesce(F.get(F.filter(next_lanes, lambda v: v["on"]), F.lit(0))["turns"][0], F.lit(-1))
     keeps = _in(turn, KEEP)
-    taken = keeps & F.array_contains(have, next_turn)
-    one = F.when(F.size(have) == 1, have[0])
-    one = one.when(taken & may_left & _in(next_turn, LEFT), next_turn).when(taken & may_left & _in(ahead, LEFT), ahead)
-    one = one.when(taken & may_right & _in(next_turn, RIGHT), next_turn).when(taken & may_right & _in(ahead, RIGHT), ahead).when(taken & _in(ahead, KEEP), ahead)
-    one = F.coalesce(one, F.when(~_in(turn, ("KL", "KR")), turn))
-    put = lambda v: F.when(~v["on"] | (v["turns"][0] == one), v).when(F.array_contains(v["turns"], one), _lane(swapped(v["turns"], one), v["on"])).otherwise(_lane(v["turns"], F.size(lanes) == 1))
-    return F.when(one.isNull(), lanes).otherwise(F.transform(lanes, put))
+
+    def common(v: Column) -> Column:
+        have, ahead = v["have"], v["ahead"]
+        taken = keeps & F.array_contains(have, next_turn)
+        one = F.when(F.size(have) == 1, have[0])
+        one = one.when(taken & may_left & _in(next_turn, LEFT), next_turn).when(taken & may_left & _in(ahead, LEFT), ahead)
+        one = one.when(taken & may_right & _in(next_turn, RIGHT), next_turn).when(taken & may_right & _in(ahead, RIGHT), ahead).when(taken & _in(ahead, KEEP), ahead)
+        return F.coalesce(one, F.when(~_in(turn, ("KL", "KR")), turn))
+
+    def put(one: Column) -> Column:
+        lane = lambda v: F.when(~v["on"] | (v["turns"][0] == one), v).when(F.array_contains(v["turns"], one), _lane(swapped(v["turns"], one), v["on"])).otherwise(_lane(v["turns"], F.size(lanes) == 1))
+        return F.when(one.isNull(), lanes).otherwise(F.transform(lanes, lane))
+
+    return _let(_let(F.struct(directions(on).alias("have"), first.alias("ahead")), common), put)
 
 
 def narrowed(turns: DataFrame) -> DataFrame:
     """Rows (route, seq, turn, lanes) with lanes that suit the next turn of the route too, where it is near.
 
     turns: (route, seq, turn, lanes, gap, highway, may_left, may_right), gap the way to the route's
-    next row. Each round takes the next row's lanes as the last round left them; rounds go
-    on until no lane changes, so chains of near turns are followed to their ends.
+    next row. Each round takes the next row's lanes as the last round left them, in those rows whose
+    next row changed; rounds go on until no lane changes, so chains of near turns are followed
+    to their ends. After k rounds the last k + 1 rows of a chain are done and left out.
     """
-    w = W.partitionBy("route").orderBy("seq")
+    # rows run backwards, so the one before is the next of the route
+    w = W.partitionBy("route").orderBy(F.desc("seq"))
     fast = F.coalesce(F.col("highway"), F.lit("")).rlike("^(trunk|motorway)")
-    rows = checkpointed(turns.where(F.size("lanes") > 0).withColumn("now", F.col("lanes")))
+    near = F.coalesce(F.lag("lanes").over(w).isNotNull() & (F.col("gap") < F.when(fast, NEAR_FAST).otherwise(NEAR)), F.lit(False))
+    rows = turns.where(F.size("lanes") > 0).withColumns({"_near": near, "_turn": F.lag("turn").over(w), "_k": F.row_number().over(w)})
+    depth = F.col("_k") - F.max(F.when(~F.col("_near"), F.col("_k"))).over(w)
+    now = F.when(F.col("_near"), F.col("lanes")).otherwise(from_turn(F.col("lanes"), F.col("turn")))
+    cols = ("route", "seq", "turn", "lanes", "may_left", "may_right", "_turn", "_depth")
+    rows = checkpointed(rows.withColumn("_depth", depth).select(*cols, now.alias("now"), F.lit(True).alias("_moved")))
+    out, k = rows.where("_depth = 0"), 1
     while True:
-        ahead = rows.withColumns({"_lanes": F.lead("now").over(w), "_turn": F.lead("turn").over(w)})
-        near = F.col("_lanes").isNotNull() & (F.col("gap") < F.when(fast, NEAR_FAST).otherwise(NEAR))
-        cut = ahead.withColumn("_cut", merged(F.col("lanes"), F.col("_lanes")))
-        put = F.when(near, common_lane(F.col("_cut"), F.col("turn"), F.col("_turn"), F.col("_lanes"), F.col("may_left"), F.col("may_right"))).otherwise(from_turn(F.col("lanes"), F.col("turn")))
-        new = checkpointed(cut.withColumn("_new", put).withColumn("_moved", F.col("_new") != F.col("now")).select(*turns.columns, F.col("_new").alias("now"), "_moved"))
-        rows = new.drop("_moved")
-        if new.where("_moved").isEmpty():
-            return rows.select("route", "seq", "turn", F.col("now").alias("lanes"))
+        ahead = rows.withColumns({"_lanes": F.lag("now").over(w), "_go": F.lag("_moved").over(w)}).where(F.col("_depth") >= k)
+        cut = ahead.withColumn("_cut", F.when(F.col("_go"), merged(F.col("lanes"), F.col("_lanes"))))
+        put = F.when(F.col("_go"), common_lane(F.col("_cut"), F.col("turn"), F.col("_turn"), F.col("_lanes"), F.col("may_left"), F.col("may_right"))).otherwise(F.col("now"))
+        rows = checkpointed(cut.withColumn("_new", put).select(*cols, F.col("_new").alias("now"), (F.col("_new") != F.col("now")).alias("_moved")))
+        if rows.where("_moved").isEmpty():
+            return out.unionByName(rows).select("route", "seq", "turn", F.col("now").alias("lanes"))
+        out, k = out.unionByName(rows.where(F.col("_depth") == k)), k + 1
 
 
 def guidance(route: DataFrame, attached: DataFrame) -> DataFrame:
