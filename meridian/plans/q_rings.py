@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import roundabouts
+from .views import by_order
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -98,7 +99,7 @@ small as (select m.route, m.seq, cast(1 + case when coalesce(m.clockwise, false)
 select * from big union all select * from small""",
 )
 def ring_turns(spark, d):
-    r = spark.sql(ROUTES.replace("from lineitem", "from {t}"), t=spark.read.parquet(f"{d}/lineitem.parquet"))
+    r = spark.sql(ROUTES.replace("from lineitem", "from {t}"), t=by_order(spark, d))
     n = F.col("q") % 4
     arms = F.when(n > 0, F.transform(F.sequence(F.lit(1), n.cast("int")), lambda k: (F.col("q") * k * 67).cast("double")))
     return roundabouts.ring_turns(r.withColumn("attached", arms)).where("exit is not null").select("route", "seq", "exit", "ring_angle")
