@@ -30,6 +30,8 @@ BLOCKS = 4
 SEEDS = (42, 43, 44, 45, 46, 47)
 #: Exact Jaccard similarity that a link of one_of_each() has.
 SIMILARITY = 0.8
+#: Seeds under which all pairs between components are sought in one shuffle.
+SEEDS_AT_ONCE = 3
 #: Pairs of one text that are verified in one task.
 STAR = 256
 BLOCK_BITS = 16
@@ -115,21 +117,29 @@ class _Forest:
 
 
 def trie_join(keys: np.ndarray, lo1, hi1, lo2, hi2, err, depth: int, budget: int, chunk: int = 1 << 16) -> _Forest:
-    """A forest of the keys linked within the budget, by walking pairs of trie nodes.
+    """A forest of the keys linked within the budget, by walking pairs of trie nodes as trie_pairs() does. Nearer pairs are joined first."""
+    forest = _Forest(len(keys))
+    for i, j, off in trie_pairs(keys, lo1, hi1, lo2, hi2, err, depth, budget, forest.root, chunk):
+        for bits in range(budget + 1):
+            k = off == bits
+            forest.join(i[k], j[k])
+    return forest
+
+
+def trie_pairs(keys: np.ndarray, lo1, hi1, lo2, hi2, err, depth: int, budget: int, root: np.ndarray, chunk: int = 1 << 16):
+    """Arrays (i, j, bits apart) of the pairs of keys within the budget, by walking pairs of trie nodes.
 
     keys: uint64, sorted inside each node. A node is a range of keys that agree on
     their first depth bits; pair k is nodes [lo1, hi1) and [lo2, hi2) with err[k] bits
-    apart so far (the same range twice: a node with itself). Nearer pairs are joined
-    first. Frontiers are walked depth first in chunks, so
-    memory follows the chunk, not the number of pairs.
+    apart so far (the same range twice: a node with itself). Pairs of nodes all of whose keys
+    have one root are passed over; the caller may join roots as it goes. Frontiers are walked
+    depth first in chunks, so memory follows the chunk, not the number of pairs.
     """
-    forest = _Forest(len(keys))
     start = [np.asarray(x, dtype=np.int64) for x in (lo1, hi1, lo2, hi2, err)]
     stack = [(depth, [x[k : k + chunk] for x in start]) for k in range(0, len(start[0]), chunk)][::-1]
     while stack:
         d, (a0, a1, b0, b1, e) = stack.pop()
         # a pair of nodes that already hang together wholly has nothing to add
-        root = forest.root
         change = np.concatenate(([0], np.cumsum(root[1:] != root[:-1]))) if len(root) else root
         one = (change[a0] == change[a1 - 1]) & (change[b0] == change[b1 - 1]) & (root[a0] == root[b0])
         same = (a0 == b0) & (a1 == b1)
@@ -149,10 +159,7 @@ def trie_join(keys: np.ndarray, lo1, hi1, lo2, hi2, err, depth: int, budget: int
                 i, j = np.repeat(a0[leaf][k], s) + off // w, np.repeat(b0[leaf][k], s) + off % w
                 off = np.bitwise_count(keys[i] ^ keys[j])
                 near = np.flatnonzero((off <= budget) & (i != j))
-                i, j, off = i[near], j[near], off[near]
-                for bits in range(budget + 1):
-                    k = off == bits
-                    forest.join(i[k], j[k])
+                yield i[near], j[near], off[near]
         a0, a1, b0, b1, e, same = (x[~leaf] for x in (a0, a1, b0, b1, e, same))
         if not len(a0):
             continue
@@ -165,7 +172,6 @@ def trie_join(keys: np.ndarray, lo1, hi1, lo2, hi2, err, depth: int, budget: int
         for k in nxt:
             for c in range(0, len(k[0]), chunk):
                 stack.append((d + 1, [x[c : c + chunk] for x in k]))
-    return forest
 
 
 def _cuts(ends: np.ndarray, most: int):
@@ -196,18 +202,20 @@ def _rotate(fp, block: int):
     return fp if k == 0 else F.shiftleft(fp, k).bitwiseOR(F.shiftrightunsigned(fp, 64 - k))
 
 
-def _dealt(fps: DataFrame, budget: int, fp_col: str, seed_col: str | None, label_col: str | None) -> DataFrame:
-    """Rows (cell, r), with a label (cell, r, label): rotated fingerprints, dealt to cells that hold every pair within the budget.
+def _dealt(fps: DataFrame, budget: int, fp_col: str, seed_col: str | None, *also: str) -> DataFrame:
+    """Rows (cell, r, also...): rotated fingerprints, dealt to cells that hold every pair within the budget.
 
     A cell is the seed and block, the values c <= d of that block on its two sides, and, for
     a subtree that is dealt out further, one plus the pair of its next bits' values (else 0),
     packed into a long whose last bit is the side.
     """
+    if not 0 <= budget < 2 * BLOCKS:
+        raise ValueError("budget must be 0 to 7")
     fp = F.col(fp_col)
     seed = F.col(seed_col) if seed_col else F.lit(0)
     rot = F.explode(F.array(*[F.struct((seed * BLOCKS + b).alias("b"), _rotate(fp, b).alias("r")) for b in range(BLOCKS)])).alias("x")
-    label = ["label"] if label_col else []
-    rows = fps.select(rot, *[F.col(label_col).alias("label") for _ in label]).select("x.b", "x.r", F.shiftrightunsigned("x.r", 64 - BLOCK_BITS).cast("int").alias("top"), *label)
+    label = [f"_{k}" for k in range(len(also))]
+    rows = fps.select(rot, *[F.col(c).alias(n) for c, n in zip(also, label, strict=True)]).select("x.b", "x.r", F.shiftrightunsigned("x.r", 64 - BLOCK_BITS).cast("int").alias("top"), *label)
     # at most BLOCKS << BLOCK_BITS rows a seed
     sizes = rows.groupBy("b", "top").agg(F.count("*").alias("n"))
     one = F.col("top") == F.col("t")
@@ -247,32 +255,11 @@ def links(fps: DataFrame, budget: int = 3, fp_col: str = "fp", seed_col: str | N
     four blocks agrees; up to seven, one is a single bit off at most. A larger budget
     raises ValueError.
     """
-    if not 0 <= budget < 2 * BLOCKS:
-        raise ValueError("budget must be 0 to 7")
-    whole = F.shiftright("cell", 1)
-    dealt = _dealt(fps, budget, fp_col, seed_col, label_col).repartition(whole).sortWithinPartitions("cell", F.expr("r < 0"), "r")
-    mask = (1 << CELL_BITS) - 1
 
     def emit(cell, r, label=None):
         keys = r.view(np.uint64)
-        group, side = cell >> 1, cell & 1
-        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-        end = np.r_[first[1:], len(r)]
-        mid = first + np.add.reduceat(1 - side, first)
-        g = group[first]
-        pair, d, c = g & ((1 << _PAIR_BITS) - 1), (g >> _PAIR_BITS) & 0xFFFF, (g >> (_PAIR_BITS + BLOCK_BITS)) & 0xFFFF
-        b = group >> (_PAIR_BITS + 2 * BLOCK_BITS)
-        s, t = (pair - 1) >> CELL_BITS & mask, (pair - 1) & mask
-        twin = (c != d) | ((pair > 0) & (s != t))
-        err = np.bitwise_count(c ^ d).astype(np.int64) + np.where(pair > 0, np.bitwise_count(s ^ t), 0)
-        ok = np.where(twin, (mid > first) & (mid < end), end - first > 1) & (err <= budget)
-        for deep, depth in ((pair == 0, BLOCK_BITS), (pair > 0, BLOCK_BITS + CELL_BITS)):
-            k = np.flatnonzero(ok & deep)
-            if not len(k):
-                continue
-            f, n, m, w = first[k], end[k], mid[k], twin[k]
-            forest = trie_join(keys, f, np.where(w, m, n), np.where(w, m, f), n, err[k], depth, budget)
-            for i, j in forest.edges:
+        for b, start in _met(cell, budget):
+            for i, j in trie_join(keys, *start, budget).edges:
                 if label is not None:
                     new = (label[i] != label[j]) | (label[i] < 0)
                     i, j = i[new], j[new]
@@ -281,6 +268,60 @@ def links(fps: DataFrame, budget: int = 3, fp_col: str = "fp", seed_col: str | N
                 x, y = (np.where(turn == 0, v, (v >> turn) | (v << back)).view(np.int64) for v in (keys[i], keys[j]))
                 yield pa.record_batch([pa.array(b[i] // BLOCKS), pa.array(x), pa.array(y)], names=["seed", "a", "b"])
 
+    out = _by_cells(_dealt(fps, budget, fp_col, seed_col, *([label_col] if label_col else [])), emit, "seed long, a long, b long")
+    return out if seed_col else out.select("a", "b")
+
+
+def pairs_apart(nodes: DataFrame, budget: int, fp_col: str, seed_col: str, node_col: str, label_col: str) -> DataFrame:
+    """Every pair (a, b), a < b, of nodes with unequal labels whose fingerprints under a seed are within budget bits; once for each such seed.
+
+    nodes: rows with a fingerprint, a small seed number, and longs from 0 that name node and label.
+    A pair meets in as many cells as it has blocks that are near enough, and is told in the first of them.
+    """
+
+    def emit(cell, r, node, label):
+        keys = r.view(np.uint64)
+        root = np.unique(label, return_inverse=True)[1]
+        for b, start in _met(cell, budget):
+            for i, j, _ in trie_pairs(keys, *start, budget, root):
+                k = (i < j) & (root[i] != root[j])  # a node met with itself has each pair twice
+                i, j = i[k], j[k]
+                off, own, first = keys[i] ^ keys[j], b[i] % BLOCKS, np.ones(len(i), bool)
+                for n in range(1, BLOCKS):  # a block before the cell's own lies to the right of it, the nearest last
+                    ahead = np.bitwise_count((off >> np.uint64(BLOCK_BITS * (n - 1))) & np.uint64((1 << BLOCK_BITS) - 1))
+                    first &= (n > own) | (ahead > (0 if budget < BLOCKS else 1))
+                if first.any():
+                    x, y = node[i[first]], node[j[first]]
+                    yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    return _by_cells(_dealt(nodes, budget, fp_col, seed_col, node_col, label_col), emit, "a long, b long")
+
+
+def _met(cell: np.ndarray, budget: int):
+    """(seed and block of each row, pairs of trie nodes to walk: lo1, hi1, lo2, hi2, err, depth) for the cells of sorted rows."""
+    mask = (1 << CELL_BITS) - 1
+    group, side = cell >> 1, cell & 1
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    end = np.r_[first[1:], len(cell)]
+    mid = first + np.add.reduceat(1 - side, first)
+    g = group[first]
+    pair, d, c = g & ((1 << _PAIR_BITS) - 1), (g >> _PAIR_BITS) & 0xFFFF, (g >> (_PAIR_BITS + BLOCK_BITS)) & 0xFFFF
+    b = group >> (_PAIR_BITS + 2 * BLOCK_BITS)
+    s, t = (pair - 1) >> CELL_BITS & mask, (pair - 1) & mask
+    twin = (c != d) | ((pair > 0) & (s != t))
+    err = np.bitwise_count(c ^ d).astype(np.int64) + np.where(pair > 0, np.bitwise_count(s ^ t), 0)
+    ok = np.where(twin, (mid > first) & (mid < end), end - first > 1) & (err <= budget)
+    for deep, depth in ((pair == 0, BLOCK_BITS), (pair > 0, BLOCK_BITS + CELL_BITS)):
+        k = np.flatnonzero(ok & deep)
+        if len(k):
+            f, n, m, w = first[k], end[k], mid[k], twin[k]
+            yield b, (f, np.where(w, m, n), np.where(w, m, f), n, err[k], depth)
+
+
+def _by_cells(dealt: DataFrame, emit, schema: str) -> DataFrame:
+    """What emit makes of the rows of _dealt(): it gets their columns as arrays, whole cells in order."""
+    dealt = dealt.repartition(F.shiftright("cell", 1)).sortWithinPartitions("cell", F.expr("r < 0"), "r")
+
     def run(it):
         held: list[np.ndarray] | None = None
         for batch in it:
@@ -298,8 +339,7 @@ def links(fps: DataFrame, budget: int = 3, fp_col: str = "fp", seed_col: str | N
         if held is not None and len(held[0]):
             yield from emit(*held)
 
-    out = dealt.mapInArrow(run, "seed long, a long, b long")
-    return out if seed_col else out.select("a", "b")
+    return dealt.mapInArrow(run, schema)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, budget: int = 3) -> DataFrame:
@@ -359,7 +399,8 @@ def near_under_any(docs: DataFrame, seeds: tuple[int, ...], id_col: str = "doc_i
     costs a pass of hashing and a join each, where a larger budget would cost the square
     of the corpus. With a similarity, only links between texts that have it stand: the
     links of the first seed's forest, nearest fingerprints first, are verified on the texts,
-    then those of the other seeds between texts that are not joined yet.
+    then those of the other seeds between texts that are not joined yet, and last every pair
+    under any seed whose texts are still apart, so a link that does not stand hides no other.
     component_id is the smallest id of a component. Rows with a null id have a component
     like any other and take no part in its minimum.
     """
@@ -392,15 +433,32 @@ def near_under_any(docs: DataFrame, seeds: tuple[int, ...], id_col: str = "doc_i
         texts = stored(keyed.join(met, "_md5").groupBy("node").agg(F.first("_text").alias("text")), "simhash-texts")
         return durable(similar(pairs, texts, words, similarity))
 
+    def apart(done: DataFrame, tested: DataFrame) -> DataFrame:
+        """Pairs (a, b) of any seed between nodes that done does not have in one component, without those tested, each once."""
+        at = durable(nodes.join(done, "node", "left").select("node", F.coalesce("component", "node").alias("label"), *names))
+        out = tested.limit(0)
+        for k in range(0, len(names), SEEDS_AT_ONCE):
+            each = F.explode(F.array(*[F.struct(F.lit(i).alias("seed"), F.col(n).alias("fp")) for i, n in enumerate(names[k : k + SEEDS_AT_ONCE])])).alias("s")
+            long = at.select("node", "label", each).select("node", "label", "s.*")
+            out = durable(out.unionByName(pairs_apart(long, budget, "fp", "seed", "node", "label")).distinct())
+            release(docs.sparkSession)
+        return durable(out.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+
     if similarity is None:
         edges = met_under(names)
     else:
-        edges = verified(met_under(names[:1]))
+        tested = met_under(names[:1])
+        edges = verified(tested)
+        # what is joined already needs no look under the other seeds
+        done = connected_components(edges)
+        release(docs.sparkSession)
         if len(names) > 1:
-            # what the first seed has joined needs no look under the others
+            more = met_under(names[1:], done)
+            tested, edges = tested.unionByName(more), edges.unionByName(verified(more))
             done = connected_components(edges)
             release(docs.sparkSession)
-            edges = edges.unionByName(verified(met_under(names[1:], done)))
+        # a forest leaves out pairs that its other links join; where such a link has not stood, they are looked at one by one
+        edges = edges.unionByName(verified(apart(done, tested)))
     release(docs.sparkSession)
     comps = connected_components(edges)
     named = nodes.join(comps, "node", "left").select("_md5", "least", F.coalesce("component", "node").alias("c"))
